@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import components, consensus, pieces, unify
+from voxloom.llm import components, consensus, mixture, packing, pieces, spans, tokens, unify
 from voxloom.llm.base import limits
 from voxloom.sources.tables import once, table
 
@@ -64,6 +64,38 @@ def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lines.withColumn("canonical_text", canon).select("paragraph_id", "canonical_text", (~F.col("canonical_text").eqNullSafe(F.col("text"))).alias("changed"))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(_sized(spark, d), limits(spark, d)["container_capacity_tokens"])
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_pack(spark, d), limits(spark, d)["container_capacity_tokens"])
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(_sized(spark, d), table(spark, d, "source_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(_sized(spark, d), table(spark, d, "source_targets"))[1]
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents").select("doc_id", "text"), limits(spark, d)["shared_span_min_chars"])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_pairs(_spans(spark, d))
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_parts(_spans(spark, d), table(spark, d, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
