@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import components, consensus, mixture, packing, pieces, spans, tokens, unify
+from voxloom.llm import canon, components, consensus, mixture, packing, pieces, spans, tokens, unify, variants
 from voxloom.llm.base import limits
 from voxloom.sources.tables import once, table
 
@@ -30,6 +30,47 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized_items(cut, lim["paragraph_max_chars"])
 
 
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """`entry_id, field_name, value, ref_id, listed` of every value typed in the review queue."""
+    entries = once(table(spark, d, "review_entries"), ["entry_id"], ["speaker_display", "speaker_status"])
+    cast = table(spark, d, "cast_list").select("entity_id", "display_name", "aliases")
+    status = table(spark, d, "status_list").select("status_id", "speaker_status", "gloss")
+    person = spark.createDataFrame(canon.person_keys([tuple(r) for r in cast.collect()]), "kind string, key string, entry string")
+    state = spark.createDataFrame(canon.status_keys([tuple(r) for r in status.collect()]), "kind string, key string, entry string")
+
+    def field(name: str, keys: DataFrame, how: str, listed: DataFrame) -> DataFrame:
+        values = entries.where(F.col(name).isNotNull()).select("entry_id", F.lit(name).alias("field_name"), F.col(name).alias("value"))
+        return canon.map_values(values, keys, how).join(listed.distinct().withColumn("listed", F.lit(True)), "value", "left")
+
+    one = field("speaker_display", person, "person", cast.select(F.col("display_name").alias("value")))
+    two = field("speaker_status", state, "status", status.select(F.col("speaker_status").alias("value")))
+    return one.unionByName(two)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(spark, d).where("listed is null").select("entry_id", "field_name", "ref_id")
+
+
+def p2_mapped(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(spark, d).select("entry_id", "field_name", "value", "ref_id", F.col("listed").isNotNull().alias("exact"))
+
+
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    cards = once(table(spark, d, "character_cards"), ["entity_id"], ["volume_id", "display_name", "aliases"])
+    cards = cards.select(F.col("entity_id").alias("id"), F.col("volume_id").alias("volume"), F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("names"))
+    mentions = once(table(spark, d, "speaker_mentions"), ["mention_id"], ["volume_id", "speaker_display"])
+    mentions = mentions.select(F.col("mention_id").alias("id"), F.col("volume_id").alias("volume"), F.array("speaker_display").alias("names"))
+    return variants.link_names(cards.unionByName(mentions))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.linked_pairs(_people(spark, d))
+
+
+def p3_people(spark: SparkSession, d: str) -> DataFrame:
+    return _people(spark, d).select(F.col("id").alias("record_id"), F.col("person").alias("person_id"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     groups = components.connected_components(table(spark, d, "alias_edges"), "source_entity_id", "target_entity_id")
     return groups.select(F.col("node").alias("entity_id"), F.col("component").alias("group_id"))

@@ -36,6 +36,7 @@ SIGNS = {
 }
 # Radicals that have no decomposition in the character database, with the ideograph of the same shape.
 RADICALS = dict(zip("⺁⺄⺅⺇⺈⺉⺋⺌⺍⺎⺏⺐⺑⺒⺓⺔⺕⺖⺗⺘⺙⺛⺜⺝⺞⺟⺠⺡⺢⺣⺤⺥⺦⺧⺨⺩⺪⺫⺬⺭⺮⺯⺰⺱⺲⺳⺶⺷⺹⺺⺻⺼⺽⺾⺿⻀⻁⻂⻃⻄⻅⻆⻇⻈⻉⻊⻋⻌⻍⻎⻏⻐⻑⻒⻓⻔⻕⻖⻗⻘⻙⻚⻛⻜⻝⻟⻠⻡⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻱⻲", "厂乙亻几刀刂㔾小小兀尣尢𡯂巳幺彑彐忄㣺扌攵旡日月歹母民氵氺灬爫爫丬牛犭王疋罒示礻竹糹纟罒罓㓁𦍌羊耂肀聿肉臼艹艹艹虎衤覀西见角𧢲讠贝𧾷车辶辶辶阝钅長镸长门𨸏阝雨青韦页风飞食𩙿饣𩠐马骨鬼鱼鸟卤麦黄黾斉齐歯齿竜龙龜亀"))
+_TWINS = {**GREEK, **CYRILLIC, **LATIN_SIGNS}
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U000e0000-\U000e0fff"
 BLANKS = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 
@@ -83,6 +84,7 @@ def _tables() -> tuple[dict[int, str], re.Pattern[str], str]:
     unstable |= {c for c in seconds if c > 0x7F}
     unstable |= set(fold)
     unstable |= {ord(c) for c in (*GREEK, *CYRILLIC, *LATIN_SIGNS, *KANA)}
+    unstable |= {cp for a, b in ((0x370, 0x530), (0x1F00, 0x2000)) for cp in range(a, b) if unicodedata.normalize("NFD", chr(cp))[0] in _TWINS}
     runs: list[list[int]] = []
     for cp in sorted(unstable):
         if runs and cp == runs[-1][1] + 1:
@@ -94,8 +96,8 @@ def _tables() -> tuple[dict[int, str], re.Pattern[str], str]:
     return fold, re.compile(f"[^{python}\n]?[{python}]+"), f"[{java}]"
 
 
-_TWINS = {**GREEK, **CYRILLIC, **LATIN_SIGNS}
-_TWIN_WORD = re.compile(r"[^\W\d_]*[" + "".join(_TWINS) + r"][^\W\d_]*")
+_LETTER = r"(?:[^\W\d_]|[̀-ͯ])*"
+_TWIN_WORD = re.compile(_LETTER + "[Ͱ-ԯἀ-῿" + "".join(LATIN_SIGNS) + "]" + _LETTER)
 _KANA_RUN = re.compile("[" + "".join(KANA) + "]+")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 
