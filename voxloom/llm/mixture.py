@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.sources.scratch import Scratch
@@ -63,8 +63,8 @@ def copy_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     want = targets.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     both = have.join(want, "source", "full").withColumn("available", F.coalesce("available", F.lit(0)))
     usable = both.where("available > 0 and target_share > 0 and max_repeats > 0 and source is not null")
-    size = usable.agg(F.min(F.col("max_repeats") * F.col("available") / F.col("target_share")).alias("T"))
-    reach = usable.join(F.broadcast(size)).select("source", (F.col("target_share") * F.col("T") / F.col("available")).alias("copies"))
+    size = usable.agg(F.min(F.col("max_repeats") * F.col("available") / F.col("target_share")).alias("T")).first().T  # one number
+    reach = usable.select("source", (F.col("target_share") * F.lit(size or 0.0) / F.col("available")).alias("copies"))
     return both.join(reach, "source", "left")
 
 
@@ -104,8 +104,8 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFrame,
         rows = rows.unionByName(x)
     mixed = rows.select("doc_id", "source", "tokens", (F.col("whole") + F.col("p")).cast("int").alias("copies")).where("copies > 0")
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.count("*").alias("texts"), F.max("copies").alias("most_copies"))
-    total = used.agg(F.sum("mixed_tokens").alias("total"))
-    report = plan.join(used, "source", "left").join(F.broadcast(total)).select(
+    every = Window.partitionBy(F.lit(0))  # of a row per source
+    report = plan.join(used, "source", "left").withColumn("total", F.sum("mixed_tokens").over(every)).select(
         "source", "target_share", "max_repeats", F.col("available").alias("available_tokens"), F.coalesce("texts", F.lit(0)).alias("texts"),
         F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce(F.col("mixed_tokens") / F.col("total"), F.lit(0.0)).alias("reached_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )
