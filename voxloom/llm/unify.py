@@ -2,9 +2,10 @@
 
 A code point is *unstable* if the NFC quick check doesn't answer "yes" for it, if it is a
 combining mark, invisible, a full- or half-width form, a kind of blank, a compatibility
-ideograph or radical, or if it is in the look-alike table.  Only runs of unstable code
-points, each with the one stable character before it (a mark may compose with it), are
-rewritten; the text between them is copied as it is.
+ideograph or radical, or if it is in the look-alike table.  Only unstable segments are
+rewritten and spliced into the text between them, which is copied as it is: runs of code
+points with a form of their own first, then runs that the quick check leaves open, each
+with the one stable character before it, as a mark may compose with it.
 
 Letter case, accents, simplified and traditional forms, and other punctuation stay apart.
 Kana that look like an ideograph become the ideograph unless a kana stands next to them;
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxloom.sources.scratch import Scratch
+
 # Look-alike letters and signs, and what they are taken for.
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανιοκρυχγ", "ABEZHIKMNOPTYXaviokpuxy"))
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеорсухѕіјһԁԛԝѵүӏ", "ABESIJKMHOPCTYXYGQWaeopcyxsijhdqwvyl"))
@@ -59,8 +62,8 @@ def _fold_one(ch: str) -> str | None:
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[dict[int, str], re.Pattern[str], str]:
-    """The rewriting table, the pattern of a segment, and the class of unstable code points for the JVM."""
+def _tables() -> tuple[dict[str, str], re.Pattern[str], re.Pattern[str], str]:
+    """The rewriting table, the patterns of the two kinds of segments, and the class of unstable code points for the JVM."""
     invisible, blank = re.compile(f"[{INVISIBLE}]"), re.compile(f"[{BLANKS}]")
     fold: dict[int, str] = {}
     unstable: set[int] = set()
@@ -82,22 +85,27 @@ def _tables() -> tuple[dict[int, str], re.Pattern[str], str]:
     for cp in range(0xE0000, 0xE1000):
         fold[cp] = ""
     unstable |= {c for c in seconds if c > 0x7F}
-    unstable |= set(fold)
-    unstable |= {ord(c) for c in (*GREEK, *CYRILLIC, *LATIN_SIGNS, *KANA)}
-    unstable |= {cp for a, b in ((0x370, 0x530), (0x1F00, 0x2000)) for cp in range(a, b) if unicodedata.normalize("NFD", chr(cp))[0] in _TWINS}
+    single, open_ = _classes(set(fold))[0], _classes(unstable)[0]
+    twins = {cp for a, b in ((0x370, 0x530), (0x1F00, 0x2000)) for cp in range(a, b) if unicodedata.normalize("NFD", chr(cp))[0] in _TWINS}
+    every = unstable | set(fold) | twins | {ord(c) for c in (*_TWINS, *KANA)}
+    return {chr(k): v for k, v in fold.items()}, re.compile(f"[{single}]"), re.compile(f"[^{open_}\n]?[{open_}]+"), f"[{_classes(every)[1]}]"
+
+
+def _classes(points: set[int]) -> tuple[str, str]:
+    """The code points as ranges of a character class, for Python and for Java."""
     runs: list[list[int]] = []
-    for cp in sorted(unstable):
+    for cp in sorted(points):
         if runs and cp == runs[-1][1] + 1:
             runs[-1][1] = cp
         else:
             runs.append([cp, cp])
-    python = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if a != b else re.escape(chr(a)) for a, b in runs)
-    java = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" if a != b else f"\\x{{{a:X}}}" for a, b in runs)
-    return fold, re.compile(f"[^{python}\n]?[{python}]+"), f"[{java}]"
+    ends = [(re.escape(chr(a)), re.escape(chr(b)), f"\\x{{{a:X}}}-\\x{{{b:X}}}") for a, b in runs]
+    return "".join(f"{a}-{b}" for a, b, _ in ends), "".join(x for *_, x in ends)
 
 
+_TWIN = re.compile("[Ͱ-ԯἀ-῿" + "".join(LATIN_SIGNS) + "]")
 _LETTER = r"(?:[^\W\d_]|[̀-ͯ])*"
-_TWIN_WORD = re.compile(_LETTER + "[Ͱ-ԯἀ-῿" + "".join(LATIN_SIGNS) + "]" + _LETTER)
+_TWIN_WORD = re.compile(_LETTER + _TWIN.pattern + _LETTER)
 _KANA_RUN = re.compile("[" + "".join(KANA) + "]+")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 
@@ -130,9 +138,11 @@ def canonical(text: str | None) -> str | None:
     """One form for all texts that read the same."""
     if not text or text.isascii():
         return text
-    fold, segment, _ = _tables()
-    text = segment.sub(lambda m: unicodedata.normalize("NFC", m[0].translate(fold)), text)
-    if _TWIN_WORD.search(text):
+    fold, single, segment, _ = _tables()
+    text = single.sub(lambda m: fold[m[0]], text)
+    if not unicodedata.is_normalized("NFC", text):  # the quick check
+        text = segment.sub(lambda m: unicodedata.normalize("NFC", m[0]), text)
+    if _TWIN.search(text):
         text = _TWIN_WORD.sub(_letters, text)
     if _KANA_RUN.search(text):
         text = _kana(text)
@@ -146,7 +156,7 @@ def _canonical_udf(s: pd.Series) -> pd.Series:
 
 def canonical_column(text: Column) -> Column:
     """`canonical` as a column; stable texts pass the quick check in the JVM and skip Python."""
-    unstable = text.rlike(_tables()[2])
+    unstable = text.rlike(_tables()[3])
     return F.when(unstable, _canonical_udf(F.when(unstable, text))).otherwise(text)
 
 
@@ -159,10 +169,12 @@ def same_reading_pairs(rows: DataFrame, salts: int = 16) -> DataFrame:
     over `salts` shares of each form's items, so that a text stored a million times is
     never gathered in one task.
     """
-    forms = rows.where(F.col("text").isNotNull()).withColumn("canon", canonical_column(F.col("text")))
-    forms = forms.select("item_kind", "item_id", "text", F.xxhash64("item_kind", "canon").alias("k"), F.xxhash64("text").alias("v"), "canon")
+    scratch = Scratch(rows.sparkSession)
+    forms = rows.where(F.col("text").isNotNull()).select("item_kind", "item_id", "text", _canonical_udf("text").alias("canon"))
+    forms = scratch.save(forms.select("item_kind", "item_id", "text", "canon", F.xxhash64("item_kind", "canon").alias("k"), F.xxhash64("text").alias("v")), "forms")
     several = forms.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("k")
-    members = forms.join(several, "k", "left_semi")
+    members = scratch.save(forms.join(several, "k", "left_semi"), "members")
+    scratch.drop("forms")
     kinds = members.select("item_kind", "k", "canon", "text", "v").distinct()
     a, b = kinds.alias("a"), kinds.alias("b")
     variants = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.item_kind") == F.col("b.item_kind")) & (F.col("a.canon") == F.col("b.canon")) & (F.col("a.text") < F.col("b.text")))
