@@ -125,9 +125,9 @@ SQL = {
     "c_mentions": f"WITH {WINDOWS}, {_LINES}, {_NAMES} SELECT dialogue_id, entity_id, what, name FROM ln JOIN nu USING (volume_id) WHERE contains(said, name)",
     "c_candidates": f"WITH {WINDOWS}, {_LINES}, {_NAMES}, {_SCORED} SELECT window_id, rank, entity_id, score FROM rk",
     "c_options": f"WITH {_NAMES}, {_OPTIONS} SELECT entity_id, display, array_to_string(names, '|') AS names, array_to_string(markers, '|') AS markers FROM os",
-    "r_self_intro": f"{_ALL} SELECT dialogue_id, {_PICK}, 0.98 AS confidence FROM ln JOIN wn USING (window_id) WHERE kind = 'standalone' AND contains(said, name) AND regexp_matches(left(said, instr(said, name) + length(name) - 1), '我是|我叫|在下是|本人是|我的名字是') QUALIFY row_number() OVER (PARTITION BY dialogue_id ORDER BY rank, name_pos) = 1",
+    "r_self_intro": f"{_ALL} SELECT dialogue_id, {_PICK}, CAST(0.98 AS DOUBLE) AS confidence FROM ln JOIN wn USING (window_id) WHERE kind = 'standalone' AND contains(said, name) AND regexp_matches(left(said, instr(said, name) + length(name) - 1), '我是|我叫|在下是|本人是|我的名字是') QUALIFY row_number() OVER (PARTITION BY dialogue_id ORDER BY rank, name_pos) = 1",
     "r_marker": f"""{_ALL}, mo AS (SELECT window_id, marker, any_value(entity_id) AS entity_id, any_value(display) AS display FROM (SELECT window_id, entity_id, display, unnest(markers) AS marker FROM wo) GROUP BY ALL HAVING count(DISTINCT entity_id) = 1),
         hm AS (SELECT DISTINCT dialogue_id, entity_id, display FROM ln JOIN mo USING (window_id) WHERE kind = 'standalone' AND contains(CASE WHEN length(marker) = 1 THEN replace(said, marker || '们', '') ELSE said END, marker))
-        SELECT dialogue_id, {_PICK}, 0.86 AS confidence FROM hm QUALIFY count(*) OVER (PARTITION BY dialogue_id) = 1""",
+        SELECT dialogue_id, {_PICK}, CAST(0.86 AS DOUBLE) AS confidence FROM hm QUALIFY count(*) OVER (PARTITION BY dialogue_id) = 1""",
     "r_addressed": f"{_ALL}, {_CALLED} SELECT * FROM ad",
 }
