@@ -141,5 +141,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_LINES = "(SELECT DISTINCT paragraph_id, scene_id, text FROM paragraphs WHERE text IS NOT NULL)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"""SELECT 'paragraph' AS item_kind, paragraph_id AS item_id FROM {_LINES} WHERE length(text) > 480
+            UNION ALL SELECT 'unbroken', paragraph_id FROM {_LINES} WHERE list_max(list_transform(string_split_regex(text, '[。！？…；」』\n]'), lambda x: length(x))) > 480
+            UNION ALL SELECT 'scene', scene_id FROM {_LINES} WHERE scene_id IS NOT NULL GROUP BY scene_id HAVING sum(length(text)) + count(*) - 1 > 2400""",
+        "p4_found": """WITH RECURSIVE e AS (SELECT source_entity_id AS a, target_entity_id AS b FROM alias_edges WHERE source_entity_id <> target_entity_id UNION SELECT target_entity_id, source_entity_id FROM alias_edges WHERE source_entity_id <> target_entity_id),
+            r(x, y) AS (SELECT a, b FROM e UNION SELECT x, b FROM r JOIN e ON y = a) SELECT x AS entity_id, least(x, min(y)) AS group_id FROM r GROUP BY x""",
+        "p9_found": """WITH w AS (SELECT DISTINCT doc_id, substring(text, i, 64) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 62)) AS i FROM documents WHERE length(text) >= 64)),
+            k AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1), h AS (SELECT doc_id, s FROM w SEMI JOIN k USING (s))
+            SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id""",
+    }
