@@ -214,7 +214,8 @@ def map_values(values: DataFrame, keys: DataFrame, how: str, broadcast_keys: int
                         known[v] = _winner(search(v)) or "none"
                 yield rows.assign(ref_id=rows.value.map(known))
 
-        return values.mapInPandas(near, T.StructType([*values.schema.fields, T.StructField("ref_id", T.StringType())]))
+        # few bytes and much work a row: spread over all cores whatever the bytes are
+        return values.repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(near, T.StructType([*values.schema.fields, T.StructField("ref_id", T.StringType())]))
 
     shards = -(-n // broadcast_keys)
     # all keys of an entry stand in one shard, so that the best kind of key is found there
