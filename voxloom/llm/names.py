@@ -19,6 +19,11 @@ READINGS = dict(x.split(":") for x in (
     "若:ruo 莉:li 莎:sha 莫:mo 莱:lai 菲:fei 萨:sa 蒂:di 蒙:meng 薇:wei 西:xi 让:rang 诺:nuo 贝:bei 赫:he 达:da 迪:di 里:li 金:jin "
     "门:men 阿:a 隆:long 雷:lei 霍:huo 露:lu 马:ma 麦:mai 齐:qi"
 ).split())
+# Characters written for a syllable of the same sound.
+READINGS |= dict(x.split(":") for x in (
+    "丽:li 蜜:mi 姬:ji 季:ji 蓝:lan 妲:da 咖:ka 可:ke 嗯:en 朵:duo 礼:li 喏:nuo 柯:ke 帝:di 荷:he 酥:su 蛤:ha 惜:xi 佛:fu 鹿:lu 撒:sa 她:ta 那:na "
+    "丝:si 忒:te 分:fen 鲁:lu 菈:la 歌:ge 洁:jie 蕊:rui 其:qi 蕾:lei 琦:qi 按:an 霏:fei 伊:yi 茜:xi 奴:nu 耶:ye 亚:ya 丹:dan 维:wei 修:xiu 墨:mo 的:de 爱:ai 来:lai 木:mu 纱:sha 笛:di"
+).split())
 # Traditional forms that occur in names, and their simplified forms.
 SIMPLE = dict(zip(
     "喬倫蘭凱勞盧圖爾內寧納繆薩讓貝達門馬麥齊簡羅萊蘇蓋瑪瓊歐漢溫諾烏傑庫隴頓賓費韋黃鷹澤倉葉櫻條鳥靜雲瀨鳴動長霧島風間優陽誠紗輝楓鈴蓮結潔來愛麗樹曉實彥黑確認謎個說誰複難義團隊見習魔騎書記鍊煉師",
@@ -58,7 +63,14 @@ def simplified(text: str) -> str:
 def letters(part: str) -> str:
     """Lower-case letters without accents; foreign-name syllables by their reading, other ideographs as they are."""
     plain = "".join(c for c in unicodedata.normalize("NFD", part.casefold()) if not unicodedata.combining(c) and (c.isalnum()))
-    return "".join(READINGS.get(c, c) for c in plain) if all(c in READINGS or not _HAN.match(c) for c in plain) else plain
+    return "".join(READINGS.get(c, c) for c in plain) if is_foreign(plain) else plain
+
+
+def is_foreign(part: str) -> bool:
+    """Ideographs written for the sounds of a foreign name: all of two, or all but one in every four of a longer part."""
+    han = [c for c in part if _HAN.match(c)]
+    unknown = sum(c not in READINGS for c in han)
+    return unknown == 0 if len(han) < 3 else 4 * unknown <= len(han) + 1
 
 
 def undecorated(value: str) -> str:
@@ -109,8 +121,8 @@ def parse(value: str | None) -> Name | None:
         return Name("full", tuple(plain), honorific, turned)
     word = plain[0]
     if _HAN.search(word):
-        foreign = all(c in READINGS for c in word)
-        if (foreign and len(word) >= 6) or (not foreign and len(word) in (3, 4, 5)):
+        sounds = all(c in READINGS for c in word)
+        if (is_foreign(word) and len(word) >= 6) or (not sounds and len(word) in (3, 4, 5)):
             return Name("full", (word,), honorific)
     return Name("single", (word,), honorific)
 

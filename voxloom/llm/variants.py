@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.components import connected_components
-from voxloom.llm.names import READINGS, distance, letters, parse
+from voxloom.llm.names import READINGS, distance, is_foreign, letters, parse
 from voxloom.sources.scratch import Scratch
 
 CANDIDATE, VERIFIED = 0.35, 0.7
@@ -34,8 +34,8 @@ FORMS = "id string, volume string, kind string, a string, b string"
 
 def units(part: str) -> str:
     """A part as its comparable units: readings of foreign syllables, blank-separated, or plain letters."""
-    plain = letters(part)
-    return " ".join(READINGS[c] for c in part) if part and all(c in READINGS for c in part) else plain
+    foreign = bool(part) and is_foreign(part) and all(c >= "㐀" for c in part)
+    return " ".join(READINGS.get(c, c) for c in part) if foreign else letters(part)
 
 
 def _tight(part: str) -> str:
@@ -44,7 +44,7 @@ def _tight(part: str) -> str:
 
 def _is_native(part: str) -> bool:
     """Written with ideographs that are not foreign syllables."""
-    return any(c >= "㐀" for c in part)
+    return " " not in part and any(c >= "㐀" for c in part)
 
 
 def forms_of(names: list[str]) -> set[tuple[str, str, str]]:
@@ -66,9 +66,11 @@ def forms_of(names: list[str]) -> set[tuple[str, str, str]]:
             if word[0] == "阿" and len(word) >= 4:
                 out.add(("single", _tight(units(word[1:])), ""))
         else:
-            parts = [units(p) for p in name.parts]
-            if len(parts) == 1 and _is_native(parts[0]):
-                parts = [parts[0][:-2], parts[0][-2:]]
+            whole = name.parts[0]
+            if len(name.parts) == 1 and len(whole) <= 5 and "㐀" <= whole[0]:  # family and given name without a sign between
+                parts = [units(whole[:-2]), units(whole[-2:])]
+            else:
+                parts = [units(p) for p in name.parts]
             if len(parts) > 2:
                 parts = [parts[0], "".join(_tight(p) for p in parts[1:])]
             parts.sort()
