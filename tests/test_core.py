@@ -216,3 +216,40 @@ def test_pipeline(spark):
     assert "【罗伦】「我叫罗伦。」" in labeled and out["failures"].count() == len(asked) - 1
     raw = '{"characters": [{"display_name": "罗伦", "aliases": ["商人"]}, {"name": "赫萝"}]}'
     assert pipeline.discover(spark.createDataFrame([("s-r001", "v", 1, raw), ("s-r002", "v", 2, "x")], "request_id string, volume_id string, seq int, raw string")).count() == 2
+
+
+def _variants(spark, *rows):
+    return spark.createDataFrame(rows, "request_id string, pos int, raw string").withColumn("r", F.try_parse_json("raw"))
+
+
+def test_reader_answers(spark):
+    from voxloom.operators import reader
+
+    got = reader.annotations(_variants(spark, ("q", 0, '{"dialogue_id": "d1", "status": "NPC", "display_name": "村民们", "confidence": 2}'), ("q", 1, '{"dialogue_id": "zz"}')), spark.createDataFrame([("q", "d1"), ("q", "d2")], "request_id string, dialogue_id string"))
+    assert {(r.dialogue_id, r.speaker_entity_id, r.speaker_status, r.confidence, r.needs_review) for r in got.collect()} == {("d1", "npc_group:村民们", "npc_group", 1.0, False), ("d2", "unknown", "unknown", 0.0, True)}
+    c = reader.contradictions(_variants(spark, ("q", 0, '{"dialogue_id": "d1", "has_contradiction": true, "severity": "huge", "reason": "x"}'), ("q", 1, '{"dialogue_id": "d2", "severity": "weak", "needs_review": true}')))
+    assert {(r.dialogue_id, r.severity, r.needs_review) for r in c.collect()} == {("d1", "strong", True), ("d2", "weak", False)}
+    e = reader.evidence(_variants(spark, ("q", 0, '{"dialogue_id": "d1", "speech_markers": ["咱", {"marker": "喵", "owner_display": "猫"}], "positive_evidence": "一句"}'))).first()
+    assert [(m.marker, m.owner_display) for m in e.speech_markers] == [("咱", ""), ("喵", "猫")]
+    before = spark.createDataFrame([("d1", "a", False), ("d2", "a", False)], "dialogue_id string, speaker_entity_id string, needs_review boolean")
+    trace = reader.repair_trace(before, before.where("dialogue_id = 'd9'"), c).collect()
+    assert [(t.dialogue_id, t.stop_reason, t.trigger_reason) for t in trace] == [("d1", "missing_response", "x")]
+    fixed = reader.repairs(_variants(spark, ("q", 0, '{"dialogue_id": "d1", "new_speaker_entity_id": "b"}'), ("q", 1, '{"dialogue_id": "d8"}')), before)
+    assert [(r.dialogue_id, r.stop_reason, r.speaker_entity_id) for r in fixed.collect()] == [("d1", "unchanged", "b")]
+    said = spark.createDataFrame([("v", 1, '{"summary": "一", "new_facts": ["甲", "甲"]}'), ("v", 2, '{"summary": "二", "retained_facts": ["乙"], "keep_pending": ["m1"], "expire_pending": [{"entity_id": "m0"}]}')], "volume_id string, chunk int, raw string").withColumn("v", F.try_parse_json("raw"))
+    last, rows = reader.facts(said)
+    assert last.first().summary == "二" and {(r.fact_type, r.text) for r in rows.collect()} == {("new_facts", "甲"), ("retained_facts", "乙")}
+    pending = spark.createDataFrame([("m1",), ("m2",), ("m3",)], "entity_id string")
+    done = reader.resolutions(said, pending, spark.createDataFrame([("m0", "m2")], "node string, resolved string"))
+    assert {(r.entity_id, r.last_checked, r.expired, r.reason) for r in done.collect()} == {("m1", 2, False, None), ("m2", None, True, "expired_by_model"), ("m3", None, False, None)}
+    assert reader.chunk_summaries(said.select(F.lit("c").alias("chunk_id"), "v")).count() == 2 and reader.events(pending, last).count() == 4
+
+
+def test_pending_stream(spark, tmp_path):
+    from voxloom.streaming.streams import pending_events
+
+    schema = "volume_id string, entity_id string, name string, chunk int"
+    spark.createDataFrame([("v", "m1", "谜", 1), ("v", "m1", "谜", 5), ("v", "m1", "谜", 14), ("v", "m2", "影", 3)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    q = pending_events(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("pending").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    q.awaitTermination()
+    assert {(r.entity_id, r.event, r.chunk) for r in spark.table("pending").collect()} == {("m1", "added", 1), ("m1", "expired", 14), ("m2", "added", 3)}

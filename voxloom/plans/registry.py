@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("vote_queries", "text_queries", "segment_queries", "window_queries", "entity_queries", "rule_queries", "output_queries", "store_queries")
+MODULES = ("vote_queries", "text_queries", "segment_queries", "window_queries", "entity_queries", "rule_queries", "output_queries", "store_queries", "reader_queries")
 
 
 def _modules():
