@@ -321,3 +321,50 @@ def test_window_hashes_tell_windows_apart():
 
 def test_patterns_compile():
     assert all(re.compile(p.pattern) for p in unify._tables()[1:3])
+
+
+# ---------------------------------------------------------------- odd inputs
+
+
+def _loud(df, *names):
+    """The table with extra columns whose names the operators use inside."""
+    for n in names:
+        df = df.withColumn(n, F.lit("x"))
+    return df
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    edges = _loud(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string"), "u", "v", "m", "low", "node", "component")
+    assert {tuple(r) for r in components.connected_components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
+    sized = _loud(spark.createDataFrame([(1, "s", 10), (2, None, 10), (3, "s", None)], "doc_id long, source string, tokens long"), "bucket", "copies", "piece", "o", "whole", "p", "level")
+    assert packing.pack_texts(sized, 16).count() == 2
+    targets = _loud(spark.createDataFrame([("s", 1.0, 2), (None, 0.5, 2)], "source string, target_share double, max_repeats int"), "available", "copies")
+    assert [(r.doc_id, r.copies) for r in mixture.mix(sized, targets)[0].collect()] == [(1, 2)]
+    names = _loud(spark.createDataFrame([("1", "v", ["甲乙·丙丁"]), ("2", "v", ["甲乙丙丁"])], "id string, volume string, names array<string>"), "kind", "a", "b", "f", "person", "component")
+    assert variants.link_names(names).select("person").distinct().count() == 1
+    votes = _loud(spark.createDataFrame([("d", "m", "s", None)], "item string, model string, label string, confidence double"), "level", "w", "cast", "r", "votes")
+    assert consensus.consensus(votes)[0].first().label == "s"
+    texts = _loud(spark.createDataFrame([("k", "1", "Ａ"), ("k", "2", "A")], "item_kind string, item_id string, text string"), "canon", "k", "v", "salt")
+    assert unify.same_reading_pairs(texts).count() == 1 and unify.same_reading_pairs(texts.limit(0)).count() == 0
+    docs = _loud(spark.createDataFrame([(1, "字" * 70), (2, "字" * 80)], "doc_id long, text string"), "h", "e", "pos", "anchors", "span", "at")
+    assert [tuple(r) for r in spans.sharing_pairs(spans.shared_spans(docs)).collect()] == [(1, 2)]
+    lines = _loud(spark.createDataFrame([("p", "s", 1, "字" * 70)], "paragraph_id string, scene_id string, paragraph_index int, text string"), "item_id", "segment", "block", "n", "total")
+    assert pieces.oversized_pieces(lines, 40, 50, 5).count() == 4
+    keys = spark.createDataFrame(canon.person_keys(CAST), "kind string, key string, entry string")
+    values = _loud(spark.createDataFrame([("奎威奈",), (None,)], "value string"), "ref_id", "e", "rank", "entry")
+    for limit in (10_000, 7):
+        assert [r.ref_id for r in canon.map_values(values, keys, "person", broadcast_keys=limit).collect()] == ["c2"]
+        assert canon.map_values(values.limit(0), keys, "person", broadcast_keys=limit).count() == 0
+    assert [r.ref_id for r in canon.map_values(values, keys.limit(0), "person").collect()] == ["none"]
+
+
+def test_very_long_texts(spark):
+    long = "甲乙丙。" * 200_000
+    assert unify.canonical("Ａ" + long) == "A" + long
+    last = 0
+    for end, _ in pieces.cuts(long, 480, 40):
+        assert end - last <= 480
+        last = end
+    assert last == len(long)
+    docs = spark.createDataFrame([(1, "x" * 5 + "咚" * 100_000), (2, "咚" * 70 + "y")], "doc_id long, text string")
+    assert [tuple(r) for r in spans.sharing_pairs(spans.shared_spans(docs)).collect()] == [(1, 2)]

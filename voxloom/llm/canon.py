@@ -196,11 +196,13 @@ def _winner(found: list[tuple[int, int, str]]) -> str | None:
 
 
 def map_values(values: DataFrame, keys: DataFrame, how: str, broadcast_keys: int = BROADCAST_KEYS, block: int = 4096) -> DataFrame:
-    """Adds `ref_id` to values (`value STRING` not null, other columns kept): the entry meant, or `none`.
+    """Adds `ref_id` to values (`value STRING`, other columns kept): the entry meant, or `none`.
 
-    keys: `kind, key, entry`. how: "person" or "status".
+    A column of that name is replaced, rows with a null value are left out. keys: `kind,
+    key, entry`; without any, nothing is meant. how: "person" or "status".
     """
     spark = values.sparkSession
+    values = values.drop("ref_id").where("value is not null")
     n = keys.count()
     if n <= broadcast_keys:
         shared = spark.sparkContext.broadcast([tuple(r) for r in keys.collect()])
@@ -232,5 +234,5 @@ def map_values(values: DataFrame, keys: DataFrame, how: str, broadcast_keys: int
     won = asked.groupBy("shard", "block").cogroup(held.withColumnRenamed("shard", "s").withColumnRenamed("block", "b").groupBy("s", "b")).applyInPandas(search_shard, "value string, rank int, distance int, entry string")
     best = won.groupBy("value").agg(F.min(F.struct("rank", "distance")).alias("least"))
     met = won.join(best, "value").where((F.col("rank") == F.col("least.rank")) & (F.col("distance") == F.col("least.distance")))
-    one = met.groupBy("value").agg(F.min("entry").alias("e"), F.max("entry").alias("e2")).where("e = e2").select("value", "e")
-    return values.join(one, "value", "left").select(*values.columns, F.coalesce("e", F.lit("none")).alias("ref_id"))
+    one = met.groupBy("value").agg(F.min("entry").alias("e"), F.max("entry").alias("e2")).where("e = e2").select("value", F.col("e").alias("ref_id"))
+    return values.join(one, "value", "left").select(*values.columns, F.coalesce("ref_id", F.lit("none")).alias("ref_id"))

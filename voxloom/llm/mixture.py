@@ -60,7 +60,7 @@ def pivotal(rows: list[tuple[int, int, float]], seed: int) -> list[tuple[int, in
 def copy_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """`source, target_share, max_repeats, available, copies`: a row per source on either side."""
     have = sized.groupBy("source").agg(F.sum("tokens").alias("available"))
-    want = targets.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    want = targets.where("source is not null").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     both = have.join(want, "source", "full").withColumn("available", F.coalesce("available", F.lit(0)))
     usable = both.where("available > 0 and target_share > 0 and max_repeats > 0 and source is not null")
     size = usable.agg(F.min(F.col("max_repeats") * F.col("available") / F.col("target_share")).alias("T")).first().T  # one number
@@ -71,7 +71,7 @@ def copy_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(sized: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The collection `doc_id, source, tokens, copies` and the report of shares, for `doc_id, source, tokens`."""
     scratch = Scratch(sized.sparkSession)
-    sized = scratch.save(sized.where("tokens > 0"), "sized")
+    sized = scratch.save(sized.where("tokens > 0").select("doc_id", "source", "tokens"), "sized")
     plan = scratch.save(copy_plan(sized, targets), "plan")
     n = sized.count()
     buckets = max(1, -(-n // BUCKET_TEXTS))

@@ -119,7 +119,7 @@ def _level(items: DataFrame, share: dict[str, float], capacity: int, last: bool)
 def pack_texts(sized: DataFrame, capacity: int) -> DataFrame:
     """`container_id, window_id, position, doc_id, piece, piece_start, source, tokens` for `doc_id, source, tokens`."""
     scratch = Scratch(sized.sparkSession)
-    sized = scratch.save(sized.where("tokens > 0"), "sized")
+    sized = scratch.save(sized.where("tokens > 0").select("doc_id", "source", "tokens"), "sized")
     by_source = {r.source or "": r.t for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # a row per source
     total = sum(by_source.values())
     share = {s: t / total for s, t in by_source.items()}
