@@ -138,6 +138,7 @@ def pack_texts(sized: DataFrame, capacity: int) -> DataFrame:
         buckets = -(-buckets // FAN_IN)
         rest = packed.where("container is null").select("doc_id", "piece", "source", "tokens", F.floor(F.col("bucket") / FAN_IN).alias("bucket"))
         level += 1
+    scratch.drop("sized")
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)

@@ -170,6 +170,8 @@ def shared_spans(docs: DataFrame, min_chars: int = 64, k: int = 32) -> DataFrame
     found = found.withColumn("at", F.max(F.when(F.col("begins"), F.col("pos"))).over(run.rowsBetween(Window.unboundedPreceding, 0)))
     unitigs = found.groupBy("doc_id", "at").agg((F.count("*") + (min_chars - 1)).cast("int").alias("n_chars"), F.min_by("e", "pos").alias("head"))
     cut = scratch.save(unitigs.join(candidates.select("doc_id", "text"), "doc_id").select("doc_id", F.col("at").alias("start"), "n_chars", "head", F.expr("substring(text, at + 1, n_chars)").alias("span")), "cut")
+    for name in ("repeated", "by-doc", "candidates", "edges", "nodes", "paths"):
+        scratch.drop(name)
     verified = cut.groupBy("head", "span").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("head", "span", F.xxhash64(F.lit(0), "span").alias("span_id"))
     return cut.join(verified, ["head", "span"]).select("doc_id", "start", "n_chars", "span_id", "span")
 

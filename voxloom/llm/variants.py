@@ -196,6 +196,8 @@ def link_names(records: DataFrame) -> DataFrame:
     placed = met.where("c = c2").select(own.alias("x"), F.col("c").alias("y"))
     every = first.unionByName(groups.select(F.col("node").alias("x"), F.col("component").alias("y"))).unionByName(alone).unionByName(placed)
     people = connected_components(scratch.save(every.distinct(), "links"), "x", "y")
+    for name in ("forms", "full", "prefix", "weighty", "similar", "groups", "links"):
+        scratch.drop(name)
     return people.where("node like 'r|%'").select(F.substring("node", 3, 1 << 30).alias("id"), F.col("component").alias("person"))
 
 
