@@ -66,8 +66,8 @@ SQL = {
         a AS (SELECT e, list(x ORDER BY chunk, pos, i) AS l FROM (SELECT e, chunk, pos, {clean("y")} AS x, i FROM (SELECT e, chunk, pos, unnest(aliases) AS y, generate_subscripts(aliases, 1) AS i FROM c)) WHERE x <> '' GROUP BY e)
         SELECT c.e AS entity_id, any_value(t) AS entity_type, first(dn ORDER BY chunk, pos) FILTER (dn <> '') AS display_name, coalesce(any_value(array_to_string(list_filter(a.l, lambda x, i: list_position(a.l, x) = i)[1:12], '|')), '') AS aliases, array_to_string(list(c.entity_id ORDER BY chunk, pos)[1:24], '|') AS evidence_refs,
           list_extract(['minor', 'medium', 'major'], max(CASE importance WHEN 'major' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) + 1) AS importance,
-          (CASE WHEN any_value(t) = 'npc_group' THEN CASE WHEN length(last(sm ORDER BY chunk, pos) FILTER (sm <> '')) > 120 THEN left(last(sm ORDER BY chunk, pos) FILTER (sm <> ''), 119) || '…' ELSE last(sm ORDER BY chunk, pos) FILTER (sm <> '') END
-            ELSE CASE WHEN length(last(sm ORDER BY chunk, pos) FILTER (sm <> '')) > 180 THEN left(last(sm ORDER BY chunk, pos) FILTER (sm <> ''), 179) || '…' ELSE last(sm ORDER BY chunk, pos) FILTER (sm <> '') END END) AS summary,
+          coalesce((CASE WHEN any_value(t) = 'npc_group' THEN CASE WHEN length(last(sm ORDER BY chunk, pos) FILTER (sm <> '')) > 120 THEN left(last(sm ORDER BY chunk, pos) FILTER (sm <> ''), 119) || '…' ELSE last(sm ORDER BY chunk, pos) FILTER (sm <> '') END
+            ELSE CASE WHEN length(last(sm ORDER BY chunk, pos) FILTER (sm <> '')) > 180 THEN left(last(sm ORDER BY chunk, pos) FILTER (sm <> ''), 179) || '…' ELSE last(sm ORDER BY chunk, pos) FILTER (sm <> '') END END), '') AS summary,
           CAST(sum(greatest(0, coalesce(dialogue_count, 0))) AS BIGINT) AS dialogue_count, min(chunk) AS first_seen_chunk, max(chunk) AS latest_seen_chunk FROM c LEFT JOIN a ON a.e = c.e GROUP BY c.e""",
     "e_ensure": f"""WITH v AS (SELECT DISTINCT dialogue_id, model, speaker_entity_id, speaker_display, speaker_status, coalesce(pos, 0) AS chunk FROM votes WHERE dialogue_id IS NOT NULL AND model IS NOT NULL)
         SELECT speaker_entity_id AS entity_id, first(CASE speaker_status WHEN 'known' THEN 'character' ELSE speaker_status END ORDER BY chunk, speaker_display, CASE speaker_status WHEN 'known' THEN 'character' ELSE speaker_status END) AS entity_type, first(speaker_display ORDER BY chunk, speaker_display) AS display_name, min(chunk) AS first_chunk FROM v
