@@ -368,3 +368,18 @@ def test_very_long_texts(spark):
     assert last == len(long)
     docs = spark.createDataFrame([(1, "x" * 5 + "咚" * 100_000), (2, "咚" * 70 + "y")], "doc_id long, text string")
     assert [tuple(r) for r in spans.sharing_pairs(spans.shared_spans(docs)).collect()] == [(1, 2)]
+
+
+def test_spans_without_broadcasts(spark, monkeypatch):
+    from voxloom.llm import base
+
+    monkeypatch.setattr(base, "BROADCAST_BYTES", -1)
+    span = "".join(random.choices("甲乙丙丁戊己", k=90))
+    docs = spark.createDataFrame([(i, f"第{i}篇" + (span if i % 3 == 0 else "") + "".join(random.choices("庚辛壬癸", k=80))) for i in range(12)], "doc_id long, text string")
+    assert len(spans.sharing_pairs(spans.shared_spans(docs)).collect()) == 6
+
+
+def test_hubs_are_joined_apart(spark):
+    edges = spark.createDataFrame([("hub", f"n{i:05}") for i in range(1500)] + [("a", "n00003")], "a string, b string")
+    got = components.connected_components(edges).select("component").distinct().collect()
+    assert [r.component for r in got] == ["a"]
