@@ -253,3 +253,10 @@ def test_pending_stream(spark, tmp_path):
     q = pending_events(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("pending").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
     q.awaitTermination()
     assert {(r.entity_id, r.event, r.chunk) for r in spark.table("pending").collect()} == {("m1", "added", 1), ("m1", "expired", 14), ("m2", "added", 3)}
+
+
+def test_mysteries(spark):
+    rows = spark.createDataFrame([("w1", "v", "s1", "黑衣人走近", ["d1"]), ("w2", "v", "s2", "黑衣人不见了", ["d9"])], "window_id string, volume_id string, scene_id string, text string, ids array<string>")
+    m = spark.createDataFrame([("m1", "v", "黑衣人", "s1-r002", ["d7"], 0.5), ("m2", "v", "歌声", "s8", ["d1"], None), ("m3", "v", "商人", "s1", ["d1"], 0.9), ("m4", "v", None, "s1", None, 0.9)], "mystery_id string, volume_id string, name string, scene_id string, evidence array<string>, confidence double")
+    got = {(r.window_id, r["rank"], r.mystery_id, r.score) for r in C.score_mysteries(rows, m).collect()}
+    assert got == {("w1", 0, "m2", 8.05), ("w1", 1, "m1", 6.05)}
