@@ -122,6 +122,13 @@ def test_entity_store(spark):
     assert set(got) == {"a", "c", "d"} and got["a"].record_ids == ["a", "b"] and got["a"].titles == ["商人", "骑士"] and got["a"].speech_markers == ["咱", "喵"] and got["a"].confidence == 0.9 and got["c"].confidence == 0.5
 
 
+def test_every_sure_edge_merges(spark):
+    rows = [(1, "a", "b", 0.9), (2, "a", "c", 0.9), (3, "c", "b", 0.95), (4, "d", "a", 0.99), (5, "a", "e", 0.8), (6, "x", "y", 0.9), (7, "y", "x", 0.9), (8, "z", "z", 1.0), (9, None, "a", 1.0), (2, "a", "c", 0.9)]
+    m = E.merges(spark.createDataFrame(rows, "edge_id int, source_entity_id string, target_entity_id string, confidence double"))
+    assert {tuple(r) for r in m.collect()} == {("a", "b", 1), ("b", "c", 2), ("d", "c", 4), ("x", "y", 6)}
+    assert {tuple(r) for r in resolve_aliases(m).collect()} == {("a", "c"), ("b", "c"), ("c", "c"), ("d", "c"), ("x", "y"), ("y", "y")}
+
+
 def test_graphs(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("t", "x"), (None, "q"), ("z", "z")], "a string, b string")
     assert {tuple(r) for r in groups(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "t"), ("y", "t"), ("t", "t")}

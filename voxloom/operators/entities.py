@@ -72,9 +72,35 @@ def _related(a: str, b: str) -> bool:
 
 
 def merges(edges: DataFrame, floor: float = MERGE_FLOOR) -> DataFrame:
-    """`source, target` of the merges that count: one per source, the earliest that is sure enough."""
+    """`source, target, edge_id` of the merges that happen when the sure edges are taken in order of `edge_id`, then ids.
+
+    Both ends are resolved through the merges before, so after A to B a sure edge A to C
+    merges B into C; an edge inside one entity changes nothing. A source stands once, and
+    no cycle can arise. The ordered fold runs per connected component of sure edges and
+    sees ids only, the first edge of every two entities.
+    """
+    source, target = F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target")
     sure = edges.where((X.clamp(X.safe_double(F.col("confidence"), 0.0), 0.0, 1.0) >= floor) & F.col("source_entity_id").isNotNull() & F.col("target_entity_id").isNotNull() & (F.col("source_entity_id") != F.col("target_entity_id")))
-    return sure.groupBy(F.col("source_entity_id").alias("source")).agg(F.min_by("target_entity_id", F.struct("edge_id", "target_entity_id")).alias("target"))
+    first = sure.select(source, target, "edge_id").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.min(F.struct("edge_id", "target", "source")).alias("e"))
+    schema = f"source string, target string, edge_id {first.schema['e'].dataType['edge_id'].dataType.simpleString()}"
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        into, out = {}, []
+
+        def end(x: str) -> str:
+            while x in into:
+                into[x] = x = into.get(into[x], into[x])
+            return x
+
+        for r in g.sort_values(["edge_id", "target", "source"]).itertuples():
+            s, t = end(r.source), end(r.target)
+            if s != t:
+                into[s] = t
+                out.append((s, t, r.edge_id))
+        return pd.DataFrame(out, columns=["source", "target", "edge_id"])
+
+    pairs = first.select("a", "b")
+    return first.join(groups(pairs).withColumnRenamed("node", "a"), "a").select("group", "e.*").groupBy("group").applyInPandas(fold, schema)
 
 
 def merge_cards(cards: DataFrame, resolved: DataFrame) -> DataFrame:

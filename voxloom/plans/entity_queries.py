@@ -34,7 +34,7 @@ def e_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e_merges(spark: SparkSession, d: str) -> DataFrame:
-    return E.merges(_edges(spark, d))
+    return E.merges(_edges(spark, d)).select("source", "target")
 
 
 def e_resolve(spark: SparkSession, d: str) -> DataFrame:
