@@ -267,3 +267,15 @@ def test_mysteries(spark):
     m = spark.createDataFrame([("m1", "v", "黑衣人", "s1-r002", ["d7"], 0.5), ("m2", "v", "歌声", "s8", ["d1"], None), ("m3", "v", "商人", "s1", ["d1"], 0.9), ("m4", "v", None, "s1", None, 0.9)], "mystery_id string, volume_id string, name string, scene_id string, evidence array<string>, confidence double")
     got = {(r.window_id, r["rank"], r.mystery_id, r.score) for r in C.score_mysteries(rows, m).collect()}
     assert got == {("w1", 0, "m2", 8.05), ("w1", 1, "m1", 6.05)}
+
+
+def test_memories_of_all_dialogues(spark):
+    from voxloom.operators import reader
+
+    w = spark.createDataFrame([("w", "s", 3, 12), ("w", "s", 4, 12), ("x", "s", 11, 12), ("y", "t", 9, 10), ("z", "u", 0, None)], "window_id string, scene_id string, offset int, length int")
+    m = spark.createDataFrame([("s", "m1", 1), ("s", "m2", 2), ("s", "m3", 3), ("t", "n1", 1), ("t", "n2", 2), ("u", "o1", 1), ("u", "o2", 2)], "scene_id string, memory_id string, chunk int")
+    pick = lambda *a: sorted((r.window_id, r.memory_id) for r in reader.memories(w, *a).collect())
+    assert pick(m, 0, 6) == [("w", "m1"), ("w", "m2"), ("x", "m3"), ("y", "n2"), ("z", "o1"), ("z", "o2")]
+    assert pick(m, 1, 2) == [("w", "m1"), ("w", "m2"), ("x", "m2"), ("x", "m3"), ("y", "n1"), ("y", "n2"), ("z", "o1"), ("z", "o2")]
+    # nothing within the radius: the first ones
+    assert pick(m.where("scene_id = 't' and chunk = 1").withColumn("chunks", F.lit(4)), 0, 6) == [("y", "n1")]

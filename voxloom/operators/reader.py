@@ -66,19 +66,22 @@ def snapshot(cards: DataFrame, limit: int = 30) -> DataFrame:
 
 
 def memories(windows: DataFrame, stored: DataFrame, radius: int = 0, most: int = 6) -> DataFrame:
-    """`window_id, memory_id, chunk`: the memories of a scene nearest to where the window stands in it.
+    """`window_id, memory_id, chunk`: the memories of a scene nearest to where any dialogue of the window stands in it.
 
-    windows: `window_id, scene_id, offset, length` (of the scene). stored: `scene_id,
-    memory_id, chunk` from 1 on. A scene with one memory or no estimate gives its first.
+    windows: `window_id, scene_id, offset, length` (of the scene), one row per dialogue.
+    stored: `scene_id, memory_id, chunk` from 1 on, and `chunks` if not all of a scene's
+    chunks are there. A scene with one chunk, no estimate or no memory within the radius
+    gives its first.
     """
-    n = stored.groupBy("scene_id").agg(F.count("*").alias("chunks"))
-    met = windows.join(n, "scene_id").join(stored, "scene_id")
-    target = F.when(F.col("length") > 0, F.floor(F.col("offset") * F.col("chunks") / F.col("length")) + 1)
-    far = F.abs(F.col("chunk") - F.least(target, F.col("chunks")))
-    met = met.withColumn("far", far)
-    near = met.where((F.col("chunks") <= 1) | F.col("far").isNull() | (F.col("far") <= radius))
-    best = Window.partitionBy("window_id").orderBy("far", "chunk", "memory_id")
-    return near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).select("window_id", "memory_id", "chunk")
+    n = stored.groupBy("scene_id").agg((F.max("chunks") if "chunks" in stored.columns else F.count("*")).alias("chunks"))
+    target = F.when(F.col("length") > 0, F.least(F.greatest(F.floor(F.col("offset") * F.col("chunks") / F.col("length")) + 1, F.lit(1)), F.col("chunks")))
+    at = windows.join(n, "scene_id").groupBy("window_id", "scene_id", "chunks").agg(F.collect_set(target).alias("targets"))
+    met = at.join(stored.select("scene_id", "memory_id", "chunk"), "scene_id")
+    met = met.withColumn("far", F.when(F.col("chunks") > 1, F.array_min(F.transform("targets", lambda t: F.abs(F.col("chunk") - t)))))
+    met = met.withColumn("near", F.col("far").isNull() | (F.col("far") <= radius))
+    met = met.withColumn("some", F.bool_or("near").over(Window.partitionBy("window_id"))).where("near or not some")
+    best = Window.partitionBy("window_id").orderBy(F.when(F.col("some"), F.col("far")), "chunk", "memory_id")
+    return met.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= max(1, most)).select("window_id", "memory_id", "chunk")
 
 
 def evidence(parsed: DataFrame) -> DataFrame:

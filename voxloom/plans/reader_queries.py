@@ -40,7 +40,7 @@ def w_memories(spark: SparkSession, d: str) -> DataFrame:
     """Memory documents of a volume, as the memories of its one long scene, for every dialogue window."""
     w = W.dialogue_windows(once(table(spark, d, "dialogues"), ["dialogue_id"], DIALOGUE))
     size = w.groupBy("volume_id").agg(F.max("dialogue_index").alias("_max"))
-    at = w.groupBy("window_id", "volume_id").agg(F.min("dialogue_index").alias("offset")).join(size, "volume_id").select("window_id", F.col("volume_id").alias("scene_id"), "offset", (F.col("_max") + 1).alias("length"))
+    at = w.join(size, "volume_id").select("window_id", F.col("volume_id").alias("scene_id"), F.col("dialogue_index").alias("offset"), (F.col("_max") + 1).alias("length"))
     m = table(spark, d, "documents").where("doc_kind = 'memory' and volume_id is not null and doc_id is not null")
     m = m.select(F.col("volume_id").alias("scene_id"), F.col("doc_id").alias("memory_id")).withColumn("chunk", F.row_number().over(Window.partitionBy("scene_id").orderBy("memory_id")))
     return R.memories(at, m, 1, 2)
