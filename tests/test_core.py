@@ -279,3 +279,14 @@ def test_memories_of_all_dialogues(spark):
     assert pick(m, 1, 2) == [("w", "m1"), ("w", "m2"), ("x", "m2"), ("x", "m3"), ("y", "n1"), ("y", "n2"), ("z", "o1"), ("z", "o2")]
     # nothing within the radius: the first ones
     assert pick(m.where("scene_id = 't' and chunk = 1").withColumn("chunks", F.lit(4)), 0, 6) == [("y", "n1")]
+
+
+def test_volumes_from_a_hundred_on(spark, tmp_path):
+    from voxloom.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    for n in ("1", "12", "120", "123"):
+        (tmp_path / "in" / f"novel{n}.txt").write_text("序幕\n「走吧」", encoding="utf-8")
+    assert main(["preprocess", "--input", f"{tmp_path}/in", "--output", f"{tmp_path}/out"]) == 0
+    got = spark.read.parquet(f"{tmp_path}/out/dialogues").select("volume_id", "dialogue_id").collect()
+    assert sorted(map(tuple, got)) == [(v, f"{v}-d000001") for v in ("volume_01", "volume_12", "volume_120", "volume_123")]

@@ -54,7 +54,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.verb == "preprocess":
         v = files.read_volumes(spark, args.input)
         number = F.regexp_extract("path", "([0-9]+)[^/0-9]*$", 1)
-        out = pipeline.preprocess(v.select(F.concat(F.lit("volume_"), F.lpad(number, 2, "0")).alias("volume_id"), "text"), args.context, args.scene_cap)
+        padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)  # lpad also cuts
+        out = pipeline.preprocess(v.select(F.concat(F.lit("volume_"), padded).alias("volume_id"), "text"), args.context, args.scene_cap)
     elif args.verb == "discover":
         out = {"characters": pipeline.discover(spark.read.parquet(args.responses))}
     else:
