@@ -290,3 +290,12 @@ def test_volumes_from_a_hundred_on(spark, tmp_path):
     assert main(["preprocess", "--input", f"{tmp_path}/in", "--output", f"{tmp_path}/out"]) == 0
     got = spark.read.parquet(f"{tmp_path}/out/dialogues").select("volume_id", "dialogue_id").collect()
     assert sorted(map(tuple, got)) == [(v, f"{v}-d000001") for v in ("volume_01", "volume_12", "volume_120", "volume_123")]
+
+
+def test_paragraph_cards_keep_360_characters(spark, tmp_path):
+    from voxloom.plans.reader_queries import j_paragraph_cards
+
+    spark.createDataFrame([("p1", "字" * 61), ("p2", "字" * 360), ("p3", "字" * 361)], "paragraph_id string, text string").write.parquet(f"{tmp_path}/paragraphs.parquet")
+    spark.createDataFrame([("d1", "p1")], "dialogue_id string, paragraph_id string").write.parquet(f"{tmp_path}/dialogues.parquet")
+    got = {r.paragraph_id: (r.text, r.dialogue_ids) for r in j_paragraph_cards(spark, str(tmp_path)).collect()}
+    assert got == {"p1": ("字" * 61, "d1"), "p2": ("字" * 360, ""), "p3": ("字" * 359 + "…", "")}

@@ -49,7 +49,7 @@ def w_memories(spark: SparkSession, d: str) -> DataFrame:
 def j_paragraph_cards(spark: SparkSession, d: str) -> DataFrame:
     p = once(table(spark, d, "paragraphs"), ["paragraph_id"], ["text"])
     q = once(table(spark, d, "dialogues"), ["dialogue_id"], ["paragraph_id"])
-    return R.paragraph_cards(p, q, 60).withColumn("dialogue_ids", F.array_join("dialogue_ids", "|"))
+    return R.paragraph_cards(p, q).withColumn("dialogue_ids", F.array_join("dialogue_ids", "|"))
 
 
 def v_weights(spark: SparkSession, d: str) -> DataFrame:
