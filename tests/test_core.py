@@ -299,3 +299,20 @@ def test_paragraph_cards_keep_360_characters(spark, tmp_path):
     spark.createDataFrame([("d1", "p1")], "dialogue_id string, paragraph_id string").write.parquet(f"{tmp_path}/dialogues.parquet")
     got = {r.paragraph_id: (r.text, r.dialogue_ids) for r in j_paragraph_cards(spark, str(tmp_path)).collect()}
     assert got == {"p1": ("字" * 61, "d1"), "p2": ("字" * 360, ""), "p3": ("字" * 359 + "…", "")}
+
+
+def test_prompts_hold_memories_mysteries_and_context(spark):
+    import json
+
+    text = "第1章\n罗伦走进村落。\n「我叫罗伦。」\n门外有人影。\n「你好啊。」"
+    t = pipeline.preprocess(spark.createDataFrame([("volume_01", text)], "volume_id string, text string"), 1, 20)
+    d = t["dialogues"].orderBy("dialogue_index").collect()
+    cards = spark.createDataFrame([("c1", "volume_01", "罗伦", [], [], [], None, None, 0.5), ("c2", "volume_01", "赫萝", [], [], [], None, None, 0.5)], "entity_id string, volume_id string, display_name string, aliases array<string>, titles array<string>, speech_markers array<string>, first_seen_scene_id string, latest_seen_scene_id string, confidence double")
+    models = spark.createDataFrame([("m", 1.0)], "model string, weight double")
+    memories = spark.createDataFrame([(f"{d[0].scene_id}-r001", d[0].scene_id, 1, 1, "两人相遇", ["赫萝"], ["旅伴"], "夜")], "scene_id string, parent_scene_id string, chunk_index int, chunk_count int, scene_summary string, active_characters array<string>, relationships array<string>, notes string")
+    mysteries = spark.createDataFrame([("m1", "volume_01", "黑衣人", d[0].scene_id, "门外的人", [d[1].dialogue_id], 0.5), ("m2", "volume_01", "别人", "elsewhere", "", ["none"], 0.5)], "mystery_id string, volume_id string, name string, scene_id string, description string, evidence array<string>, confidence double")
+    asked, _, _, options = pipeline.requests(t["dialogues"], cards, models, t["paragraphs"], memories, mysteries)
+    p = [json.loads(r.prompt.split("\n", 1)[1]) for r in asked.collect()]
+    assert len(p) == 1 and [x["entity_id"] for x in p[0]["candidates"]] == ["c2", "c1"] and {r.entity_id for r in options.collect()} == {"c1", "c2"}
+    assert [(x["scene_summary"], x["active_characters"]) for x in p[0]["scene_memory"]] == [("两人相遇", ["赫萝"])] and [x["mystery_id"] for x in p[0]["mysteries"]] == ["m1"]
+    assert "门外有人影。" in [x["text"] for x in p[0]["paragraphs"]] and [x["target_dialogue_ids"] for x in p[0]["paragraphs"] if x["text"] == "「你好啊。」"] == [[d[1].dialogue_id]]

@@ -40,6 +40,8 @@ def main(argv: list[str] | None = None) -> int:
         a.add_argument("--cards", required=True)
         a.add_argument("--output", required=True)
         a.add_argument("--model", action="append", required=True)
+        a.add_argument("--memories")
+        a.add_argument("--mysteries")
         if verb == "annotate":
             a.add_argument("--responses", required=True)
             a.add_argument("--structured", action="store_true")
@@ -61,10 +63,11 @@ def main(argv: list[str] | None = None) -> int:
     else:
         tables = {n: spark.read.parquet(f"{args.tables}/{n}") for n in ("dialogues", "paragraphs")}
         cards, models = spark.read.parquet(args.cards), spark.createDataFrame(weights(args.model), "model string, weight double")
+        memories, mysteries = (spark.read.parquet(x) if x else None for x in (args.memories, args.mysteries))
         if args.verb == "prompts":
-            out = {"requests": pipeline.requests(tables["dialogues"], cards, models)[0]}
+            out = {"requests": pipeline.requests(tables["dialogues"], cards, models, tables["paragraphs"], memories, mysteries)[0]}
         else:
-            out = pipeline.annotate(tables["dialogues"], tables["paragraphs"], cards, models, spark.read.parquet(args.responses), not args.structured)
+            out = pipeline.annotate(tables["dialogues"], tables["paragraphs"], cards, models, spark.read.parquet(args.responses), not args.structured, memories, mysteries)
     for name, df in out.items():
         df.write.mode("overwrite").parquet(f"{args.output}/{name}")
     return 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import text as X
 from voxloom.operators import candidates as C
 from voxloom.operators import entities as E
+from voxloom.operators import reader as N
 from voxloom.operators import render as O
 from voxloom.operators import responses as J
 from voxloom.operators import rules as R
@@ -37,32 +38,68 @@ def preprocess(volumes: DataFrame, context: int = 3, cap: int = 80) -> dict[str,
     return {"paragraphs": paragraphs, "dialogues": dialogues, "chapters": S.chapter_ranges(paragraphs), "scenes": S.scenes(paragraphs, dialogues), "volumes": S.volumes(paragraphs, dialogues)}
 
 
-def requests(dialogues: DataFrame, cards: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def requests(dialogues: DataFrame, cards: DataFrame, models: DataFrame, paragraphs: DataFrame | None = None, memories: DataFrame | None = None, mysteries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Requests with their prompts (one per window and model), windows, lines and options.
 
-    models: `model, weight`, the few models of a run.
+    models: `model, weight`, the few models of a run. paragraphs give the context of a
+    window. memories: `scene_id, parent_scene_id, chunk_index, chunk_count, scene_summary,
+    active_characters, relationships, notes`. mysteries: `mystery_id, volume_id, name,
+    scene_id, description, evidence, confidence`. What isn't given is left out.
     """
     scratch = Scratch(dialogues.sparkSession)
     windows = W.dialogue_windows(dialogues)
     lines = scratch.save(R.lines(windows), "lines")
-    context = lines.join(windows.select("dialogue_id", "scene_id"), "dialogue_id").select("window_id", "volume_id", "scene_id", F.col("context").alias("text"))
-    options = scratch.save(C.score_characters(context, cards).join(C.speaker_options(cards), "entity_id").select("window_id", "rank", "entity_id", "display", "names", "markers"), "options")
-    asked = lines.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("window_pos", "dialogue_id", "text", F.array_join("narration", "\n").alias("around")))).alias("dialogues"))
-    who = options.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity_id", "display", "names"))).alias("candidates"))
-    payload = asked.join(who, "window_id", "left").select("window_id", F.concat(F.lit(INSTRUCTION + "\n"), F.to_json(F.struct("dialogues", "candidates"), {"pretty": "true"})).alias("prompt"))
+    place = windows.select("window_id", "volume_id", "scene_id").distinct()
+    context = lines.join(windows.select("dialogue_id", "scene_id"), "dialogue_id").select("window_id", "volume_id", "scene_id", F.col("context").alias("text"), F.array("dialogue_id").alias("ids"))
+    parts, active = {}, None
+    if paragraphs is not None:
+        near = W.window_context(windows, paragraphs).join(paragraphs.select("paragraph_id", "paragraph_index", "text"), "paragraph_id")
+        context = context.unionByName(near.join(place, "window_id").select("window_id", "volume_id", "scene_id", "text", F.array("paragraph_id").alias("ids")))
+        own = windows.groupBy("window_id", "paragraph_id").agg(F.array_sort(F.collect_list("dialogue_id")).alias("own"))
+        shown = near.join(own, ["window_id", "paragraph_id"], "left").select("window_id", "paragraph_index", "paragraph_id", X.truncate(F.col("text"), 360).alias("text"), N.texts("own").alias("target_dialogue_ids"))
+        parts["paragraphs"] = _listed(shown, ["paragraph_index", "paragraph_id", "text", "target_dialogue_ids"], "paragraphs")
+    if memories is not None:
+        m = scratch.save(memories.withColumn("_s", F.coalesce("parent_scene_id", "scene_id")).withColumn("_c", F.coalesce(F.col("chunk_index").cast("int"), F.lit(0))).where("_s is not null"), "memories")
+        if paragraphs is not None:
+            size = paragraphs.groupBy("scene_id").agg(F.min("paragraph_index").alias("lo"), (F.max("paragraph_index") - F.min("paragraph_index") + 1).alias("length"))
+        else:
+            size = place.select("scene_id", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("length")).distinct()
+        at = windows.join(size, "scene_id", "left").select("window_id", "scene_id", F.least(F.greatest(F.col("paragraph_index") - F.col("lo"), F.lit(0)), F.col("length") - 1).alias("offset"), "length")
+        stored = m.select(F.col("_s").alias("scene_id"), F.col("scene_id").alias("memory_id"), F.col("_c").alias("chunk"), F.coalesce(F.col("chunk_count").cast("long"), F.lit(0)).alias("chunks"))
+        picked = N.memories(at, stored).select("window_id", F.col("memory_id").alias("scene_id"), F.col("chunk").alias("_c"))
+        chosen = scratch.save(picked.join(m, ["scene_id", "_c"]).select("window_id", F.col("_c").alias("chunk_index"), "scene_id", "parent_scene_id", "chunk_count", X.truncate(F.col("scene_summary"), 260).alias("scene_summary"), N.texts("active_characters").alias("_a"), X.unique_strings(N.texts("active_characters"), 12).alias("active_characters"), X.unique_strings(N.texts("relationships"), 6).alias("relationships"), X.truncate(F.col("notes"), 160).alias("notes")), "chosen")
+        active = chosen.select("window_id", F.explode("_a").alias("name")).select("window_id", X.clean_text(F.col("name")).alias("name")).where("name <> ''")
+        parts["scene_memory"] = _listed(chosen, ["chunk_index", "scene_id", "parent_scene_id", "chunk_count", "scene_summary", "active_characters", "relationships", "notes"], "scene_memory")
+    context = scratch.save(context, "context")
+    options = scratch.save(C.score_characters(context, cards, active).join(C.speaker_options(cards), "entity_id").select("window_id", "rank", "entity_id", "display", "names", "markers"), "options")
+    parts["dialogues"] = lines.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("window_pos", "dialogue_id", "text", F.array_join("narration", "\n").alias("around")))).alias("dialogues"))
+    parts["candidates"] = _listed(options, ["rank", "entity_id", "display", "names"], "candidates")
+    if mysteries is not None:
+        card = mysteries.select("mystery_id", "name", X.truncate(F.col("description"), 240).alias("description"), X.unique_strings(N.texts("evidence"), 8).alias("evidence"), F.col("scene_id").alias("source_scene_id"), X.safe_double(F.col("confidence"), 0.5).alias("confidence"))
+        found = C.score_mysteries(context, mysteries).join(card, "mystery_id")
+        parts["mysteries"] = _listed(found, ["rank", "mystery_id", "name", "description", "evidence", "source_scene_id", "confidence"], "mysteries")
+    payload = parts["dialogues"]
+    for name in (given := [x for x in ("paragraphs", "scene_memory", "candidates", "mysteries") if x in parts]):
+        payload = payload.join(parts[name], "window_id", "left")
+    payload = payload.select("window_id", F.concat(F.lit(INSTRUCTION + "\n"), F.to_json(F.struct("dialogues", *given), {"pretty": "true"})).alias("prompt"))
     every = payload.withColumn("m", F.explode(F.array(*[F.struct(F.lit(r.model).alias("model"), F.lit(float(r.weight)).alias("weight")) for r in models.collect()])))  # a row per model of the run
     every = every.select(F.concat_ws("--", "window_id", F.lit("annotation"), X.safe_model(F.col("m.model"))).alias("request_id"), "window_id", "m.model", "prompt", X.estimate_tokens(F.col("prompt")).alias("tokens"))
     return every, windows, lines, options
 
 
-def annotate(dialogues: DataFrame, paragraphs: DataFrame, cards: DataFrame, models: DataFrame, responses: DataFrame, anchored: bool = True) -> dict[str, DataFrame]:
+def _listed(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """`window_id` and the rows of each window as one list, ordered by the columns."""
+    return rows.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+
+def annotate(dialogues: DataFrame, paragraphs: DataFrame, cards: DataFrame, models: DataFrame, responses: DataFrame, anchored: bool = True, memories: DataFrame | None = None, mysteries: DataFrame | None = None) -> dict[str, DataFrame]:
     """Stored answers and rules to one speaker per dialogue, the review queue, labeled text and failures.
 
     responses: `request_id, raw, pos`. A missing or unreadable answer is a failure row; its
     dialogues still get the votes of the rules.
     """
     scratch = Scratch(dialogues.sparkSession)
-    asked, windows, lines, options = requests(dialogues, cards, models)
+    asked, windows, lines, options = requests(dialogues, cards, models, paragraphs, memories, mysteries)
     asked = scratch.save(asked, "requests")
     hit, missing = J.replay(asked.select("request_id", "model"), responses)
     parsed = hit.select("request_id", "model", J.parse_json(F.col("raw")).alias("v"))
