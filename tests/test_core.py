@@ -316,3 +316,11 @@ def test_prompts_hold_memories_mysteries_and_context(spark):
     assert len(p) == 1 and [x["entity_id"] for x in p[0]["candidates"]] == ["c2", "c1"] and {r.entity_id for r in options.collect()} == {"c1", "c2"}
     assert [(x["scene_summary"], x["active_characters"]) for x in p[0]["scene_memory"]] == [("两人相遇", ["赫萝"])] and [x["mystery_id"] for x in p[0]["mysteries"]] == ["m1"]
     assert "门外有人影。" in [x["text"] for x in p[0]["paragraphs"]] and [x["target_dialogue_ids"] for x in p[0]["paragraphs"] if x["text"] == "「你好啊。」"] == [[d[1].dialogue_id]]
+
+
+def test_merged_cards_keep_summaries_and_evidence(spark):
+    schema = "entity_id string, entity_type string, display_name string, aliases array<string>, importance string, dialogue_count int, latest_seen_chunk_id string, summary string, evidence_refs array<string>"
+    rows = [(i, t, i, [], "minor", 1, "v-r000001", s, e) for i, t, s, e in (("a", "mystery", "甲", ["e1"]), ("b", "npc_group", "乙" * 119, ["e2", "e1"]), ("c", "character", "丙 甲", ["e3"]), ("d", "character", " 丁 ", None), ("x", "character", None, ["e4"]))]
+    m = spark.createDataFrame([("a", "b", 2), ("b", "c", 3), ("d", "c", 1)], "source string, target string, edge_id int")
+    got = {r.entity_id: (r.merged, r.summary, r.evidence_refs) for r in E.merge_cards(spark.createDataFrame(rows, schema), resolve_aliases(m), m).collect()}
+    assert got == {"c": (4, "丙 甲 丁 " + "乙" * 119 + "…", ["e3", "e2", "e1"]), "x": (1, "", ["e4"])}

@@ -103,15 +103,42 @@ def merges(edges: DataFrame, floor: float = MERGE_FLOOR) -> DataFrame:
     return first.join(groups(pairs).withColumnRenamed("node", "a"), "a").select("group", "e.*").groupBy("group").applyInPandas(fold, schema)
 
 
-def merge_cards(cards: DataFrame, resolved: DataFrame) -> DataFrame:
-    """One card per resolved entity: names of all, counts summed, the highest importance, the latest chunk."""
-    met = cards.join(resolved, cards.entity_id == resolved.node, "left").withColumn("into", F.coalesce("resolved", "entity_id"))
-    names = F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    found = met.groupBy(F.col("into").alias("entity_id")).agg(
+def merge_cards(cards: DataFrame, resolved: DataFrame, merged: DataFrame) -> DataFrame:
+    """One card per resolved entity: names of all, counts summed, the highest importance, the latest chunk, summaries and evidence.
+
+    merged: what `merges` gives; the summary and, if the cards have it, `evidence_refs`
+    grow in order of the merges.
+    """
+    proof = "evidence_refs" in cards.columns
+    refs = X.unique_strings(F.col("evidence_refs")) if proof else F.array().cast("array<string>")
+    met = cards.join(resolved, cards.entity_id == resolved.node, "left").withColumn("into", F.coalesce("resolved", "entity_id")).withColumn("_s", X.clean_text(F.col("summary"))).withColumn("_e", refs)
+    names, own = F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.col("entity_id") == F.col("into")
+    found = met.groupBy("into").agg(
         F.count("*").alias("merged"), F.sum(F.coalesce("dialogue_count", F.lit(0))).alias("dialogue_count"), F.max(X.importance_level(F.col("importance"))).alias("level"),
         F.max(X.chunk_number(F.col("latest_seen_chunk_id"))).alias("latest_chunk"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(X.unique_strings(names))))).alias("names"),
+        F.max(F.when(own, F.col("_s"))).alias("_s"), F.max(F.when(own, F.slice("_e", 1, 24))).alias("_e"),
     )
-    return found.withColumn("importance", F.element_at(F.array(*map(F.lit, X.IMPORTANCE)), F.col("level") + 1)).drop("level")
+    nothing = F.lit(None).cast("string")
+    held = met.where("node is not null").select("into", F.lit(None).cast(merged.schema["edge_id"].dataType).alias("edge_id"), F.col("entity_id").alias("id"), nothing.alias("target"), F.col("entity_type").isin("npc", "npc_group").alias("many"), "_s", "_e")
+    moves = merged.join(resolved, merged.target == resolved.node).select(F.col("resolved").alias("into"), "edge_id", F.col("source").alias("id"), "target", F.lit(None).cast("boolean").alias("many"), nothing.alias("_s"), F.lit(None).cast("array<string>").alias("_e"))
+    texts = held.unionByName(moves).groupBy("into").applyInPandas(_merge_texts, "into string, summary string, evidence_refs array<string>")
+    out = found.join(texts, "into", "left").withColumn("summary", F.coalesce("summary", "_s", F.lit(""))).withColumn("evidence_refs", F.coalesce("evidence_refs", "_e", F.array().cast("array<string>")))
+    out = out.withColumn("importance", F.element_at(F.array(*map(F.lit, X.IMPORTANCE)), F.col("level") + 1)).withColumnRenamed("into", "entity_id").drop("level", "_s", "_e")
+    return out if proof else out.drop("evidence_refs")
+
+
+def _merge_texts(g: pd.DataFrame) -> pd.DataFrame:
+    """Summary and evidence of one resolved entity after its merges in order of their edges."""
+    cards, into = g[g.target.isna()], g["into"].iloc[0]
+    text, many, proof = dict(zip(cards.id, cards._s)), dict(zip(cards.id, cards.many)), {i: list(e) for i, e in zip(cards.id, cards._e)}
+    for r in g[g.target.notna()].sort_values("edge_id").itertuples(index=False, name=None):
+        s, t = r[2], r[3]
+        more, now = text.get(s) or "", text.get(t) or ""
+        if more and more not in now:
+            now, most = " ".join(x for x in (now, more) if x), 120 if many.get(t) else 180
+            text[t] = now if len(now) <= most else now[: most - 1] + "…"
+        proof[t] = list(dict.fromkeys([*proof.get(t, []), *proof.get(s, [])]))[:24]
+    return pd.DataFrame({"into": [into], "summary": [text.get(into) or ""], "evidence_refs": [proof.get(into, [])[:24]]})
 
 
 def apply_merges(annotations: DataFrame, resolved: DataFrame, cards: DataFrame, floor: float = 0.92) -> DataFrame:

@@ -11,6 +11,7 @@ from voxloom.operators import responses as J
 from voxloom.operators.graph import resolve_aliases
 from voxloom.plans.sql import ONCE, any_of, clean, in_list, quoted
 from voxloom.plans.vote_queries import votes_of
+from voxloom.sources.scratch import Scratch
 from voxloom.sources.tables import once, table
 
 CARD = ["volume_id", "entity_type", "display_name", "aliases", "importance", "dialogue_count", "first_seen_chunk_id", "latest_seen_chunk_id"]
@@ -42,7 +43,9 @@ def e_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e_merged(spark: SparkSession, d: str) -> DataFrame:
-    found = E.merge_cards(_cards(spark, d), resolve_aliases(E.merges(_edges(spark, d))))
+    merged = Scratch(spark).save(E.merges(_edges(spark, d)), "merges")
+    cards = once(table(spark, d, "entity_cards"), ["entity_id"], [*CARD, "summary"])
+    found = E.merge_cards(cards, resolve_aliases(merged), merged)
     return found.withColumn("names", F.array_join("names", "|"))
 
 
