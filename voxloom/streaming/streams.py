@@ -1,6 +1,7 @@
 """Structured Streaming forms: windows, sessions, and keyed state with expiry.
 
-Every stream reads a folder of Parquet files as they arrive; `run` drives one to the end
+Every stream reads a folder of Parquet files as they arrive (session windows are batch
+only); `run` drives one to the end
 of what is there and returns what it wrote, in the shared folder, so it can be restarted.
 """
 
