@@ -82,30 +82,35 @@ _C = ONCE("entity_cards", "entity_id, " + ", ".join(CARD))
 _LEVEL = "CASE importance WHEN 'major' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
 _CHUNK = lambda c: f"coalesce(try_cast(nullif(regexp_extract({c}, '-r([0-9]+)$', 1), '') AS INTEGER), 0)"
 _NAME = lambda c: f"trim(regexp_replace({c}, '^{X.WS}+|{X.WS}+$', '', 'g'), {quoted(X.NAME_EDGE)})"
-_MERGE = "mg AS (SELECT source_entity_id AS source, min_by(target_entity_id, edge_id) AS target FROM alias_edges WHERE coalesce(confidence, 0) >= 0.85 AND source_entity_id <> target_entity_id GROUP BY 1)"
-_RESOLVE = f"""{_MERGE}, rc(x, y) AS (SELECT source, target FROM mg UNION SELECT x, target FROM rc JOIN mg ON y = source),
-        nd AS (SELECT source AS x FROM mg UNION SELECT target FROM mg),
-        en AS (SELECT x, y FROM rc WHERE y NOT IN (SELECT source FROM mg) UNION SELECT x, x FROM nd WHERE x NOT IN (SELECT source FROM mg)),
-        cy AS (SELECT a.x, min(a.y) AS y FROM rc a JOIN rc b ON a.y = b.x AND b.x = b.y GROUP BY a.x),
-        rs AS (SELECT nd.x AS node, coalesce(en.y, cy.y) AS resolved FROM nd LEFT JOIN en USING (x) LEFT JOIN cy ON cy.x = nd.x)"""
+_SURE = "sure AS (SELECT edge_id, source_entity_id AS source, target_entity_id AS target FROM (SELECT DISTINCT edge_id, source_entity_id, target_entity_id, confidence FROM alias_edges) WHERE coalesce(confidence, 0) >= 0.85 AND source_entity_id <> target_entity_id)"
+#: One step per sure edge in order of the edges: `st` holds after step i where every node has gone and what is written on its card.
+_STEPS = f"""{_SURE}, ed AS (SELECT *, row_number() OVER (ORDER BY edge_id) AS i FROM sure),
+        st(i, node, root, said, many) AS (SELECT CAST(0 AS BIGINT), n, n, coalesce({clean("summary")}, ''), coalesce(entity_type IN ('npc', 'npc_group'), false)
+            FROM (SELECT source AS n FROM sure UNION SELECT target FROM sure) LEFT JOIN (SELECT DISTINCT entity_id, entity_type, summary FROM entity_cards) ON entity_id = n
+          UNION ALL SELECT i + 1, node, CASE WHEN root = s THEN t ELSE root END,
+            CASE WHEN node <> t OR s = t OR more = '' OR contains(said, more) THEN said WHEN length(joined) > most THEN left(joined, most - 1) || '…' ELSE joined END, many
+            FROM (SELECT *, trim(said || ' ' || more) AS joined, CASE WHEN many THEN 120 ELSE 180 END AS most FROM (SELECT *, max(CASE WHEN node = s THEN said END) OVER () AS more
+              FROM (SELECT st.*, max(CASE WHEN node = source THEN root END) OVER () AS s, max(CASE WHEN node = target THEN root END) OVER () AS t FROM st JOIN ed ON ed.i = st.i + 1))))"""
+_RESOLVE = f"""{_STEPS}, rs AS (SELECT node, root AS resolved, said FROM st WHERE i = (SELECT count(*) FROM ed)),
+        mg AS (SELECT a.root AS source, b.root AS target FROM ed JOIN st a ON a.i = ed.i - 1 AND a.node = ed.source JOIN st b ON b.i = ed.i - 1 AND b.node = ed.target WHERE a.root <> b.root)"""
 _STATUS = f"CASE WHEN {clean('speaker_status')} IN {in_list(X.STATUSES)} THEN {clean('speaker_status')} ELSE 'review' END"
 _SLUG = lambda c: f"coalesce(nullif(trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_]+', '_', 'g'), '_'), ''), 'unknown')"
 
 SQL = {
     "e_aliases": f"SELECT entity_id, alias, CAST(min(pos) AS INTEGER) AS pos FROM (SELECT entity_id, {_NAME('a')} AS alias, pos FROM (SELECT entity_id, unnest(aliases) AS a, generate_subscripts(aliases, 1) - 1 AS pos FROM {_C})) WHERE alias <> '' GROUP BY ALL",
-    "e_merges": f"WITH {_MERGE} SELECT * FROM mg",
+    "e_merges": f"WITH RECURSIVE {_RESOLVE} SELECT * FROM mg",
     "e_resolve": f"WITH RECURSIVE {_RESOLVE} SELECT node, resolved FROM rs",
     "e_merged": f"""WITH RECURSIVE {_RESOLVE}, m AS (SELECT coalesce(resolved, entity_id) AS into_id, c.* FROM {_C} c LEFT JOIN rs ON node = entity_id),
         n AS (SELECT into_id, array_to_string(list_sort(list(DISTINCT x)), '|') AS names FROM (SELECT into_id, {clean("y")} AS x FROM (SELECT into_id, unnest(list_concat([display_name], coalesce(aliases, []))) AS y FROM m)) WHERE x <> '' GROUP BY 1)
-        SELECT m.into_id AS entity_id, count(*) AS merged, CAST(sum(coalesce(dialogue_count, 0)) AS BIGINT) AS dialogue_count, max({_CHUNK("latest_seen_chunk_id")}) AS latest_chunk, any_value(coalesce(names, '')) AS names, list_extract(['minor', 'medium', 'major'], max({_LEVEL}) + 1) AS importance
-        FROM m LEFT JOIN n USING (into_id) GROUP BY m.into_id""",
+        SELECT m.into_id AS entity_id, count(*) AS merged, CAST(sum(coalesce(dialogue_count, 0)) AS BIGINT) AS dialogue_count, max({_CHUNK("latest_seen_chunk_id")}) AS latest_chunk, any_value(coalesce(names, '')) AS names, any_value(coalesce(w.said, (SELECT max({clean("o.summary")}) FROM entity_cards o WHERE o.entity_id = m.into_id), '')) AS summary, list_extract(['minor', 'medium', 'major'], max({_LEVEL}) + 1) AS importance
+        FROM m LEFT JOIN n USING (into_id) LEFT JOIN rs w ON w.node = m.into_id GROUP BY m.into_id""",
     "e_backfill": f"""WITH RECURSIVE {_RESOLVE}, a AS (SELECT DISTINCT edge_id, source_entity_id AS s FROM alias_edges WHERE source_entity_id IS NOT NULL),
         b AS (SELECT a.*, resolved, c.entity_id AS cid, display_name, entity_type FROM a LEFT JOIN rs ON node = s AND node <> resolved LEFT JOIN {_C} c ON c.entity_id = resolved)
         SELECT CAST(edge_id AS VARCHAR) AS dialogue_id, coalesce(resolved, s) AS speaker_entity_id, CASE WHEN cid IS NOT NULL THEN coalesce(display_name, '') ELSE '?' END AS speaker_display,
           CASE WHEN cid IS NULL THEN 'mystery' WHEN entity_type IN ('character', 'known') THEN 'known' WHEN entity_type = 'mystery' THEN 'mystery' WHEN entity_type IN ('npc', 'npc_group') THEN 'npc_group' ELSE 'unknown' END AS speaker_status,
           CAST(CASE WHEN cid IS NOT NULL THEN 0.92 ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN cid IS NOT NULL THEN '实体别名归一：' || s || ' -> ' || resolved ELSE '' END AS evidence FROM b""",
     "e_top": f"SELECT volume_id, CAST(rank AS INTEGER) AS rank, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY {_LEVEL} DESC, {_CHUNK('latest_seen_chunk_id')} DESC, entity_id) AS rank FROM {_C}) WHERE rank <= 12",
-    "e_pending": f"""WITH {_MERGE}, n AS (SELECT volume_id, max({_CHUNK("latest_seen_chunk_id")}) AS now_chunk FROM {_C} GROUP BY 1)
+    "e_pending": f"""WITH RECURSIVE {_RESOLVE}, n AS (SELECT volume_id, max({_CHUNK("latest_seen_chunk_id")}) AS now_chunk FROM {_C} GROUP BY 1)
         SELECT entity_id, volume_id, {_CHUNK("first_seen_chunk_id")} AS first_chunk, now_chunk, first_chunk > 0 AND now_chunk - first_chunk >= 12 AS expired FROM {_C} JOIN n USING (volume_id)
         WHERE entity_type = 'mystery' AND {_LEVEL} > 0 AND entity_id NOT IN (SELECT source FROM mg)""",
     "j_votes": f"""WITH v AS (SELECT dialogue_id, model, {_STATUS} AS st, {clean("speaker_entity_id")} AS en, {clean("speaker_display")} AS di, least(1.0, greatest(0.0, coalesce(confidence, 0.0))) AS confidence, coalesce(needs_review, false) AS rv,

@@ -73,11 +73,12 @@ SQL = {
         SELECT speaker_entity_id AS entity_id, first(CASE speaker_status WHEN 'known' THEN 'character' ELSE speaker_status END ORDER BY chunk, speaker_display, CASE speaker_status WHEN 'known' THEN 'character' ELSE speaker_status END) AS entity_type, first(speaker_display ORDER BY chunk, speaker_display) AS display_name, min(chunk) AS first_chunk FROM v
         WHERE speaker_entity_id IS NOT NULL AND speaker_status IN ('known', 'mystery', 'npc_group') AND {clean("speaker_display")} <> '' AND speaker_entity_id NOT IN (SELECT entity_id FROM entity_cards) GROUP BY 1""",
     "e_snapshot": f"SELECT volume_id, entity_id, display_name FROM {_C} QUALIFY row_number() OVER (PARTITION BY volume_id ORDER BY entity_id DESC) <= 30",
-    "w_memories": f"""WITH {WINDOWS}, s AS (SELECT window_id, volume_id, min(dialogue_index) AS o FROM win GROUP BY ALL), z AS (SELECT volume_id, max(dialogue_index) + 1 AS n FROM win GROUP BY 1),
+    "w_memories": f"""WITH {WINDOWS}, s AS (SELECT DISTINCT window_id, volume_id, dialogue_index AS o FROM win), z AS (SELECT volume_id, max(dialogue_index) + 1 AS n FROM win GROUP BY 1),
         m AS (SELECT volume_id, doc_id, row_number() OVER (PARTITION BY volume_id ORDER BY doc_id) AS chunk, count(*) OVER (PARTITION BY volume_id) AS c FROM documents WHERE doc_kind = 'memory' AND volume_id IS NOT NULL),
-        f AS (SELECT window_id, doc_id, chunk, c, abs(chunk - least(o * c // n + 1, c)) AS far FROM s JOIN z USING (volume_id) JOIN m USING (volume_id))
-        SELECT window_id, doc_id AS memory_id, CAST(chunk AS INTEGER) AS chunk FROM f WHERE c <= 1 OR far <= 1 QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY far, chunk, doc_id) <= 2""",
+        f AS (SELECT window_id, doc_id, chunk, CASE WHEN c > 1 THEN min(abs(chunk - least(o * c // n + 1, c))) END AS far FROM s JOIN z USING (volume_id) JOIN m USING (volume_id) GROUP BY window_id, doc_id, chunk, c),
+        g AS (SELECT *, coalesce(far <= 1, true) AS near, bool_or(coalesce(far <= 1, true)) OVER (PARTITION BY window_id) AS has FROM f)
+        SELECT window_id, doc_id AS memory_id, CAST(chunk AS INTEGER) AS chunk FROM g WHERE near OR NOT has QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY CASE WHEN has THEN far END NULLS FIRST, chunk, doc_id) <= 2""",
     "j_paragraph_cards": f"""WITH q AS (SELECT paragraph_id, array_to_string(list_sort(list(DISTINCT dialogue_id)), '|') AS d FROM dialogues GROUP BY 1)
-        SELECT p.paragraph_id, CASE WHEN length({clean("text")}) > 60 THEN left({clean("text")}, 59) || '…' ELSE {clean("text")} END AS text, coalesce(d, '') AS dialogue_ids FROM {ONCE("paragraphs", "paragraph_id, text")} p LEFT JOIN q ON q.paragraph_id = p.paragraph_id""",
+        SELECT p.paragraph_id, CASE WHEN length({clean("text")}) > 360 THEN left({clean("text")}, 359) || '…' ELSE {clean("text")} END AS text, coalesce(d, '') AS dialogue_ids FROM {ONCE("paragraphs", "paragraph_id, text")} p LEFT JOIN q ON q.paragraph_id = p.paragraph_id""",
     "v_weights": """WITH g AS (SELECT model, max(weight) AS w FROM votes WHERE model IS NOT NULL GROUP BY 1) SELECT role, model, CASE WHEN w > 1.1 AND role = 'judge' THEN w WHEN w > 0.9 AND w <= 1.1 THEN w ELSE 1.0 END AS weight FROM g CROSS JOIN (VALUES ('judge'), ('evidence')) r(role)""",
 }
