@@ -185,6 +185,57 @@ def test_consensus_beats_majority(spark):
     assert all(x.agreement is None or 0 <= x.agreement <= 1 for x in got.values())
 
 
+def _met(spark, skills, chance, n=400):
+    """The agreement of annotators with these reliabilities, without noise; every seventh pair never met."""
+    rows = [(f"m{i}", f"m{j}", n + 10 * (i + j), chance + (1 - chance) * a * b) for i, a in enumerate(skills) for j, b in enumerate(skills) if i != j and (i + j) % 7]
+    return spark.createDataFrame(rows, "a string, b string, n long, agree double")
+
+
+@pytest.mark.parametrize("skills, chance", [([0.2, 0.25, 0.3, 0.35, 0.4, 0.5], 0.1), ([0.6, 0.7, 0.75, 0.8, 0.9, 0.95], 0.1), ([0.05, 0.2, 0.5, 0.8, 0.9, 0.95, 0.3], 0.22)])
+def test_fit_recovers_planted_reliabilities(spark, skills, chance):
+    from voxloom.sources.scratch import Scratch
+
+    for start in (0.1, 0.9):
+        c, v = consensus.fit(_met(spark, skills, chance), Scratch(spark), "planted", start)
+        got = {r.model: r.r for r in v.collect()}
+        assert abs(c - chance) < 0.03 and all(abs(got[f"m{i}"] - s) < 0.01 for i, s in enumerate(skills))
+
+
+def test_fit_is_the_leading_eigenvector(spark):
+    import numpy as np
+
+    from voxloom.sources.scratch import Scratch
+
+    names = [f"m{i}" for i in range(7)]
+    rows = [r for r in _met(spark, [0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 0.4], 0.2).collect() if r.a < r.b]
+    rows = [(a, b, n, agree + random.uniform(-0.05, 0.05)) for a, b, n, agree in rows]
+    both = spark.createDataFrame([*rows, *((b, a, n, g) for a, b, n, g in rows)], "a string, b string, n long, agree double")
+    c, v = consensus.fit(both, Scratch(spark), "noisy")
+    r = np.array([x.r for x in v.orderBy("model").collect()])
+    filled, most = np.outer(r, r), max(x[2] for x in rows)
+    for a, b, n, agree in rows:
+        i, j, w = names.index(a), names.index(b), n / most
+        filled[i, j] = filled[j, i] = w * (agree - c) / (1 - c) + (1 - w) * r[i] * r[j]
+    values, vectors = np.linalg.eigh(filled)
+    assert np.abs(np.abs(vectors[:, -1]) * np.sqrt(values[-1]) - r).max() < 2e-3
+
+
+def test_reliabilities_of_many_items(spark):
+    skill = {"a": 0.9, "b": 0.8, "c": 0.6, "d": 0.5, "e": 0.3, "f": 0.05}
+    rows = []
+    for i in range(6000):
+        t = random.randint(0, 3)
+        # sure votes are right, unsure ones a guess, so that the level tells them apart
+        for m, p in skill.items():
+            knows = random.random() < p
+            rows.append((f"d{i}", m, f"s{t if knows else random.randint(0, 3)}", (0.9 if knows else 0.2) if m == "c" else 0.5))
+    votes = spark.createDataFrame(rows, "item string, model string, label string, confidence double")
+    items, annotators = consensus.consensus(votes)
+    got = {r.model: r for r in annotators.collect()}
+    assert all(abs(got[m].reliability - p) < 0.05 for m, p in skill.items()) and abs(got["a"].chance - 0.25) < 0.05
+    assert items.count() == 6000
+
+
 def test_consensus_of_little(spark):
     schema = "item string, model string, label string, confidence double"
     assert consensus.consensus(spark.createDataFrame([], schema))[0].count() == 0

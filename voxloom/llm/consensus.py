@@ -1,22 +1,29 @@
 """Problem 5: consensus of several annotators, and how far each can be relied on.
 
 Two annotators that both know the answer agree; if one guesses, they agree by chance c.
-So the agreement of a pair, centred by chance, (agree - c) / (1 - c), is the product of
-their reliabilities, and the vector of reliabilities is the leading eigenvector of the
-centred matrix. Pairs that met seldom count less: each entry is weighted by its overlap
-count, and the diagonal, which says nothing, is left out. The eigenvector is found by
-power iteration over the sparse table of pairs; c is the grid value with the least
-weighted absolute residual. A pair whose agreement is far above the product depends on
-each other: the fit is repeated without it, and in a dialogue where both give the same
-label, the weaker one's vote counts only for the part that isn't copied.
-
-A vote weighs the log odds of being right. A stated confidence moves the weight of a vote
-only as far as that annotator's votes of the same confidence proved right against the
-consensus of the others.
+So the agreement x of a pair, centred by chance, (agree - c) / (1 - c), is the product of
+their reliabilities. The centred matrix says little where a pair met seldom and nothing
+on its diagonal. Corrected for that, its entries are w * x + (1 - w) * r_a * r_b, with w
+the overlap count over the largest one and 0 on the diagonal, and the reliabilities r are
+its leading eigenvector, its length the root of the eigenvalue: the one fixed point of
+r_a = sum(n * x * r_b) / sum(n * r_b^2). Power iteration finds it by joins over the sparse
+table of pairs. The plain step would swing between s * r and r / s for ever, so a step
+goes two thirds of the way in the logarithm, and the iteration ends when no reliability
+moves by more than SETTLED. Chance is the value of the
+grid with the least weighted absolute residual; all of them are iterated side by side.
+
+A pair whose agreement is far above the product depends on each other: the fit is repeated
+without it, and in a dialogue where both give the same label, the weaker one's vote counts
+only for the part that isn't copied.
+
+A vote weighs the log odds of being right. A stated confidence moves that weight as far as
+the agreement of such votes bears it out: the row of the matrix is taken apart by
+confidence level, and each level is projected on the eigenvector like the whole row.
 
 Abstentions (null labels) are not votes; null keys are left out; a model's repeated rows
 for a dialogue count once; an empty table gives no rows. Ties go to the label with more
-votes, then to the smaller id.
+votes, then to the smaller id. An annotator without a pair that met often enough has
+reliability 0.5.
 """
 
 from __future__ import annotations
@@ -31,8 +38,10 @@ MIN_OVERLAP = 10
 CHANCE_GRID = [i / 50 for i in range(1, 26)]
 #: A pair depends on each other if its centred agreement exceeds the product by this much and by so many standard errors.
 DEPENDENT_BY, DEPENDENT_SIGMA = 0.15, 5.0
-ROUNDS, STEPS = 3, 6
-#: Votes' worth of prior in the calibration of a confidence level.
+LEAST, MOST = 0.01, 0.995
+#: Steps between two looks at the change, and the change that ends the iteration: some 20 steps, up to 150 at values of chance so high that nearly everyone is at LEAST.
+STEPS, SETTLED, MAX_STEPS = 6, 1e-4, 300
+#: Votes' worth of prior in the reliability of a confidence level.
 PRIOR = 8.0
 
 
@@ -42,46 +51,77 @@ def confidence_level(confidence: Column) -> Column:
     return F.when((c >= 0) & (c <= 1), F.least(F.floor(c * 10), F.lit(9))).otherwise(-1).cast("int")
 
 
-def _fit(pairs: DataFrame, scratch: Scratch, name: str) -> tuple[float, DataFrame]:
+def _step(entries: DataFrame, v: DataFrame) -> DataFrame:
+    """`c, model, r, was` after one step of the power iteration from `c, model, r`."""
+    met = entries.join(v.select("c", F.col("model").alias("b"), "r"), ["c", "b"])
+    new = met.groupBy("c", F.col("a").alias("model")).agg((F.sum(F.expr("n * x * r")) / F.sum(F.expr("n * r * r"))).alias("to"))
+    inside = lambda r: F.least(F.greatest(F.coalesce(r, F.lit(0.0)), F.lit(LEAST)), F.lit(MOST))
+    return new.join(v, ["c", "model"]).select("c", "model", inside(F.pow("r", 1 / 3) * F.pow(inside(F.col("to")), 2 / 3)).alias("r"), F.col("r").alias("was"))
+
+
+def fit(pairs: DataFrame, scratch: Scratch, name: str, start: float = 0.6) -> tuple[float, DataFrame]:
     """Chance level and `model, r` that fit `a, b, n, agree` (both directions of each pair) best."""
     grid = F.explode(F.array(*[F.lit(c) for c in CHANCE_GRID]))
-    entries = scratch.save(pairs.withColumn("c", grid).select("c", "a", "b", "n", ((F.col("agree") - F.col("c")) / (1 - F.col("c"))).alias("x")).coalesce(1), f"{name}-entries")
-    v = entries.select("c", F.col("a").alias("model")).distinct().withColumn("r", F.lit(0.6))
-    for i in range(ROUNDS):
+    entries = pairs.withColumn("c", grid).select("c", "a", "b", "n", ((F.col("agree") - F.col("c")) / (1 - F.col("c"))).alias("x"))
+    entries = scratch.save(entries, f"{name}-entries")
+    v = entries.select("c", F.col("a").alias("model")).distinct().withColumn("r", F.lit(start))
+    for i in range(0, MAX_STEPS, STEPS):
         for _ in range(STEPS):
-            met = entries.join(v.withColumnRenamed("model", "b"), ["c", "b"])
-            v = met.groupBy("c", F.col("a").alias("model")).agg((F.sum(F.expr("n * x * r")) / F.sum(F.expr("n * r * r"))).alias("r"))
-            v = v.select("c", "model", F.least(F.greatest(F.coalesce("r", F.lit(0.0)), F.lit(0.01)), F.lit(0.995)).alias("r"))
-        v = scratch.save(v.coalesce(1), f"{name}-v{i}")
-    met = entries.join(v.select("c", F.col("model").alias("a"), F.col("r").alias("ra")), ["c", "a"]).join(v.select("c", F.col("model").alias("b"), F.col("r").alias("rb")), ["c", "b"])
+            v = _step(entries, v.select("c", "model", "r"))
+        v = scratch.save(v, f"{name}-v{i}")
+        if i:
+            scratch.drop(f"{name}-v{i - STEPS}")
+        moved = v.agg(F.max(F.abs(F.col("r") - F.col("was")))).first()[0]
+        if moved is None or moved < SETTLED:
+            break
+    one = lambda side: v.select("c", F.col("model").alias(side), F.col("r").alias(f"r{side}"))
+    met = entries.join(one("a"), ["c", "a"]).join(one("b"), ["c", "b"])
     loss = met.groupBy("c").agg(F.sum(F.expr("n * abs(x - ra * rb) * (1 - c)")).alias("loss")).orderBy("loss", "c").first()
     best = loss.c if loss else CHANCE_GRID[0]
-    return best, v.where(F.col("c") == best).drop("c")
+    scratch.drop(f"{name}-entries")
+    return best, v.where(F.col("c") == best).select("model", "r")
+
 
+def met_pairs(votes: DataFrame) -> DataFrame:
+    """`a, level, b, n, same`: how often an annotator met another at a level of its own confidence, and agreed."""
+    pair = F.expr("""explode(flatten(transform(cast, x -> transform(filter(cast, y -> y.model <> x.model),
+        y -> struct(x.model as a, x.level as level, y.model as b, x.label = y.label as same)))))""")
+    met = votes.select(pair.alias("p"))
+    return met.groupBy("p.a", "p.level", "p.b").agg(F.count("*").alias("n"), F.count_if("p.same").alias("same"))
 
-def reliability(votes: DataFrame, scratch: Scratch) -> tuple[float, DataFrame, DataFrame]:
-    """Chance level, `model, r, votes`, and `copier, source, rate` of dependent pairs.
+
+def reliability(votes: DataFrame, scratch: Scratch) -> tuple[float, DataFrame, DataFrame, DataFrame]:
+    """Chance level, `model, r, votes`, `model, level, r`, and `copier, source, rate` of dependent pairs.
 
     votes: `item, cast ARRAY<STRUCT<model, label, level>>`, one element per annotator.
     """
-    pairs = votes.select(F.explode(F.expr("flatten(transform(cast, x -> transform(filter(cast, y -> y.model <> x.model), y -> struct(x.model as a, y.model as b, x.label = y.label as same))))")).alias("p"))
-    pairs = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n"), F.avg(F.col("p.same").cast("double")).alias("agree")).where(F.col("n") >= MIN_OVERLAP)
-    pairs = scratch.save(pairs.coalesce(1), "pairs")
-    chance, v = _fit(pairs, scratch, "first")
+    met = scratch.save(met_pairs(votes), "met")
+    pairs = met.groupBy("a", "b").agg(F.sum("n").alias("n"), (F.sum("same") / F.sum("n")).alias("agree")).where(F.col("n") >= MIN_OVERLAP)
+    pairs = scratch.save(pairs, "pairs")
+    chance, v = fit(pairs, scratch, "first")
 
     def rest(v: DataFrame, chance: float) -> DataFrame:
-        met = pairs.join(v.select(F.col("model").alias("a"), F.col("r").alias("ra")), "a").join(v.select(F.col("model").alias("b"), F.col("r").alias("rb")), "b")
-        x = (F.col("agree") - chance) / (1 - chance)
-        over = x - F.col("ra") * F.col("rb")
-        return met.withColumn("over", over).withColumn("dependent", (over > DEPENDENT_BY) & (over * F.sqrt("n") > DEPENDENT_SIGMA))
-
-    first = scratch.save(rest(v, chance).coalesce(1), "first-rest")
-    chance, v = _fit(first.where("not dependent").select("a", "b", "n", "agree"), scratch, "second")
+        with_a = pairs.join(v.select(F.col("model").alias("a"), F.col("r").alias("ra")), "a")
+        with_both = with_a.join(v.select(F.col("model").alias("b"), F.col("r").alias("rb")), "b")
+        over = (F.col("agree") - chance) / (1 - chance) - F.col("ra") * F.col("rb")
+        return with_both.withColumn("over", over).withColumn("dependent", (over > DEPENDENT_BY) & (over * F.sqrt("n") > DEPENDENT_SIGMA))
+
+    first = scratch.save(rest(v, chance), "first-rest")
+    if not first.where("dependent").isEmpty():
+        chance, v = fit(first.where("not dependent").select("a", "b", "n", "agree"), scratch, "second")
     counts = votes.select(F.explode("cast").alias("x")).groupBy(F.col("x.model").alias("model")).agg(F.count("*").alias("votes"))
-    v = scratch.save(counts.join(v, "model", "left").select("model", "votes", F.coalesce("r", F.lit(0.5)).alias("r")).coalesce(1), "reliability")
+    v = scratch.save(counts.join(v, "model", "left").select("model", "votes", F.coalesce("r", F.lit(0.5)).alias("r")), "reliability")
     weaker = (F.col("ra") < F.col("rb")) | ((F.col("ra") == F.col("rb")) & (F.col("a") > F.col("b")))
-    copied = rest(v, chance).where("dependent").where(weaker).select(F.col("a").alias("copier"), F.col("b").alias("source"), F.least(F.col("over") / (1 - F.col("ra") * F.col("rb")), F.lit(1.0)).alias("rate"))
-    return chance, v, scratch.save(copied.coalesce(1), "copied")
+    over = scratch.save(rest(v, chance), "second-rest")
+    rate = F.least(F.col("over") / (1 - F.col("ra") * F.col("rb")), F.lit(1.0))
+    copied = over.where("dependent").where(weaker).select(F.col("a").alias("copier"), F.col("b").alias("source"), rate.alias("rate"))
+    # the row of an annotator, taken apart by level and projected on the eigenvector
+    others = over.where("not dependent").select("a", "b", "ra", "rb")
+    x = (F.col("same") - chance * F.col("n")) / (1 - chance)
+    levels = met.join(others, ["a", "b"]).groupBy(F.col("a").alias("model"), "level").agg(
+        ((F.sum(x * F.col("rb")) + PRIOR * F.first("ra")) / (F.sum(F.col("n") * F.col("rb") * F.col("rb")) + PRIOR)).alias("r")
+    )
+    return chance, v, scratch.save(levels, "levels"), scratch.save(copied, "copied")
 
 
 def _scores(votes: DataFrame, weights: DataFrame, copied: DataFrame) -> DataFrame:
@@ -112,15 +152,14 @@ def consensus(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(votes.sparkSession)
     given = votes.where("label is not null").withColumn("level", confidence_level(F.col("confidence")))
     given = once(given, ["item", "model"], ["label", "level"])
-    cast = scratch.save(given.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("model", "label", "level"))).alias("cast")), "cast")
-    chance, r, copied = reliability(cast, scratch)
+    members = F.array_sort(F.collect_list(F.struct("model", "label", "level")))
+    cast = scratch.save(given.groupBy("item").agg(members.alias("cast")), "cast")
+    chance, r, by_level, copied = reliability(cast, scratch)
     others = max(1.0, 1 / chance - 1)
-    right = F.least(F.col("r") + (1 - F.col("r")) * chance, F.lit(0.99))
-    r = r.withColumn("accuracy", right)
-    levels = F.explode(F.sequence(F.lit(-1), F.lit(9)))
-    weights = scratch.save(r.select("model", levels.alias("level"), "accuracy", _log_odds(F.col("accuracy"), others).alias("w")).coalesce(1), "weights-0")
-    for i in (1, 2):
-        weights = scratch.save(_calibrated(_scores(cast, weights, copied), r, others).coalesce(1), f"weights-{i}")
+    right = lambda r: F.least(F.greatest(r + (1 - r) * chance, F.lit(LEAST)), F.lit(0.99))
+    r = r.withColumn("accuracy", right(F.col("r")))
+    every = r.select("model", F.col("r").alias("whole"), F.explode(F.sequence(F.lit(-1), F.lit(9))).alias("level"))
+    weights = every.join(by_level, ["model", "level"], "left").select("model", "level", F.greatest(_log_odds(right(F.coalesce("r", "whole")), others), F.lit(0.0)).alias("w"))
     scored = _scores(cast, weights, copied)
     labels = scored.groupBy("item", "label").agg(F.sum("w").alias("s"), F.count("*").alias("k"))
     best = labels.groupBy("item").agg(
@@ -141,22 +180,3 @@ def consensus(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     sources = copied.groupBy(F.col("copier").alias("model")).agg(F.array_sort(F.collect_list("source")).alias("copies_of"))
     annotators = r.join(sources, "model", "left").select("model", "votes", F.col("r").alias("reliability"), "accuracy", F.lit(chance).alias("chance"), "copies_of")
     return items, annotators
-
-
-def _calibrated(scored: DataFrame, r: DataFrame, others: float) -> DataFrame:
-    """Weights by annotator and confidence level, from how often the consensus of the others bears out such votes."""
-    labels = scored.groupBy("item", "label").agg(F.sum("w").alias("s"), F.count("*").alias("k"))
-    per = labels.groupBy("item").agg(F.collect_list(F.struct("label", "s")).alias("all"), F.sum("k").alias("n")).where("n >= 3")
-    met = scored.join(per, "item")
-    mine = F.expr("filter(all, x -> x.label = label)[0].s") - F.col("w")
-    rival = F.coalesce(F.expr("array_max(transform(filter(all, x -> x.label <> label), x -> x.s))"), F.lit(0.0))
-    judged = met.select("model", "level", (mine > rival).cast("double").alias("ok"), (F.abs(mine - rival) > 1e-9).alias("told")).where("told")
-    by_level = judged.groupBy("model", "level").agg(F.sum("ok").alias("ok"), F.count("*").alias("n"))
-    by_model = judged.groupBy("model").agg(F.avg("ok").alias("seen"))
-    every = r.select("model", "accuracy", F.explode(F.sequence(F.lit(-1), F.lit(9))).alias("level"))
-    met = every.join(by_model, "model", "left").join(by_level, ["model", "level"], "left")
-    clip = lambda p: F.least(F.greatest(p, F.lit(0.005)), F.lit(0.995))
-    seen = clip(F.coalesce("seen", "accuracy"))
-    level = clip((F.coalesce("ok", F.lit(0.0)) + PRIOR * seen) / (F.coalesce("n", F.lit(0)) + PRIOR))
-    p = F.col("accuracy")
-    return met.select("model", "level", "accuracy", F.greatest(_log_odds(p, others) + _log_odds(level, 1.0) - _log_odds(seen, 1.0), F.lit(0.0)).alias("w"))
