@@ -9,8 +9,9 @@ its leading eigenvector, its length the root of the eigenvalue: the one fixed po
 r_a = sum(n * x * r_b) / sum(n * r_b^2). Power iteration finds it by joins over the sparse
 table of pairs. The plain step would swing between s * r and r / s for ever, so a step
 goes two thirds of the way in the logarithm, and the iteration ends when no reliability
-moves by more than SETTLED. Chance is the value of the
-grid with the least weighted absolute residual; all of them are iterated side by side.
+moves by SETTLED or more. Chance is the value of the
+grid with the least weighted absolute residual; all of them are iterated side by side,
+until the best one and its neighbours have settled.
 
 A pair whose agreement is far above the product depends on each other: the fit is repeated
 without it, and in a dialogue where both give the same label, the weaker one's vote counts
@@ -39,8 +40,8 @@ CHANCE_GRID = [i / 50 for i in range(1, 26)]
 #: A pair depends on each other if its centred agreement exceeds the product by this much and by so many standard errors.
 DEPENDENT_BY, DEPENDENT_SIGMA = 0.15, 5.0
 LEAST, MOST = 0.01, 0.995
-#: Steps between two looks at the change, and the change that ends the iteration: some 20 steps, up to 150 at values of chance so high that nearly everyone is at LEAST.
-STEPS, SETTLED, MAX_STEPS = 6, 1e-4, 300
+#: Steps between two looks at the change, and the change that ends the iteration; some 10 to 20 steps are taken.
+STEPS, SETTLED, MAX_STEPS = 5, 5e-4, 300
 #: Votes' worth of prior in the reliability of a confidence level.
 PRIOR = 8.0
 
@@ -54,32 +55,38 @@ def confidence_level(confidence: Column) -> Column:
 def _step(entries: DataFrame, v: DataFrame) -> DataFrame:
     """`c, model, r, was` after one step of the power iteration from `c, model, r`."""
     met = entries.join(v.select("c", F.col("model").alias("b"), "r"), ["c", "b"])
-    new = met.groupBy("c", F.col("a").alias("model")).agg((F.sum(F.expr("n * x * r")) / F.sum(F.expr("n * r * r"))).alias("to"))
+    new = met.groupBy("c", F.col("a").alias("model")).agg(
+        (F.sum(F.expr("n * x * r")) / F.sum(F.expr("n * r * r"))).alias("to"), F.max(F.when(F.col("a") == F.col("b"), F.col("r"))).alias("was")
+    )
     inside = lambda r: F.least(F.greatest(F.coalesce(r, F.lit(0.0)), F.lit(LEAST)), F.lit(MOST))
-    return new.join(v, ["c", "model"]).select("c", "model", inside(F.pow("r", 1 / 3) * F.pow(inside(F.col("to")), 2 / 3)).alias("r"), F.col("r").alias("was"))
+    return new.select("c", "model", inside(F.pow("was", 1 / 3) * F.pow(inside(F.col("to")), 2 / 3)).alias("r"), "was")
 
 
-def fit(pairs: DataFrame, scratch: Scratch, name: str, start: float = 0.6) -> tuple[float, DataFrame]:
-    """Chance level and `model, r` that fit `a, b, n, agree` (both directions of each pair) best."""
+def fit(pairs: DataFrame, scratch: Scratch, name: str, start: float | DataFrame = 0.6) -> tuple[float, DataFrame]:
+    """Chance level and `c, model, r` for every value of chance, those of the level best; pairs: `a, b, n, agree`, both directions."""
     grid = F.explode(F.array(*[F.lit(c) for c in CHANCE_GRID]))
     entries = pairs.withColumn("c", grid).select("c", "a", "b", "n", ((F.col("agree") - F.col("c")) / (1 - F.col("c"))).alias("x"))
-    entries = scratch.save(entries, f"{name}-entries")
-    v = entries.select("c", F.col("a").alias("model")).distinct().withColumn("r", F.lit(start))
+    itself = pairs.select("a").distinct().withColumn("c", grid).select("c", "a", F.col("a").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("x"))
+    entries = scratch.save(entries.unionByName(itself), f"{name}-entries")
+    v = entries.where("a = b").select("c", F.col("a").alias("model"))
+    v = v.withColumn("r", F.lit(start)) if isinstance(start, float) else v.join(start, ["c", "model"], "left").withColumn("r", F.coalesce("r", F.lit(0.6)))
+    best = CHANCE_GRID[0]
     for i in range(0, MAX_STEPS, STEPS):
         for _ in range(STEPS):
             v = _step(entries, v.select("c", "model", "r"))
         v = scratch.save(v, f"{name}-v{i}")
+        one = lambda side: v.select("c", F.col("model").alias(side), F.col("r").alias(f"r{side}"), F.abs(F.col("r") - F.col("was")).alias(f"moved{side}"))  # noqa: B023, E731
+        met = entries.join(one("a"), ["c", "a"]).join(one("b"), ["c", "b"])
+        seen = met.groupBy("c").agg(F.sum(F.expr("n * abs(x - ra * rb) * (1 - c)")).alias("loss"), F.max("moveda").alias("moved")).collect()  # a row per value of the grid
+        if not seen:
+            break
+        best = min(seen, key=lambda r: (r.loss, r.c)).c
         if i:
             scratch.drop(f"{name}-v{i - STEPS}")
-        moved = v.agg(F.max(F.abs(F.col("r") - F.col("was")))).first()[0]
-        if moved is None or moved < SETTLED:
+        if max(r.moved for r in seen if abs(r.c - best) < 0.03) < SETTLED:
             break
-    one = lambda side: v.select("c", F.col("model").alias(side), F.col("r").alias(f"r{side}"))
-    met = entries.join(one("a"), ["c", "a"]).join(one("b"), ["c", "b"])
-    loss = met.groupBy("c").agg(F.sum(F.expr("n * abs(x - ra * rb) * (1 - c)")).alias("loss")).orderBy("loss", "c").first()
-    best = loss.c if loss else CHANCE_GRID[0]
     scratch.drop(f"{name}-entries")
-    return best, v.where(F.col("c") == best).select("model", "r")
+    return best, v.select("c", "model", "r")
 
 
 def met_pairs(votes: DataFrame) -> DataFrame:
@@ -98,7 +105,8 @@ def reliability(votes: DataFrame, scratch: Scratch) -> tuple[float, DataFrame, D
     met = scratch.save(met_pairs(votes), "met")
     pairs = met.groupBy("a", "b").agg(F.sum("n").alias("n"), (F.sum("same") / F.sum("n")).alias("agree")).where(F.col("n") >= MIN_OVERLAP)
     pairs = scratch.save(pairs, "pairs")
-    chance, v = fit(pairs, scratch, "first")
+    chance, of = fit(pairs, scratch, "first")
+    v = of.where(F.col("c") == chance).drop("c")
 
     def rest(v: DataFrame, chance: float) -> DataFrame:
         with_a = pairs.join(v.select(F.col("model").alias("a"), F.col("r").alias("ra")), "a")
@@ -108,7 +116,8 @@ def reliability(votes: DataFrame, scratch: Scratch) -> tuple[float, DataFrame, D
 
     first = scratch.save(rest(v, chance), "first-rest")
     if not first.where("dependent").isEmpty():
-        chance, v = fit(first.where("not dependent").select("a", "b", "n", "agree"), scratch, "second")
+        chance, of = fit(first.where("not dependent").select("a", "b", "n", "agree"), scratch, "second", of)
+        v = of.where(F.col("c") == chance).drop("c")
     counts = votes.select(F.explode("cast").alias("x")).groupBy(F.col("x.model").alias("model")).agg(F.count("*").alias("votes"))
     v = scratch.save(counts.join(v, "model", "left").select("model", "votes", F.coalesce("r", F.lit(0.5)).alias("r")), "reliability")
     weaker = (F.col("ra") < F.col("rb")) | ((F.col("ra") == F.col("rb")) & (F.col("a") > F.col("b")))
