@@ -283,15 +283,34 @@ def test_packing(spark):
 
 
 def test_windows_keep_the_mixture():
-    items = [(i, 0, "a" if i % 4 else "b", 100) for i in range(8000)]
-    closed, rest = packing.pack(items, {}, {"a": 0.75, "b": 0.25}, 1000, True)
+    items = [(i, 0, "a" if i % 4 else "b", 100) for i in range(8000)] + [(9000 + i, 0, "rare", 100) for i in range(40)]
+    closed, rest = packing.pack(items, 1000, True)
     by_window = defaultdict(Counter)
     for box in closed:
         for w, x in box:
             by_window[w][x[2]] += x[3]
-    for w in list(by_window)[:-1]:
-        assert abs(by_window[w]["b"] / sum(by_window[w].values()) - 0.25) < 0.02
-    assert not rest
+    assert len(by_window) == 3 and not rest
+    for held in by_window.values():
+        assert abs(held["b"] / sum(held.values()) - 0.25) < 0.01 and held["rare"] > 1000
+
+
+def test_every_window_of_many_buckets_keeps_the_mixture(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_TOKENS", 400_000)
+    monkeypatch.setattr(packing, "WINDOW", 24)
+    monkeypatch.setattr(packing, "BLOCK_TEXTS", 700)
+    rows = [(i, random.choice("aaaab") if i % 9 else random.choice(["c", None]), random.choice([20, 90, 260, 400])) for i in range(30_000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    packed = packing.pack_texts(sized, 2048)
+    report = packing.window_report(packed).collect()
+    off = {r.window_id: r.window_deviation for r in report}
+    assert len(off) > 50 and max(off.values()) < 0.05
+    assert all(abs(sum(r.share for r in report if r.window_id == w) - 1) < 1e-9 for w in list(off)[:5])
+    texts, room = Counter(), Counter()
+    for r in packed.collect():
+        texts[r.doc_id] += r.tokens
+        room[r.container_id] += r.tokens
+    assert texts == Counter({i: t for i, _, t in rows}) and max(room.values()) <= 2048
+    assert packing.fill_report(packed, 2048).first().empty_share < 0.002
 
 
 # ---------------------------------------------------------------- 8: mixture
@@ -387,7 +406,7 @@ def _loud(df, *names):
 def test_clashing_columns_and_empty_tables(spark):
     edges = _loud(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string"), "u", "v", "m", "low", "node", "component")
     assert {tuple(r) for r in components.connected_components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
-    sized = _loud(spark.createDataFrame([(1, "s", 10), (2, None, 10), (3, "s", None)], "doc_id long, source string, tokens long"), "bucket", "copies", "piece", "o", "whole", "p", "level")
+    sized = _loud(spark.createDataFrame([(1, "s", 10), (2, None, 10), (3, "s", None)], "doc_id long, source string, tokens long"), "bucket", "copies", "piece", "o", "whole", "p", "level", "s", "t", "b", "block", "run")
     assert packing.pack_texts(sized, 16).count() == 2
     targets = _loud(spark.createDataFrame([("s", 1.0, 2), (None, 0.5, 2)], "source string, target_share double, max_repeats int"), "available", "copies")
     assert [(r.doc_id, r.copies) for r in mixture.mix(sized, targets)[0].collect()] == [(1, 2)]

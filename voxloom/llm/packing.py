@@ -1,13 +1,15 @@
 """Problem 7: texts packed whole into containers of fixed capacity, in the corpus' mixture.
 
-Buckets of bounded size are packed independently.  In a bucket each source is a queue.
-For every window of containers, deficit round-robin grants each queue its target share of
-the window's tokens and takes texts from its head while the deficit covers them; what is
-not covered carries over to the next window, and the deviation of all buckets before
-(running sums by source) is the deficit a bucket starts with.  The window's texts are
-packed best-fit decreasing; texts of containers left too empty go back to their queues,
-and what remains at the end of a bucket is packed again with that of its neighbours, level
-by level, so only the last bucket may leave containers part empty.
+Every source is a queue, in order of a hash. The queues are cut into buckets of bounded
+size so that each bucket gets the same share of every queue, to within one text: running
+token sums by source, at two levels, are the deficits carried over the buckets. Buckets
+are packed independently. For every window of containers, deficit round-robin credits each
+queue with its share of the window and takes texts from its head while the credit covers
+half of the next one, so deficits are signed and carried from window to window, and
+scarce sources last to the end of the bucket. The window's texts are packed best-fit
+decreasing; texts of containers left too empty go back to their queues and are owed again.
+The last window of a bucket is not packed: it joins those of the neighbours in a bucket of
+the next level, level by level, so only the very last window takes what is left.
 
 A text over the capacity is cut into full containers and a rest.  Null and empty texts
 take no room and are assigned to no container. Rows of one doc_id count once; an empty
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 from voxloom.sources.scratch import Scratch
 
 #: Tokens of a bucket: what one task packs in memory. Containers of a window, and how full one must be to be closed early.
-BUCKET_TOKENS, WINDOW, CLOSED = 2_000_000, 64, 0.995
-#: Buckets whose rests are packed together at the next level.
-FAN_IN = 16
+BUCKET_TOKENS, WINDOW, CLOSED = 4_000_000, 256, 0.995
+#: Buckets whose last windows are packed together at the next level: about as much as one bucket.
+FAN_IN = 8
+#: Texts of a source whose sizes are summed by one task.
+BLOCK_TEXTS = 50_000
 
 PACKED = "bucket long, container int, win int, position int, doc_id long, piece int, source string, tokens long"
 
@@ -49,7 +53,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def pack(items: list[tuple], carry: dict[str, float], share: dict[str, float], capacity: int, last: bool) -> tuple[list[list[tuple[int, tuple]]], list[tuple]]:
+def pack(items: list[tuple], capacity: int, last: bool) -> tuple[list[list[tuple[int, tuple]]], list[tuple]]:
     """Closed containers, each a list of (window, item), and the items left over.
 
     items: (doc_id, piece, source, tokens), in queue order.
@@ -57,81 +61,81 @@ def pack(items: list[tuple], carry: dict[str, float], share: dict[str, float], c
     queues: dict[str, deque] = {}
     for x in items:
         queues.setdefault(x[2], deque()).append(x)
-    deficit = {s: carry.get(s, 0.0) for s in sorted(queues)}
+    whole = {s: sum(x[3] for x in q) for s, q in sorted(queues.items())}
+    windows = max(1, round(sum(whole.values()) / (WINDOW * capacity)))
+    got = dict.fromkeys(whole, 0)
     closed: list[list[tuple[int, tuple]]] = []
-    window = 0
-    while any(queues.values()):
-        live = [s for s in deficit if queues[s]]
-        total = sum(share.get(s, 0.0) for s in live) or 1.0
+    for window in range(windows):
+        over = window == windows - 1
+        if over and not last:
+            break
         taken: list[tuple] = []
-        goal, got = WINDOW * capacity, 0
-        while got < goal and any(queues[s] for s in live):
-            for s in live:
-                deficit[s] += share.get(s, 0.0) / total * goal if share.get(s) else goal / len(live)
-                while queues[s] and queues[s][0][3] <= deficit[s] and got < goal:
-                    x = queues[s].popleft()
-                    deficit[s] -= x[3]
-                    got += x[3]
-                    taken.append(x)
-                if not queues[s]:
-                    deficit[s] = 0.0
-        over = not any(queues.values())
+        for s, q in queues.items():
+            owed = whole[s] * (window + 1) / windows
+            while q and (over or owed - got[s] >= q[0][3] / 2):
+                got[s] += q[0][3]
+                taken.append(q.popleft())
         boxes = best_fit([x[3] for x in taken], capacity)
-        full = [b for b in boxes if sum(taken[i][3] for i in b) >= CLOSED * capacity]
-        if over and last:
-            full = boxes
-        elif not full and not over:
-            full = boxes[:1]
+        full = boxes if over else [b for b in boxes if sum(taken[i][3] for i in b) >= CLOSED * capacity]
         kept = {i for b in full for i in b}
         closed += [[(window, taken[i]) for i in b] for b in full]
-        rest = [taken[i] for i in range(len(taken)) if i not in kept]
-        if over:
-            return closed, rest
-        for x in reversed(rest):
-            queues[x[2]].appendleft(x)
-            deficit[x[2]] += x[3]
-        window += 1
-    return closed, []
-
-
-def _level(items: DataFrame, share: dict[str, float], capacity: int, last: bool) -> DataFrame:
+        for i in range(len(taken) - 1, -1, -1):
+            if i not in kept:
+                queues[taken[i][2]].appendleft(taken[i])
+                got[taken[i][2]] -= taken[i][3]
+    return closed, [x for q in queues.values() for x in q]
+
+
+def _bucketed(items: DataFrame, totals: dict[str, int], n: int, buckets: int) -> DataFrame:
+    """Adds `bucket`: each gets 1/buckets of every source's tokens, to within one text."""
+    blocks = max(1, -(-n // BLOCK_TEXTS))
+    at = items.withColumn("o", F.xxhash64("doc_id", "piece"))
+    at = at.withColumn("block", F.least(F.floor((F.col("o") / float(1 << 64) + 0.5) * blocks), F.lit(blocks - 1)))
+    sums = at.groupBy(F.coalesce("source", F.lit("")).alias("s"), F.col("block").alias("b")).agg(F.sum("tokens").alias("t"))
+    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("s", "b", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("ahead"))
+    inside = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("o", "doc_id", "piece").rowsBetween(Window.unboundedPreceding, 0))
+    met = at.withColumn("run", inside).join(sums, (F.coalesce("source", F.lit("")) == F.col("s")) & (F.col("block") == F.col("b")))
+    whole = F.create_map(*[F.lit(x) for s, t in totals.items() for x in (s, t)])  # a row per source
+    middle = F.col("run") + F.col("ahead") - F.col("tokens") / 2
+    bucket = F.least(F.floor(middle / whole[F.col("s")] * buckets), F.lit(buckets - 1))
+    return met.select("doc_id", "piece", "source", "tokens", bucket.alias("bucket"))
+
+
+def _level(items: DataFrame, capacity: int, last: bool) -> DataFrame:
     """Pack `bucket, doc_id, piece, source, tokens`; rows with a null container are left over."""
-    sums = items.groupBy("bucket", "source").agg(F.sum("tokens").alias("t"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = sums.groupBy("bucket").agg(F.sum("t").alias("all"))
-    # every source in every bucket where it has texts: what it was owed and what it got in the buckets before that hold it
-    carry = sums.join(whole, "bucket").select(F.col("bucket").alias("b"), F.col("source").alias("s"), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("owed"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("got"))
 
-    def run(key, rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["o", "doc_id", "piece"])
-        start = {s: share.get(s, 0.0) * o - g for s, o, g in zip(carried.s.fillna(""), carried.owed, carried.got)}
         pool = list(zip(rows.doc_id.tolist(), rows.piece.tolist(), rows.source.fillna("").tolist(), rows.tokens.tolist()))
-        closed, rest = pack(pool, start, share, capacity, last)
+        closed, rest = pack(pool, capacity, last)
         out = [(key[0], c, w, p, x[0], x[1], x[2] or None, x[3]) for c, box in enumerate(closed) for p, (w, x) in enumerate(box)]
         out += [(key[0], None, None, None, x[0], x[1], x[2] or None, x[3]) for x in rest]
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in PACKED.split(", ")])
         return frame.astype({"container": "Int32", "win": "Int32", "position": "Int32"})
 
-    ordered = items.withColumn("o", F.xxhash64("doc_id", "piece"))
-    return ordered.groupBy("bucket").cogroup(carry.groupBy("b")).applyInPandas(run, PACKED)
+    return items.withColumn("o", F.xxhash64("doc_id", "piece")).groupBy("bucket").applyInPandas(run, PACKED)
 
 
 def pack_texts(sized: DataFrame, capacity: int) -> DataFrame:
     """`container_id, window_id, position, doc_id, piece, piece_start, source, tokens` for `doc_id, source, tokens`."""
     scratch = Scratch(sized.sparkSession)
     sized = scratch.save(sized.where("tokens > 0").select("doc_id", "source", "tokens"), "sized")
-    by_source = {r.source or "": r.t for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # a row per source
-    total = sum(by_source.values())
-    share = {s: t / total for s, t in by_source.items()}
-    buckets = max(1, -(-total // BUCKET_TOKENS))
+    seen = sized.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.sum("tokens").alias("t"), F.sum(F.ceil(F.col("tokens") / capacity)).alias("n"))
+    totals = {r.s: (r.t, r.n) for r in seen.collect()}  # a row per source
+    buckets = max(1, -(-sum(t for t, _ in totals.values()) // BUCKET_TOKENS))
     n = F.ceil(F.col("tokens") / capacity)
     pieces = sized.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("piece"))
-    pieces = pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), "source", F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity).cast("long").alias("tokens"))
-    rest = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    size = F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity).cast("long")
+    pieces = pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), "source", size.alias("tokens"))
+    if buckets == 1:
+        rest = pieces.withColumn("bucket", F.lit(0).cast("long"))
+    else:
+        rest = _bucketed(pieces, {s: t for s, (t, _) in totals.items()}, sum(k for _, k in totals.values()), buckets)
     levels = []
     level = 0
     while True:
-        packed = scratch.save(_level(rest, share, capacity, buckets == 1), f"level-{level}")
+        packed = scratch.save(_level(rest, capacity, buckets == 1), f"level-{level}")
         levels.append(packed.where("container is not null").withColumn("level", F.lit(level)))
         if buckets == 1:
             break
@@ -154,6 +158,21 @@ def pack_texts(sized: DataFrame, capacity: int) -> DataFrame:
     )
 
 
+def window_report(packed: DataFrame) -> DataFrame:
+    """`window_id, source, tokens, share, target_share, window_deviation`: what each window holds of each source.
+
+    The target is the source's share of all packed tokens; the deviation of a window is
+    half the sum of the differences of all shares, those of sources it lacks included.
+    """
+    held = packed.groupBy("window_id", "source").agg(F.sum("tokens").alias("tokens"))
+    all_of = packed.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.sum("tokens").alias("t"))
+    target = all_of.select("s", (F.col("t") / F.sum("t").over(Window.partitionBy(F.lit(0)))).alias("target_share"))  # a row per source
+    window = Window.partitionBy("window_id")
+    met = held.withColumn("share", F.col("tokens") / F.sum("tokens").over(window)).join(F.broadcast(target), F.coalesce("source", F.lit("")) == F.col("s"))
+    off = F.sum(F.abs(F.col("share") - F.col("target_share"))).over(window) + 1 - F.sum("target_share").over(window)
+    return met.select("window_id", "source", "tokens", "share", "target_share", (off / 2).alias("window_deviation"))
+
+
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: containers, tokens, the least number of containers possible, and the share of room left empty."""
     boxes = packed.groupBy("container_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))

@@ -117,6 +117,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_pack(spark, d), limits(spark, d)["container_capacity_tokens"])
 
 
+def p7_windows(spark: SparkSession, d: str) -> DataFrame:
+    return packing.window_report(p7_pack(spark, d))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(_sized(spark, d), table(spark, d, "source_targets"))[0]
 
