@@ -56,9 +56,48 @@ def test_pieces_round_trip(spark):
 
 def test_scene_segments_are_bounded(spark):
     lines = spark.range(3000).select(F.lit("s").alias("item_id"), F.col("id").alias("pos"), F.concat(F.lit("行"), "id").alias("text"))
-    got = sorted(pieces.scene_segments(lines, 5, segment_chars=1000).collect(), key=lambda r: r.segment)
+    got = sorted(pieces.scene_segments(lines, pieces.scene_sizes(lines, 0), 1000).collect(), key=lambda r: r.segment)
     assert "".join(r.text for r in got) == "\n".join(f"行{i}" for i in range(3000)) and max(len(r.text) for r in got) < 1100
-    assert all(b.before == a.text[-5:] for a, b in zip(got, got[1:]))
+
+
+def _price(text, ends, limit, overlap):
+    at, cost = pieces.choices(text, limit - overlap)
+    of, even = dict(zip(at.tolist(), cost)), len(text) / -(-len(text) // (limit - overlap))
+    return sum(of[e] * (e < len(text)) + ((e - b - even) / even) ** 2 for b, e in zip([0, *ends], ends))
+
+
+def test_a_scene_in_segments_is_cut_like_a_whole_one(spark):
+    make = lambda k: "".join(random.choices("甲乙丙，。！ ", weights=[9, 9, 9, 2, 1, 1, 1], k=k))
+    scenes = {
+        "even": [make(random.randint(0, 40)) for _ in range(400)],
+        "long line": [make(30), "字" * 900, "短", make(200), "咚" * 2100, "x", make(300)] + [make(20) for _ in range(60)],
+        "just over": [make(30) for _ in range(20)],
+    }
+    rows = [(f"{s}{i}", s, i, t) for s, lines in scenes.items() for i, t in enumerate(lines)]
+    lines = spark.createDataFrame(rows, "paragraph_id string, scene_id string, paragraph_index int, text string")
+    for segment_chars in (300, 500, 2000):
+        got = defaultdict(list)
+        for r in pieces.oversized_pieces(lines, 10_000, 60, 7, segment_chars).collect():
+            got[r.item_id].append(r)
+        for s, parts in got.items():
+            text = "\n".join(scenes[s])
+            parts.sort(key=lambda r: (r.segment, r.piece_index))
+            assert "".join(r.text[r.overlap :] for r in parts) == text and all(len(r.text) <= 60 for r in parts)
+            assert all(b.overlap == 7 and a.end == b.start and text[b.start - 7 : b.end] == b.text for a, b in zip(parts, parts[1:]))
+            whole = [e for e, _ in pieces.cuts(text, 60, 7)]
+            assert abs(_price(text, [r.end for r in parts], 60, 7) - _price(text, whole, 60, 7)) < 1e-6, (s, segment_chars)
+        assert set(got) == set(scenes)
+
+
+def test_cuts_are_the_best_of_all():
+    from itertools import combinations
+
+    for _ in range(40):
+        text = "".join(random.choices("甲乙。\n，", weights=[6, 6, 2, 1, 1], k=random.randint(13, 22)))
+        at = pieces.choices(text, 9)[0].tolist()
+        ways = [[*c, len(text)] for n in range(0, 5) for c in combinations([p for p in at if p < len(text)], n)]
+        ways = [w for w in ways if w[0] <= 12 and all(b - a <= 9 for a, b in zip(w, w[1:]))]
+        assert abs(_price(text, [e for e, _ in pieces.cuts(text, 12, 3)], 12, 3) - min(_price(text, w, 12, 3) for w in ways)) < 1e-9
 
 
 # ---------------------------------------------------------------- 2: mapping
