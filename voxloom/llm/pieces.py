@@ -343,5 +343,6 @@ def oversized_pieces(paragraphs: DataFrame, paragraph_limit: int, scene_limit: i
 def oversized_items(pieces: DataFrame, paragraph_limit: int) -> DataFrame:
     """The items that had to be cut: `item_kind, item_id`, with kind `unbroken` for lines without a boundary within the limit."""
     items = pieces.groupBy("item_kind", "item_id").agg(F.count("*").alias("pieces"), F.max("longest_unbroken").alias("u")).where("pieces > 1")
-    unbroken = items.where((F.col("item_kind") == "paragraph") & (F.col("u") > paragraph_limit)).select(F.lit("unbroken").alias("item_kind"), "item_id")
-    return items.select("item_kind", "item_id").unionByName(unbroken)
+    unbroken = (F.col("item_kind") == "paragraph") & (F.col("u") > paragraph_limit)
+    kinds = F.when(unbroken, F.array("item_kind", F.lit("unbroken"))).otherwise(F.array("item_kind"))
+    return items.select(F.explode(kinds).alias("item_kind"), "item_id")
