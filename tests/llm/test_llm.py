@@ -123,7 +123,8 @@ def test_tree_finds_all_within():
             assert {k for _, k in tree.within(q, r)} == {w for w in words if distance(w, q) <= r}
 
 
-CAST = [("c1", "奇勒金·露戈哈", ["月之弦杯厨娘", "大叔"]), ("c2", "奎威奈·内琼菲", ["大叔", "奎威奈"]), ("c3", "Ann Lee", None)]
+CAST = [("c1", "奇勒金·露戈哈", ["月之弦杯厨娘", "大叔"], ["守门官"]), ("c2", "奎威奈·内琼菲", ["大叔", "奎威奈"], []), ("c3", "Ann Lee", None, None)]
+STATES = [("st_01", "known", "已确认身份的角色"), ("st_02", "mystery", "有名号但真实身份成谜"), ("st_03", "npc", "h"), ("st_04", "npc_group", "i"), ("st_05", "npsx", None)]
 
 
 @pytest.mark.parametrize("limit", [10_000, 7])
@@ -138,8 +139,33 @@ def test_values_map_to_their_entry(spark, limit):
     assert len(got) == 2 * len(want) and {r.value: r.ref_id for r in got} == want
 
 
+def _edited(words):
+    """Every word with one letter left out, doubled, replaced, or swapped with the next."""
+    for w in words:
+        for i in range(len(w)):
+            yield from (w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :])
+
+
+@pytest.mark.parametrize("how, entries", [("person", CAST), ("status", STATES)])
+def test_shards_give_what_one_index_gives(spark, how, entries):
+    schema = "id string, name string, aliases array<string>, titles array<string>" if how == "person" else "id string, name string, gloss string"
+    keys = canon.keys_of(spark.createDataFrame(entries, schema), how)
+    assert {tuple(r) for r in keys.collect()} == set((canon.person_keys if how == "person" else canon.status_keys)(entries))
+    words = [x for e in entries for x in (e[1], *((e[2] or []) if how == "person" else [e[2] or ""]))]
+    words += ["守门官奇勒金·露戈哈", "露戈哈先生"] if how == "person" else [w for x in canon.WORDINGS.values() for w in x] + ["npcx", "npcn", "nps", "npsc", "a known one", "确认身份"]
+    values = spark.createDataFrame([(v,) for v in {*words, *_edited(words)}], "value string")
+    one, many = ({r.value: r.ref_id for r in canon.map_values(values, keys, how, n, 50).collect()} for n in (100_000, 40))
+    assert one == many and len(set(one.values())) > len(entries) - 1
+
+
+def test_a_status_by_its_name_or_gloss_alone():
+    index = canon.Index(canon.status_keys(STATES, {}))
+    want = {"known speaker": "st_01", "mystery person": "st_02", "确认身份": "st_01", "真实身份": "st_02", "身份": None, "kno": "st_01", "nothing": None}
+    assert {k: canon._winner(index.status(k)) for k in want} == want
+
+
 def test_statuses():
-    index = canon.Index(canon.status_keys([("st_01", "known", "g"), ("st_03", "npc", "h"), ("st_04", "npc_group", "i")]))
+    index = canon.Index(canon.status_keys([("st_01", "known", "已确认"), ("st_03", "npc", "h"), ("st_04", "npc_group", "i")]))
     want = {"ｋｎｏｗｎ　": "st_01", "[konwn]": "st_01", "已確認": "st_01", "npcc": "st_03", "NPCs": "st_04", "npc_gruop": "st_04", "ok": None, "-": None}
     assert {k: canon._winner(index.status(k)) for k in want} == want
 

@@ -7,15 +7,23 @@ the triangle inequality prunes every subtree that can't hold a key within the th
 Each search returns all keys within it; the nearest entry wins, and a value that is
 equally near to two entries means neither of them.
 
-A list within BROADCAST_KEYS goes to every task as one index and the values are mapped
-where they are, without a shuffle. A longer list is cut into shards of that size: distinct
-values meet every shard in blocks, and the winners of the shards merge.
+Keys are made by the executors, entry by entry. A list within BROADCAST_KEYS goes to every
+task as one index and the values are mapped where they are, without a shuffle. A longer
+list is cut into shards of that size: distinct values meet every shard in large blocks, so
+that building a shard's trees is a small part of searching them, and the winners of the
+shards merge. A result carries all that decides between entries (the rank of its kind of
+key, distance, and whether it is the entry's own name), so both forms give the same.
+
+Titles come from the reference list. What people write for a status beside its own name is
+a table too (`wordings`); beyond it, a value means the one status whose name stands in it
+as a word, or the one whose gloss holds it.
 
 Null values give no row; values that mean nothing, also blank ones, give `none`.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,19 +33,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.llm.names import Name, distance, letters, parse, undecorated
+from voxloom.sources.scratch import Scratch
 
 BROADCAST_KEYS = 200_000
+#: Distinct values that one task searches for in a shard.
+BLOCK_VALUES = 65_536
+KEYS = "kind string, key string, entry string"
 #: Forms of address that follow a family name.
 FAMILY_ADDRESS = ("先生", "小姐", "卿", "家的那位", "女士", "夫人")
-# What people write for an entry of the status list.
-STATUS_WORDS = {
-    "known": ("known", "known speaker", "identified", "confirmed", "已确认", "已知", "确认身份", "已确认身份", "身份已确认", "已确认身份的角色"),
-    "mystery": ("mystery", "mystery person", "mysterious", "谜之人物", "神秘身份", "身份成谜", "神秘人物", "真实身份成谜", "有名号但真实身份成谜"),
-    "npc": ("npc", "single npc", "路人", "路人甲", "路人角色", "单个路人", "单个路人角色"),
-    "npc_group": ("npcgroup", "npcs", "npcgrp", "group of npcs", "npc groups", "众人", "群众", "路人们", "一群路人", "群体", "一群路人同时说话"),
-    "ambiguous": ("ambiguous", "ambig", "ambiguity", "歧义", "多名候选人", "两人都有可能", "难以取舍", "有歧义", "两名以上候选人难以取舍"),
-    "unknown": ("unknown", "unk", "unknown speaker", "不知道谁说的", "不清楚是谁", "完全不清楚", "未知", "不明", "不知道是谁", "完全不清楚是谁在说"),
-    "review": ("review", "needs review", "need review", "to be reviewed", "to review", "待复核", "等待复核", "人工复核", "需复核", "待审核", "等待人工复核"),
+# What people write for an entry of the status list, where its name and gloss don't say so; the default of `wordings`.
+WORDINGS = {
+    "known": ("已知", "identified", "confirmed", "身份已确认"),
+    "mystery": ("mysterious", "谜之人物", "神秘身份", "神秘人物"),
+    "npc": ("路人", "路人甲"),
+    "npc_group": ("npcs", "npcgrp", "group of npcs", "众人", "群众", "路人们", "群体"),
+    "ambiguous": ("ambiguity", "歧义", "有歧义", "多名候选人", "两人都有可能"),
+    "unknown": ("未知", "不明", "不知道谁说的", "不知道是谁"),
+    "review": ("to be reviewed", "待复核", "等待复核", "需复核", "待审核"),
 }
 
 
@@ -116,11 +128,12 @@ def name_keys(name: Name) -> Iterator[tuple[str, str]]:
         yield "epithet", name.joined
 
 
-def person_keys(entries: list[tuple[str, str, list[str]]]) -> list[tuple[str, str, str]]:
-    """(kind, key, entry) of a list of persons; an alias of several persons stands for none."""
+def person_keys(entries: list[tuple[str, str, list[str], list[str]]]) -> list[tuple[str, str, str]]:
+    """(kind, key, entry) of a list of persons (id, name, aliases, titles); an alias of several persons stands for none."""
     keys: set[tuple[str, str, str]] = set()
-    for entry, display, aliases in entries:
-        for value in [display, *(aliases or [])]:
+    for entry, display, aliases, titles in entries:
+        keys |= {("title", undecorated(t), "") for t in titles or [] if t and undecorated(t)}
+        for value in [display, *(aliases if aliases is not None else [])]:
             if (name := parse(value)) is not None:
                 keys |= {(kind, key.casefold(), entry) for kind, key in name_keys(name)}
     return sorted(keys)
@@ -131,30 +144,50 @@ def status_key(value: str) -> str:
     return "".join(c for c in undecorated(value).casefold() if c.isalnum())
 
 
-def status_keys(entries: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    """(kind, key, entry) of `status_id, speaker_status, gloss`: the entry itself ranks before its other wordings."""
+def status_keys(entries: list[tuple[str, str, str]], wordings: dict[str, tuple[str, ...]] = WORDINGS) -> list[tuple[str, str, str]]:
+    """(kind, key, entry) of `status_id, speaker_status, gloss`: the entry itself ranks before its other wordings, these before parts."""
     keys: set[tuple[str, str, str]] = set()
     for entry, status, gloss in entries:
-        keys |= {("status", status_key(status), entry)}
-        keys |= {("wording", status_key(w), entry) for w in (*STATUS_WORDS.get(status, ()), gloss or status)}
+        if not status:
+            continue
+        keys |= {("status", status_key(status), entry), ("word", status_key(status), entry)}
+        keys |= {("wording", status_key(w), entry) for w in (*wordings.get(status, ()), gloss or status)}
+        whole = status_key(gloss or "")
+        keys |= {("part", whole[i:j], entry) for i in range(len(whole)) for j in range(i + 2, len(whole) + 1)}
+        keys |= {("part", status_key(status)[:n], entry) for n in range(3, len(status_key(status)))}
     return sorted(keys)
 
 
+def keys_of(entries: DataFrame, how: str) -> DataFrame:
+    """`kind, key, entry` of a reference list, made where its rows are. how: "person" (id, name, aliases, titles) or "status" (id, status, gloss)."""
+    of = person_keys if how == "person" else status_keys
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = of([tuple(x.tolist() if hasattr(x, "tolist") else x for x in r) for r in rows.itertuples(index=False, name=None)])
+            yield pd.DataFrame(found, columns=["kind", "key", "entry"])
+
+    first = entries.columns[0]
+    return entries.where(F.col(first).isNotNull()).mapInPandas(run, KEYS).distinct()
+
+
 class Index:
     """One tree per kind of key."""
 
     def __init__(self, keys: list[tuple[str, str, str]]) -> None:
         self.trees: dict[str, Tree] = defaultdict(Tree)
+        self.titles = tuple(sorted((k for kind, k, _ in keys if kind == "title"), key=lambda t: (-len(t), t)))
         for kind, key, entry in keys:
-            self.trees[kind].add(key, entry)
+            if kind != "title":
+                self.trees[kind].add(key, entry)
 
-    def _try(self, kind: str, key: str, radius: int, rank: int) -> list[tuple[int, int, str]]:
+    def _try(self, kind: str, key: str, radius: int, rank: int, own: int = 0) -> list[tuple[int, int, int, str]]:
         found = self.trees[kind].nearest(key.casefold(), radius)
-        return [(rank, found[0], e) for e in sorted(found[1])] if found else []
+        return [(rank, found[0], own, e) for e in sorted(found[1])] if found else []
 
-    def person(self, value: str) -> list[tuple[int, int, str]]:
-        """(rank, distance, entry) of the best kind of key that has the value within its threshold."""
-        name = parse(value)
+    def person(self, value: str) -> list[tuple[int, int, int, str]]:
+        """(rank, distance, 0, entry) of the best kind of key that has the value within its threshold."""
+        name = parse(value, self.titles)
         if name is None or name.kind == "role":
             return []
         key = name.joined
@@ -176,7 +209,8 @@ class Index:
             return found
         return self._try("given", plain, 1, 3) if len(plain) >= 4 else []
 
-    def status(self, value: str) -> list[tuple[int, int, str]]:
+    def status(self, value: str) -> list[tuple[int, int, int, str]]:
+        """(rank, distance, 1 for another wording, entry) of the best kind of key; own names rank before wordings as near."""
         key = status_key(value)
         if not key:
             return []
@@ -184,28 +218,34 @@ class Index:
             if found := self._try(kind, key, 0, rank):
                 return found
         radius = 0 if len(key) < 3 or any(c >= "㐀" for c in key) and len(key) < 4 else 1 if len(key) < 7 else 2
-        found = self._try("status", key, radius, 2) + self._try("wording", key, radius, 2)
-        least = min((d for _, d, _ in found), default=0)
-        own = {e for _, d, e in found[: len(self._try("status", key, radius, 2))] if d == least}
-        return [(2, least, e) for e in sorted(own or {e for _, d, e in found if d == least})]
+        if found := self._try("status", key, radius, 2) + self._try("wording", key, radius, 2, 1):
+            least = min(x[:3] for x in found)
+            return [x for x in found if x[:3] == least]
+        words = {status_key(w) for w in re.split(r"[\s/,;:]+", undecorated(value)) if status_key(w)}
+        if found := [x for w in sorted(words) for x in self._try("word", w, 0, 3)]:
+            return found
+        return self._try("part", key, 0, 4)
 
 
-def _winner(found: list[tuple[int, int, str]]) -> str | None:
-    entries = {e for _, _, e in found}
+def _winner(found: list[tuple[int, int, int, str]]) -> str | None:
+    entries = {x[-1] for x in found}
     return next(iter(entries)) if len(entries) == 1 else None
 
 
-def map_values(values: DataFrame, keys: DataFrame, how: str, broadcast_keys: int = BROADCAST_KEYS, block: int = 4096) -> DataFrame:
+def map_values(values: DataFrame, keys: DataFrame, how: str, broadcast_keys: int = BROADCAST_KEYS, block: int = BLOCK_VALUES) -> DataFrame:
     """Adds `ref_id` to values (`value STRING`, other columns kept): the entry meant, or `none`.
 
     A column of that name is replaced, rows with a null value are left out. keys: `kind,
-    key, entry`; without any, nothing is meant. how: "person" or "status".
+    key, entry` (see `keys_of`); without any, nothing is meant. how: "person" or "status".
     """
     spark = values.sparkSession
+    scratch = Scratch(spark)
     values = values.drop("ref_id").where("value is not null")
+    keys = scratch.save(keys.select("kind", "key", "entry"), "keys")
     n = keys.count()
     if n <= broadcast_keys:
-        shared = spark.sparkContext.broadcast([tuple(r) for r in keys.collect()])
+        shared = spark.sparkContext.broadcast([tuple(r) for r in keys.collect()])  # at most broadcast_keys rows
+        scratch.drop("keys")
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             search = getattr(Index(shared.value), how)
@@ -220,19 +260,23 @@ def map_values(values: DataFrame, keys: DataFrame, how: str, broadcast_keys: int
         return values.repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(near, T.StructType([*values.schema.fields, T.StructField("ref_id", T.StringType())]))
 
     shards = -(-n // broadcast_keys)
-    # all keys of an entry stand in one shard, so that the best kind of key is found there
-    parts = keys.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(shards)))
-    distinct = values.select("value").distinct()
+    every_shard = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
+    # all keys of an entry stand in one shard; titles are needed in each
+    own = F.array(F.pmod(F.xxhash64("entry"), F.lit(shards)))
+    parts = keys.withColumn("shard", F.explode(F.when(F.col("kind") == "title", every_shard).otherwise(own)))
+    distinct = scratch.save(values.select("value").distinct(), "values")
     blocks = max(1, -(-distinct.count() // block))
-    asked = distinct.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    asked = distinct.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks))).withColumn("shard", F.explode(every_shard))
     held = parts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search_shard(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         search = getattr(Index(list(zip(held.kind, held.key, held.entry))), how)
-        return pd.DataFrame([(v, *x) for v in rows.value for x in search(v)], columns=["value", "rank", "distance", "entry"])
-
-    won = asked.groupBy("shard", "block").cogroup(held.withColumnRenamed("shard", "s").withColumnRenamed("block", "b").groupBy("s", "b")).applyInPandas(search_shard, "value string, rank int, distance int, entry string")
-    best = won.groupBy("value").agg(F.min(F.struct("rank", "distance")).alias("least"))
-    met = won.join(best, "value").where((F.col("rank") == F.col("least.rank")) & (F.col("distance") == F.col("least.distance")))
-    one = met.groupBy("value").agg(F.min("entry").alias("e"), F.max("entry").alias("e2")).where("e = e2").select("value", F.col("e").alias("ref_id"))
+        return pd.DataFrame([(v, *x) for v in rows.value for x in search(v)], columns=["value", "rank", "distance", "own", "entry"])
+
+    held = held.select(F.col("shard").alias("s"), F.col("block").alias("b"), "kind", "key", "entry")
+    won = asked.groupBy("shard", "block").cogroup(held.groupBy("s", "b")).applyInPandas(search_shard, "value string, rank int, distance int, own int, entry string")
+    # a shard's winners and those of the others: the best of all, if it is one
+    best = won.groupBy("value", "rank", "distance", "own").agg(F.min("entry").alias("e"), F.max("entry").alias("e2"))
+    best = best.groupBy("value").agg(F.min(F.struct("rank", "distance", "own", "e", "e2")).alias("x"))
+    one = best.where("x.e = x.e2").select("value", F.col("x.e").alias("ref_id"))
     return values.join(one, "value", "left").select(*values.columns, F.coalesce("ref_id", F.lit("none")).alias("ref_id"))

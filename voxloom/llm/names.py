@@ -82,8 +82,8 @@ def undecorated(value: str) -> str:
 
 
 @lru_cache(maxsize=1 << 16)
-def parse(value: str | None) -> Name | None:
-    """The name in a typed value, None if there is nothing to read."""
+def parse(value: str | None, titles: tuple[str, ...] = ()) -> Name | None:
+    """The name in a typed value, None if there is nothing to read; titles before a name, longest first, are left out."""
     if not value:
         return None
     text = undecorated(value)
@@ -94,7 +94,7 @@ def parse(value: str | None) -> Name | None:
     if EPITHET.match(text):
         return Name("epithet", (text.replace("之", "的", 1),))
     text = LATIN_TITLE.sub("", text)
-    for t in TITLES:
+    for t in titles or TITLES:
         if text.startswith(t) and len(text) > len(t) + 1:
             text = text[len(t) :].lstrip(" ·")
     honorific = ""

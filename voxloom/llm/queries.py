@@ -33,10 +33,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     """`entry_id, field_name, value, ref_id, listed` of every value typed in the review queue."""
     entries = once(table(spark, d, "review_entries"), ["entry_id"], ["speaker_display", "speaker_status"])
-    cast = table(spark, d, "cast_list").select("entity_id", "display_name", "aliases")
+    cast = table(spark, d, "cast_list").select("entity_id", "display_name", "aliases", "titles")
     status = table(spark, d, "status_list").select("status_id", "speaker_status", "gloss")
-    person = spark.createDataFrame(canon.person_keys([tuple(r) for r in cast.collect()]), "kind string, key string, entry string")
-    state = spark.createDataFrame(canon.status_keys([tuple(r) for r in status.collect()]), "kind string, key string, entry string")
+    person, state = canon.keys_of(cast, "person"), canon.keys_of(status, "status")
 
     def field(name: str, keys: DataFrame, how: str, listed: DataFrame) -> DataFrame:
         values = entries.where(F.col(name).isNotNull()).select("entry_id", F.lit(name).alias("field_name"), F.col(name).alias("value"))
