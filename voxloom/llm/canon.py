@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxloom.llm.base import small_or_shuffled
 from voxloom.llm.names import Name, distance, letters, parse, undecorated
 from voxloom.sources.scratch import Scratch
 
@@ -59,6 +60,7 @@ class Tree:
     def __init__(self) -> None:
         self.entries: dict[str, set[str]] = {}
         self.children: dict[str, dict[int, str]] = {}
+        self.far: dict[str, int] = {}
         self.root: str | None = None
 
     def add(self, key: str, entry: str) -> None:
@@ -75,6 +77,7 @@ class Tree:
             d = distance(key, at)
             if d not in self.children[at]:
                 self.children[at][d] = key
+                self.far[at] = max(d, self.far.get(at, 0))
                 return
             at = self.children[at][d]
 
@@ -87,7 +90,10 @@ class Tree:
         out, stack = [], [self.root]
         while stack:
             at = stack.pop()
-            d = distance(key, at)
+            most = self.far.get(at, 0) + radius  # beyond it no child can be near
+            d = distance(key, at, most)
+            if d > most:
+                continue
             if d <= radius:
                 out.append((d, at))
             stack += [child for e, child in self.children[at].items() if d - radius <= e <= d + radius]
@@ -249,15 +255,13 @@ def map_values(values: DataFrame, keys: DataFrame, how: str, broadcast_keys: int
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             search = getattr(Index(shared.value), how)
-            known: dict[str, str] = {}
             for rows in batches:
-                for v in rows.value.unique():
-                    if v not in known:
-                        known[v] = _winner(search(v)) or "none"
-                yield rows.assign(ref_id=rows.value.map(known))
+                yield rows.assign(ref_id=[_winner(search(v)) or "none" for v in rows.value])
 
-        # few bytes and much work a row: spread over all cores whatever the bytes are
-        return values.repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(near, T.StructType([*values.schema.fields, T.StructField("ref_id", T.StringType())]))
+        # few bytes and much work a row: each distinct value once, spread over all cores whatever the bytes are
+        distinct = values.select("value").distinct().repartition(2 * spark.sparkContext.defaultParallelism)
+        meant = scratch.save(distinct.mapInPandas(near, "value string, ref_id string"), "meant")
+        return values.join(small_or_shuffled(meant, scratch.bytes("meant")), "value").select(*values.columns, "ref_id")
 
     shards = -(-n // broadcast_keys)
     every_shard = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))

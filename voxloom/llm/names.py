@@ -128,24 +128,34 @@ def parse(value: str | None, titles: tuple[str, ...] = ()) -> Name | None:
 
 
 def distance(a: str, b: str, most: int = 1 << 30) -> int:
-    """Damerau-Levenshtein distance with adjacent transpositions, unrestricted, so that it is a metric."""
+    """Damerau-Levenshtein distance with adjacent transpositions, unrestricted, so that it is a metric; above `most`, most + 1."""
     if a == b:
         return 0
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if not set(a) & set(b):
+        return min(max(len(a), len(b)), most + 1)
     far = len(a) + len(b)
     last: dict[str, int] = {}
-    d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
-    for i in range(len(a) + 1):
-        d[i + 1][1] = i
-    for j in range(len(b) + 1):
-        d[1][j + 1] = j
+    rows = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
         match = 0
+        before, row = rows[-1], [far, i]
         for j, y in enumerate(b, 1):
             k, m = last.get(y, 0), match
             if x == y:
                 match = j
-            d[i + 1][j + 1] = min(d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
+                least = before[j]
+            else:
+                least = min(before[j], row[j], before[j + 1]) + 1
+            jump = rows[k][m] + i - k + j - m - 1
+            row.append(jump if jump < least else least)
         last[x] = i
-    return d[-1][-1]
+        rows.append(row)
+    return min(rows[-1][-1], most + 1)
