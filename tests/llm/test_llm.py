@@ -505,13 +505,18 @@ def test_very_long_texts(spark):
     assert [tuple(r) for r in spans.sharing_pairs(spans.shared_spans(docs)).collect()] == [(1, 2)]
 
 
-def test_spans_without_broadcasts(spark, monkeypatch):
+def test_spans_with_hot_keys(spark, monkeypatch):
     from voxloom.llm import base
 
-    monkeypatch.setattr(base, "BROADCAST_BYTES", -1)
-    span = "".join(random.choices("甲乙丙丁戊己", k=90))
-    docs = spark.createDataFrame([(i, f"第{i}篇" + (span if i % 3 == 0 else "") + "".join(random.choices("庚辛壬癸", k=80))) for i in range(12)], "doc_id long, text string")
-    assert len(spans.sharing_pairs(spans.shared_spans(docs)).collect()) == 6
+    monkeypatch.setattr(base, "HOT_LEAST", 2)
+    monkeypatch.setattr(base, "HOT_SHARE", 40)
+    monkeypatch.setattr(spans, "PAIR_BLOCK", 3)
+    monkeypatch.setattr(spans, "CHUNK_CHARS", 100)
+    span, rare = ("".join(random.choices("甲乙丙丁戊己", k=90)) for _ in range(2))
+    docs = [(i, f"第{i}篇" + (span if i % 3 == 0 else rare if i in (1, 2) else "") + "".join(random.choices("庚辛壬癸", k=80))) for i in range(40)]
+    found = spans.shared_spans(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {tuple(r) for r in spans.sharing_pairs(found).collect()} == _brute(docs, 64)
+    assert found.groupBy("doc_id").count().count() == 16
 
 
 def test_hubs_are_joined_apart(spark):

@@ -14,7 +14,9 @@ Tokens are characters; a span counts from `min_chars` tokens on.  Three steps:
    itself, and occurrences count as the same span only if those characters are equal.
 
 Nothing is paired before verification, and a unitig in a third of all records is only ever
-aggregated, never gathered. Null texts and texts under min_chars share nothing; rows of
+aggregated, never gathered: keys that hot are joined where their rows are. Pairs of the
+records of one span are made block against block, so that no task has more than
+PAIR_BLOCK records a side. Null texts and texts under min_chars share nothing; rows of
 one doc_id are one record; a null doc_id is left out.
 """
 
@@ -27,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.base import small_or_shuffled
+from voxloom.llm.base import join_counted
 from voxloom.sources.scratch import Scratch
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 #: Characters hashed at a time; a longer text still is one piece.
 CHUNK_CHARS = 1 << 20
+#: Records of a span that one task pairs with as many others.
+PAIR_BLOCK = 2000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -122,9 +126,9 @@ def _edge_rows(k: int, min_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, all_texts, wanted = (batch.column(c).to_pylist() for c in ("doc_id", "text", "anchors"))
             out: list[tuple[np.ndarray, ...]] = []
-            for doc, text, keep in zip(ids, all_texts, wanted):
+            size = 0
+            for doc, text, keep in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "anchors"))):
                 codes, starts = _joined([text])
                 _, at, h = anchors(codes, starts, k, min_chars)
                 at = at[np.isin(h.view(np.int64), np.asarray(keep, np.int64))]
@@ -135,12 +139,20 @@ def _edge_rows(k: int, min_chars: int):
                 pos = np.flatnonzero(np.cumsum(near[:-1]) > 0)
                 before = np.where(pos > 0, edges[np.maximum(pos - 1, 0)], 0)
                 out.append((np.full(len(pos), doc, np.int64), pos.astype(np.int32), edges[pos], before))
-            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "pos", "e", "before"])
+                size += len(pos)
+                if size > CHUNK_CHARS:
+                    yield _edge_batch(out)
+                    out, size = [], 0
+            yield _edge_batch(out)
 
     return run
 
 
+def _edge_batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "pos", "e", "before"])
+
+
 def shared_spans(docs: DataFrame, min_chars: int = 64, k: int = 32) -> DataFrame:
     """Occurrences of repeated unitigs: `doc_id, start, n_chars, span_id, span`.
 
@@ -152,36 +164,53 @@ def shared_spans(docs: DataFrame, min_chars: int = 64, k: int = 32) -> DataFrame
     scratch = Scratch(docs.sparkSession)
     texts = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars)).select("doc_id", "text")
     kept = scratch.save(texts.mapInArrow(_anchor_rows(k, min_chars), "h long, doc_id long"), "anchors")
-    repeated = scratch.save(kept.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
-    by_doc = kept.join(small_or_shuffled(repeated, scratch.bytes("repeated")), "h").groupBy("doc_id").agg(F.collect_set("h").alias("anchors"))
-    by_doc = scratch.save(by_doc, "by-doc")
-    candidates = scratch.save(texts.join(small_or_shuffled(by_doc, scratch.bytes("by-doc")), "doc_id"), "candidates")
+    repeated = scratch.save(kept.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    held = join_counted(kept, repeated, ["h"], kept.count())
+    by_doc = held.groupBy("doc_id").agg(F.collect_set("h").alias("anchors"))
+    candidates = scratch.save(texts.join(by_doc, "doc_id"), "candidates")
     scratch.drop("anchors")
 
     edges = scratch.save(candidates.mapInArrow(_edge_rows(k, min_chars), "doc_id long, pos int, e long, before long"), "edges")
     nodes = edges.groupBy("e").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), F.min("before").alias("b"), F.max("before").alias("b2"))
     nodes = scratch.save(nodes.where("lo <> hi").select("e", "n", F.when(F.col("b") == F.col("b2"), F.col("b")).alias("b")), "nodes")
     ahead = nodes.select(F.col("e").alias("b"), F.col("n").alias("bn"))
-    paths = nodes.join(ahead, "b", "left").select("e", F.expr("coalesce(bn <> n, true)").alias("begins"))
+    paths = nodes.join(ahead, "b", "left").select("e", "n", F.expr("coalesce(bn <> n, true)").alias("begins"))
     paths = scratch.save(paths, "paths")
-    found = edges.select("doc_id", "pos", "e").join(small_or_shuffled(paths, scratch.bytes("paths")), "e")
+    found = join_counted(edges.select("doc_id", "pos", "e"), paths, ["e"], edges.count())
     run = Window.partitionBy("doc_id").orderBy("pos")
     found = found.withColumn("begins", F.col("begins") | F.coalesce(F.lag("pos").over(run) != F.col("pos") - 1, F.lit(True)))
     found = found.withColumn("at", F.max(F.when(F.col("begins"), F.col("pos"))).over(run.rowsBetween(Window.unboundedPreceding, 0)))
     unitigs = found.groupBy("doc_id", "at").agg((F.count("*") + (min_chars - 1)).cast("int").alias("n_chars"), F.min_by("e", "pos").alias("head"))
     cut = scratch.save(unitigs.join(candidates.select("doc_id", "text"), "doc_id").select("doc_id", F.col("at").alias("start"), "n_chars", "head", F.expr("substring(text, at + 1, n_chars)").alias("span")), "cut")
-    for name in ("repeated", "by-doc", "candidates", "edges", "nodes", "paths"):
+    for name in ("repeated", "candidates", "edges", "nodes", "paths"):
         scratch.drop(name)
-    verified = cut.groupBy("head", "span").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("head", "span", F.xxhash64(F.lit(0), "span").alias("span_id"))
-    return cut.join(verified, ["head", "span"]).select("doc_id", "start", "n_chars", "span_id", "span")
+    verified = cut.groupBy("head", "span").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    verified = verified.where("lo <> hi").select("head", "span", "n", F.xxhash64(F.lit(0), "span").alias("span_id"))
+    verified = scratch.save(verified, "verified")
+    return join_counted(cut, verified, ["head", "span"], cut.count()).select("doc_id", "start", "n_chars", "span_id", "span")
 
 
 def sharing_pairs(spans: DataFrame) -> DataFrame:
-    """`doc_a, doc_b`: pairs of records with a span in common; spans are compared by their characters."""
-    held = spans.select("doc_id", "span_id", "span").distinct()
-    a, b = held.alias("a"), held.alias("b")
-    met = a.join(b, (F.col("a.span_id") == F.col("b.span_id")) & (F.col("a.span") == F.col("b.span")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    return met.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
+    """`doc_a, doc_b`: pairs of records with a span in common; spans are compared by their characters.
+
+    The records of a span are split into blocks of about PAIR_BLOCK, and every two blocks
+    meet in a group of their own.
+    """
+    scratch = Scratch(spans.sparkSession)
+    held = scratch.save(spans.select("doc_id", "span_id", "span").distinct(), "held")
+    sizes = scratch.save(held.groupBy("span_id", "span").agg(F.count("*").alias("n")), "sizes")
+    blocks = F.ceil(F.col("n") / PAIR_BLOCK)
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    held = join_counted(held, sizes, ["span_id", "span"], held.count()).withColumn("blocks", blocks).withColumn("mine", mine)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    met = held.select("doc_id", "span_id", "span", "mine", other)
+    met = met.select("doc_id", "span_id", "span", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    a, b = met.alias("a"), met.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("span_id", "low", "high", "span")]
+    # two records of one block meet in the group of that block only
+    apart = (F.col("a.mine") != F.col("b.mine")) | (F.col("a.low") == F.col("a.high"))
+    pairs = a.join(b, same[0] & same[1] & same[2] & same[3] & apart & (F.col("a.doc_id") < F.col("b.doc_id")))
+    return pairs.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
 
 
 def shared_parts(spans: DataFrame, docs: DataFrame) -> DataFrame:
