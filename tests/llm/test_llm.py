@@ -186,6 +186,37 @@ def test_variants_link(spark):
     assert variants.link_names(spark.createDataFrame([], "id string, volume string, names array<string>")).count() == 0
 
 
+def _linked(spark, rows):
+    people = variants.link_names(spark.createDataFrame(rows, "id string, volume string, names array<string>"))
+    return {tuple(r) for r in variants.linked_pairs(people).collect()}
+
+
+def test_weights_decide_between_relatives_and_slips(spark):
+    family = [(f"r{i}", "v1", [f"{g}·阿格卢图"]) for i, g in enumerate(["哈兰盖基", "布罗尼莎", "科妮莱多", "梅森戈尔", "提尔沃南", "洛库瑞奇"])]
+    # one syllable of the given name differs: relatives if several records use both, a slip if only one has it
+    relatives = [("a1", "v1", ["奈史乌麦·阿格卢图"]), ("a2", "v1", ["阿格卢图·奈史乌麦"]), ("b1", "v1", ["奈史乌莱·阿格卢图"]), ("b2", "v1", ["Naishiwulai Agelutu"])]
+    slip = [("a3", "v1", ["奈史乌乌麦·阿格卢图"])]
+    # a slip in each part
+    both = [("c1", "v1", ["盖多塔帕·皮霍里夏尼"]), ("c2", "v1", ["盖多帕塔·皮里霍夏尼"])]
+    # a slip in a short part weighs too much in the rare given name, not in the family name that many share
+    short = [("d1", "v1", ["达乌·阿格卢图"]), ("d2", "v1", ["达尼·阿格卢图"])]
+    got = _linked(spark, family + relatives + slip + both + short)
+    assert got == {("a1", "a2"), ("a1", "a3"), ("a2", "a3"), ("b1", "b2"), ("c1", "c2")}
+
+
+def test_rare_parts_count_more():
+    parts = variants.Parts({"lu ge": 9.0, "lu ne": 9.0, "shi wu": 3.0, "shi mu": 3.0}, {"lu ge": 5, "lu ne": 1, "shi wu": 5, "shi mu": 1})
+    in_common = variants.similarity("lu ge", "shi wu", "lu ge", "shi mu", parts)
+    in_rare = variants.similarity("lu ge", "shi wu", "lu ne", "shi wu", parts)
+    assert in_common > variants.VERIFIED > in_rare
+    assert variants.similarity("lu ge shi wu", "", "lu ge", "shi wu", variants.Parts({"lu ge": 9.0, "shi wu": 3.0, "lu ge shi wu": 9.0, "": 1.0}, {"lu ge": 2, "shi wu": 2})) == 1.0
+
+
+def test_nicknames_given_beside_a_full_name(spark):
+    rows = [("a", "v", ["奈史乌麦·阿格卢图", "小鹰"]), ("b", "v", ["小鹰"]), ("c", "v", ["哈兰盖基·穆罗舍", "阿狸"]), ("d", "v", ["布罗尼莎·穆罗舍", "阿狸"]), ("e", "v", ["阿狸"]), ("f", "w", ["小鹰"])]
+    assert _linked(spark, rows) == {("a", "b")}
+
+
 def test_parsing_names():
     assert parse("Dr. Sohogol Wodoxe").parts == ("Sohogol", "Wodoxe") and parse("BanégerPemago").parts == ("Banéger", "Pemago")
     assert parse("神秘人").kind == "role" and parse(None) is None and parse("…") is None and letters("奈史乌麦") == "naishiwumai"

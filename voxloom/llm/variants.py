@@ -3,13 +3,17 @@
 Full names are sets of q-grams of their letters (foreign syllables by their reading, so
 both scripts meet). Grams are ordered rare first over all names; two names whose weighted
 Jaccard similarity reaches CANDIDATE share a gram of their prefixes, which is what joins
-them within a volume. Candidates are verified part by part, in either order: the soft
-similarity of the parts, each weighted by its rarity, must reach VERIFIED, and the names
-may differ by one slip of the pen in a part that is long enough to carry it. So a rare
-given name counts for more than the family name that relatives share.
+them within a volume, and pairs that don't reach it are dropped. The rest is verified by
+soft weighted token similarity: parts are matched in either order, a matched part counts
+by the share of its syllables or letters that agree, weighted by its rarity, and the sum
+must reach VERIFIED. So a rare given name counts for more than the family name that
+relatives share, and a slip in the one weighs more than in the other. Two spellings of a
+part that several records of the volume use each are two names, not slips, and agree in
+nothing; nor do parts in ideographs that aren't equal.
 
 Epithets link by equality. A given name or an initial with a family name links to the one
-person of the volume it can stand for, and to nobody if there are several. Links chain:
+person of the volume it can stand for, be it a part of the full name or a name that a
+record gives beside the full one, and to nobody if there are several. Links chain:
 connected components make the groups.
 
 Records of different volumes never link, a record named by role words only links to
@@ -28,7 +32,9 @@ from voxloom.llm.components import connected_components
 from voxloom.llm.names import READINGS, distance, is_foreign, letters, parse
 from voxloom.sources.scratch import Scratch
 
-CANDIDATE, VERIFIED = 0.35, 0.7
+CANDIDATE, VERIFIED = 0.2, 0.75
+#: Least similarity of two names that are both written without a sign between their parts, as no rarity tells which part differs.
+UNPARTED = 0.8
 FORMS = "id string, volume string, kind string, a string, b string"
 
 
@@ -93,34 +99,56 @@ def stand_ins(a: str, b: str) -> set[tuple[str, str, str]]:
     return out
 
 
-def _slips(x: str, y: str) -> tuple[float, int]:
-    """Distance in units, and the length of the longer in units; native parts are too short for a slip."""
+def _agreement(x: str, y: str) -> float:
+    """Share of the syllables or letters of two parts that agree; parts in ideographs agree as a whole or not at all."""
     if x == y or _tight(x) == _tight(y):
-        return 0, max(1, len(_tight(x)))
+        return 1.0
     if _is_native(x) or _is_native(y):
-        return 9, max(len(x), len(y))
+        return 0.0
     if " " in x and " " in y:
         p, q = x.split(" "), y.split(" ")
         code = {s: chr(0xE000 + i) for i, s in enumerate(sorted({*p, *q}))}
-        return distance("".join(map(code.get, p)), "".join(map(code.get, q))), max(len(p), len(q))
+        return max(0.0, 1 - distance("".join(map(code.get, p)), "".join(map(code.get, q))) / max(len(p), len(q)))
     x, y = _tight(x), _tight(y)
-    return distance(x, y, 2), max(len(x), len(y)) // 2
-
-
-def same_person(a1: str, b1: str, a2: str, b2: str, weight) -> bool:
-    """Whether two full names differ by at most one slip, and the weighted soft similarity of their parts is high enough."""
-    if not b1 or not b2:
-        ways = [(f"{a1} {b1}".strip(), f"{a2} {b2}".strip()), (f"{a1} {b1}".strip(), f"{b2} {a2}".strip()), (f"{b1} {a1}".strip(), f"{a2} {b2}".strip())]
-        best = min((_slips(x, y) for x, y in ways), key=lambda z: z[0])
-        return best[0] == 0 or best[0] == 1 and best[1] >= 5
-    for (p, q), (r, s) in (((a1, b1), (a2, b2)), ((a1, b1), (b2, a2))):
-        (d, n), (e, m) = _slips(p, r), _slips(q, s)
-        if d + e > 1 or d and n < 3 or e and m < 3:
-            continue
-        wp, wq = weight(p, r), weight(q, s)
-        if (wp * (1 - d / n) + wq * (1 - e / m)) / (wp + wq) >= VERIFIED:
-            return True
-    return False
+    # a slip takes a letter, and a syllable has about two
+    return max(0.0, 1 - 2 * distance(x, y) / max(len(x), len(y)))
+
+
+class Parts:
+    """Rarity of a part, and how many records of the volume use it."""
+
+    def __init__(self, weight: dict[str, float], support: dict[str, int]) -> None:
+        self.weight, self.support = weight, support
+
+    def match(self, x: str, y: str) -> tuple[float, float]:
+        """Weight of a matched part, and how far it agrees."""
+        w = max(self.weight[x], self.weight.get(y, 0.0))
+        share = _agreement(x, y)
+        two_names = share < 1 and self.support[x] > 1 and self.support.get(y, 1) > 1
+        return w, 0.0 if two_names else share
+
+
+def _soft(matched: list[tuple[float, float]]) -> float:
+    return sum(w * s for w, s in matched) / sum(w for w, _ in matched)
+
+
+def similarity(a1: str, b1: str, a2: str, b2: str, parts: Parts) -> float:
+    """Soft weighted token similarity of two full names; a name without a sign between its parts is split where the other is."""
+    if not b1 and not b2:
+        share = _agreement(a1, a2)
+        return share if share >= UNPARTED else 0.0
+    if b1 and b2:
+        return max(_soft([parts.match(p, r), parts.match(q, s)]) for p, q, r, s in ((a1, b1, a2, b2), (a1, b1, b2, a2)))
+    (x, y), whole = ((a1, b1), a2) if b1 else ((a2, b2), a1)
+    best = 0.0
+    cut = " " if " " in whole else ""
+    units_of = lambda t: t.split(" ") if cut else list(_tight(t))
+    tokens = units_of(whole)
+    for p, q in ((x, y), (y, x)):
+        for at in (len(units_of(p)) + i for i in (-1, 0, 1)):
+            if 0 < at < len(tokens):
+                best = max(best, _soft([parts.match(p, cut.join(tokens[:at])), parts.match(q, cut.join(tokens[at:]))]))
+    return best
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,40 +165,46 @@ def _stand_ins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for r in batches:
-        def weights(i: int):
-            known = {r.a1[i]: r.wa1[i], r.b1[i]: r.wb1[i], r.a2[i]: r.wa2[i], r.b2[i]: r.wb2[i]}
-            return lambda x, y: max(known[x], known[y])
-
-        keep = [same_person(r.a1[i], r.b1[i], r.a2[i], r.b2[i], weights(i)) for i in r.index]
+        keep = []
+        for a1, b1, a2, b2, *known in zip(*(r[c] for c in ("a1", "b1", "a2", "b2", "wa1", "wb1", "wa2", "wb2", "sa1", "sb1", "sa2", "sb2"))):
+            names = (a1, b1, a2, b2)
+            keep.append(similarity(*names, Parts(dict(zip(names, known[:4])), dict(zip(names, known[4:])))) >= VERIFIED)
         yield r.loc[keep, ["f1", "f2"]]
 
 
-def similar_full_names(full: DataFrame, scratch: Scratch) -> DataFrame:
-    """`f1, f2`: verified pairs of `f, volume, a, b`, distinct full names."""
+def similar_full_names(full: DataFrame, uses: DataFrame, scratch: Scratch) -> DataFrame:
+    """`f1, f2`: verified pairs of `f, volume, a, b`, distinct full names; uses: `volume, p, s`, the records that use a part, in any script."""
     key = F.regexp_replace(F.concat("a", "b"), " ", "")
     q = F.when(key.rlike("[\\x{3400}-\\x{9fff}]"), 2).otherwise(3)
     grams = full.withColumn("key", key).withColumn("q", q).select("f", "volume", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(length(key) - q + 1, 1)), i -> substring(key, i, q)))")).alias("g"))
     n = full.count()
     df = grams.groupBy("g").agg(F.count("*").alias("df"))
     weighed = grams.join(df, "g").withColumn("w", F.log(1 + F.lit(n) / F.col("df")))
-    rare_first = Window.partitionBy("f").orderBy("df", "g")
-    whole = F.sum("w").over(Window.partitionBy("f"))
-    ahead = F.coalesce(F.sum("w").over(rare_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    prefix = scratch.save(weighed.withColumn("all", whole).withColumn("ahead", ahead).where(F.col("ahead") <= (1 - CANDIDATE) * F.col("all")).select("f", "volume", "g", "all"), "prefix")
+    sets = weighed.groupBy("f", "volume").agg(F.array_sort(F.collect_list(F.struct("df", "g", "w"))).alias("gs"), F.sum("w").alias("all"))
+    sets = scratch.save(sets.select("f", "volume", "all", F.transform("gs", lambda x: F.struct(x["g"].alias("g"), x["w"].alias("w"))).alias("gs")), "sets")
+    # grams rare first, as long as what stands before them leaves room for the similarity
+    placed = sets.select("f", "volume", "all", F.posexplode("gs").alias("i", "x"), "gs")
+    ahead = F.aggregate(F.slice("gs", F.lit(1), F.col("i")), F.lit(0.0), lambda z, x: z + x["w"])
+    prefix = placed.where(ahead <= (1 - CANDIDATE) * F.col("all")).select("f", "volume", F.col("x.g").alias("g"), "all")
+    prefix = scratch.save(prefix, "prefix")
     x, y = prefix.alias("x"), prefix.alias("y")
     # a pair can reach the similarity only if neither set outweighs the other by more than its inverse
     size = (F.col("x.all") >= CANDIDATE * F.col("y.all")) & (F.col("y.all") >= CANDIDATE * F.col("x.all"))
     met = x.join(y, (F.col("x.volume") == F.col("y.volume")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.f") < F.col("y.f")) & size)
     pairs = met.select(F.col("x.f").alias("f1"), F.col("y.f").alias("f2")).distinct()
-    parts = full.select(F.explode(F.array("a", "b")).alias("p")).groupBy("p").agg(F.log(1 + F.lit(n) / F.count("*")).alias("w"))
-    weighty = full.join(parts.withColumnsRenamed({"p": "a", "w": "wa"}), "a").join(parts.withColumnsRenamed({"p": "b", "w": "wb"}), "b")
-    weighty = scratch.save(weighty.select("f", "a", "b", "wa", "wb"), "weighty")
-    one = lambda i: weighty.select(*[F.col(c).alias(f"{c}{i}") for c in ("f", "a", "b", "wa", "wb")])
+    tight = lambda c: F.regexp_replace(c, " ", "")
+    rare = full.select(F.explode(F.array(tight("a"), tight("b"))).alias("p")).groupBy("p").agg(F.log(1 + F.lit(n) / F.count("*")).alias("w"))
+    known = scratch.save(uses.join(rare, "p"), "parts")
+    of = lambda c: known.select("volume", F.col("p").alias(f"t{c}"), F.col("w").alias(f"w{c}"), F.col("s").alias(f"s{c}"))
+    weighty = full.withColumn("ta", tight("a")).withColumn("tb", tight("b")).join(of("a"), ["volume", "ta"]).join(of("b"), ["volume", "tb"])
+    weighty = weighty.join(sets.select("f", "gs", "all"), "f")
+    columns = ("f", "a", "b", "wa", "wb", "sa", "sb", "gs", "all")
+    weighty = scratch.save(weighty.select(*columns), "weighty")
+    one = lambda i: weighty.select(*[F.col(c).alias(f"{c}{i}") for c in columns])
     met = pairs.join(one(1), "f1").join(one(2), "f2")
-    # one slip in all leaves one part equal, unless a name stands without a sign between its parts
-    tight = {c: F.regexp_replace(c, " ", "") for c in ("a1", "b1", "a2", "b2")}
-    equal = tight["a1"].isin(tight["a2"], tight["b2"]) | tight["b1"].isin(tight["a2"], tight["b2"])
-    return met.where((F.col("b1") == "") | (F.col("b2") == "") | equal).mapInPandas(_verify, "f1 string, f2 string")
+    common = F.aggregate(F.filter("gs1", lambda x: F.array_contains(F.col("gs2.g"), x["g"])), F.lit(0.0), lambda z, x: z + x["w"])
+    met = met.withColumn("common", common).where(F.col("common") >= CANDIDATE * (F.col("all1") + F.col("all2") - F.col("common")))
+    return met.drop("gs1", "gs2", "all1", "all2", "common").mapInPandas(_verify, "f1 string, f2 string")
 
 
 def link_names(records: DataFrame) -> DataFrame:
@@ -181,14 +215,18 @@ def link_names(records: DataFrame) -> DataFrame:
     forms = scratch.save(named.mapInPandas(_forms, FORMS), "forms")
     own = node("r", "id")
     full = scratch.save(forms.where("kind = 'full'").select(node("f", "volume", "a", "b").alias("f"), "volume", "a", "b").distinct(), "full")
-    similar = scratch.save(similar_full_names(full, scratch), "similar")
+    used = forms.where("kind = 'full'").select("volume", "id", F.explode(F.transform(F.array("a", "b"), lambda c: F.regexp_replace(c, " ", ""))).alias("p")).distinct()
+    similar = scratch.save(similar_full_names(full, used.groupBy("volume", "p").agg(F.count("*").alias("s")), scratch), "similar")
     to_full = forms.where("kind = 'full'").select(own.alias("x"), node("f", "volume", "a", "b").alias("y"))
     to_epithet = forms.where("kind = 'epithet'").select(own.alias("x"), node("e", "volume", "a").alias("y"))
     first = to_full.unionByName(to_epithet).unionByName(similar.select(F.col("f1").alias("x"), F.col("f2").alias("y")))
     groups = scratch.save(connected_components(first, "x", "y"), "groups")
 
     shorter = full.join(groups, full.f == groups.node).select("component", "volume", "a", "b").mapInPandas(_stand_ins, "component string, volume string, kind string, a string, b string")
-    meant = shorter.groupBy("volume", "kind", "a", "b").agg(F.min("component").alias("c"), F.max("component").alias("c2"))
+    # a record's other names stand for it as well
+    own_full = to_full.select(F.substring("x", 3, 1 << 30).alias("id"), F.col("y").alias("node")).join(groups, "node").select("id", "component").distinct()
+    beside = forms.where("kind in ('single', 'initial')").join(own_full, "id").select("component", "volume", "kind", "a", "b")
+    meant = shorter.unionByName(beside).groupBy("volume", "kind", "a", "b").agg(F.min("component").alias("c"), F.max("component").alias("c2"))
     # a record that has a full name of its own needs no shorter one
     lacking = forms.where("kind in ('single', 'initial')").join(forms.where("kind = 'full'").select("id").distinct(), "id", "left_anti")
     met = lacking.join(meant, ["volume", "kind", "a", "b"], "left")
@@ -196,7 +234,7 @@ def link_names(records: DataFrame) -> DataFrame:
     placed = met.where("c = c2").select(own.alias("x"), F.col("c").alias("y"))
     every = first.unionByName(groups.select(F.col("node").alias("x"), F.col("component").alias("y"))).unionByName(alone).unionByName(placed)
     people = connected_components(scratch.save(every.distinct(), "links"), "x", "y")
-    for name in ("forms", "full", "prefix", "weighty", "similar", "groups", "links"):
+    for name in ("forms", "full", "sets", "prefix", "parts", "weighty", "similar", "groups", "links"):
         scratch.drop(name)
     return people.where("node like 'r|%'").select(F.substring("node", 3, 1 << 30).alias("id"), F.col("component").alias("person"))
 
