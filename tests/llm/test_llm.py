@@ -346,8 +346,10 @@ def test_canonical_forms():
     same = [("守⻔官", "守门官"), ("ＡＢ１", "AB1"), ("éx", "éx"), ("РАСТ", "PACT"), ("a​b️", "ab"), ("x　y", "x y"), ("⋯⋯", "……"), ("エ作", "工作"), ("Fiwӧlal", "Fiwölal"), ("ｶﾞ", "ガ"), ("e‍́", "é")]
     for a, b in same:
         assert unify.canonical(a) == unify.canonical(b) == unify.canonical(unify.canonical(a)), (a, b)
-    apart = [("瓊", "琼"), ("A", "a"), ("é", "e"), ("。", "!"), ("……", "......"), ("ロシア", "口シア")]
+    apart = [("瓊", "琼"), ("A", "a"), ("é", "e"), ("。", "!"), ("……", "....."), ("ロシア", "口シア"), ("....", "…")]
     assert all(unify.canonical(a) != unify.canonical(b) for a, b in apart)
+    same = [("……", "......"), ("Wait...", "Wait…"), ("𝐀b", "Ab"), ("Ⅳ", "IV"), ("ϲat", "cat"), ("օk", "ok"), ("ᎪB", "AB")]
+    assert all(unify.canonical(a) == unify.canonical(b) for a, b in same)
     assert unify.canonical("Анна") == "Анна" and unify.canonical(None) is None and unify.canonical("") == ""
 
 
