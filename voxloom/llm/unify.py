@@ -67,6 +67,10 @@ def _fold_one(ch: str) -> str | None:
     return None
 
 
+#: For the JVM's check: unstable signs that are in most texts, and the ranges that most characters are in, none of them unstable.
+_COMMON, _STABLE = "，！？：；", r"\x{0}-\x{7F}\x{4E00}-\x{9FFF}。、「」『』《》…—“”‘’"
+
+
 @lru_cache(maxsize=1)
 def _tables() -> tuple[dict[str, str], re.Pattern[str], re.Pattern[str], str]:
     """The rewriting table, the patterns of the two kinds of segments, and the class of unstable code points for the JVM."""
@@ -94,7 +98,7 @@ def _tables() -> tuple[dict[str, str], re.Pattern[str], re.Pattern[str], str]:
     single, open_ = _classes(set(fold))[0], _classes(unstable)[0]
     twins = {cp for a, b in ((0x370, 0x530), (0x1F00, 0x2000)) for cp in range(a, b) if unicodedata.normalize("NFD", chr(cp))[0] in _TWINS}
     every = unstable | set(fold) | twins | {ord(c) for c in (*_TWINS, *KANA)}
-    return {chr(k): v for k, v in fold.items()}, re.compile(f"[{single}]"), re.compile(f"[^{open_}\n]?[{open_}]+"), f"[{_classes(every)[1]}]|[.]{{3}}"
+    return {chr(k): v for k, v in fold.items()}, re.compile(f"[{single}]"), re.compile(f"[^{open_}\n]?[{open_}]+"), f"[{_COMMON}]|(?=[^{_STABLE}])[{_classes(every)[1]}]|[.]{{3}}"
 
 
 def _classes(points: set[int]) -> tuple[str, str]:
