@@ -14,12 +14,24 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     A containment join without comparing all pairs: each name is looked up by its first
     three characters (two if it has only two) among the distinct grams of a text, as an
     equi-join with the volume, and verified. Names of one character or of low signal name
-    nobody. texts: `key, volume_id, text`; names: `volume_id, name, ...`.
+    nobody. texts: `key, volume_id, text`; names: `volume_id, name, ...`. A key may have several texts; a name
+    is then given once for each that has it.
     """
     asked = names.where((F.length("name") > 1) & ~F.col("name").isin(*X.LOW_SIGNAL_NAMES)).withColumn("gram", F.left("name", F.lit(3)))
     grams = F.expr("array_distinct(concat(transform(sequence(1, greatest(length(text) - 2, 1)), i -> substring(text, i, 3)), transform(sequence(1, greatest(length(text) - 1, 1)), i -> substring(text, i, 2))))")
-    looked = texts.where("length(text) > 1").withColumn("gram", F.explode(grams))
-    return looked.join(asked, ["volume_id", "gram"]).where("contains(text, name)").drop("gram", "text")
+    # a text is cut to its grams once; they travel without it, and only names of over three characters need it again
+    kept = texts.where("length(text) > 1").select("key", "volume_id", "text")
+    looked = kept.select("key", "volume_id", F.explode(grams).alias("gram"))
+    met = looked.join(asked, ["volume_id", "gram"])
+    short = met.where(F.length("name") <= 3).drop("gram")
+    long = met.where(F.length("name") > 3).drop("gram").join(kept.select("key", "text"), "key").where("contains(text, name)").select(*short.columns)
+    return short.unionByName(long)
+
+
+def context_lines(windows: DataFrame) -> DataFrame:
+    """`key, volume_id, text` for `window_id, volume_id, text`: every line of a window's contexts once, as they overlap."""
+    split = windows.select(F.col("window_id").alias("key"), "volume_id", F.explode(F.split("text", "\n")).alias("text"))
+    return split.where("text <> ''").distinct()
 
 
 def character_names(cards: DataFrame) -> DataFrame:
@@ -37,7 +49,7 @@ def score_characters(windows: DataFrame, cards: DataFrame, active: DataFrame | N
     its own equi-join; a character without any point is never paired with a window.
     """
     names = character_names(cards)
-    found = mentions(windows.select(F.col("window_id").alias("key"), "volume_id", "text"), names).select(F.col("key").alias("window_id"), "entity_id", "what", "name").distinct()
+    found = mentions(context_lines(windows), names).select(F.col("key").alias("window_id"), "entity_id", "what", "name").distinct()
     points = [found.select("window_id", "entity_id", F.when(F.col("what") == "name", 8.0).when(F.col("what") == "alias", 6.0).otherwise(2.0).alias("p"))]
     scene = windows.select("window_id", "volume_id", "scene_id").distinct().where("scene_id is not null")
     for column, p in (("first_seen_scene_id", 1.0), ("latest_seen_scene_id", 1.5)):
@@ -65,7 +77,7 @@ def score_mysteries(contexts: DataFrame, mysteries: DataFrame, limit: int = 8) -
     scene (2) only evidence counts. At least one is kept.
     """
     m = mysteries.where(~X.clean_text(F.col("name")).isin(*X.LOW_SIGNAL_TITLES))
-    by_name = mentions(contexts.select(F.col("window_id").alias("key"), "volume_id", "text"), m.select("volume_id", X.clean_text(F.col("name")).alias("name"), "mystery_id"))
+    by_name = mentions(context_lines(contexts), m.select("volume_id", X.clean_text(F.col("name")).alias("name"), "mystery_id"))
     by_name = by_name.select(F.col("key").alias("window_id"), "mystery_id", F.lit("name").alias("what"))
     ids = contexts.select("window_id", "volume_id", F.explode("ids").alias("id"))
     by_id = ids.join(m.select("volume_id", "mystery_id", F.explode("evidence").alias("id")), ["volume_id", "id"]).select("window_id", "mystery_id", F.lit("evidence").alias("what"))

@@ -62,7 +62,8 @@ def by_attribution(rows: DataFrame, options: DataFrame) -> DataFrame:
     """The option that the nearest narration names before a verb of speech; the earliest match in it wins."""
     told = rows.where("kind = 'standalone'").select("dialogue_id", "window_id", F.posexplode("narration").alias("ctx", "said"))
     met = told.join(option_names(options), "window_id").where("contains(said, name)")
-    hits = F.array(*[F.regexp_substr("said", attribution_pattern(F.col("name"), v)) for v in (*VERBS, "念着", "打招呼")])
+    # a pattern is made of the name only where the verb stands in the text at all
+    hits = F.array(*[F.when(F.contains("said", F.lit(v)), F.regexp_substr("said", attribution_pattern(F.col("name"), v))) for v in (*VERBS, "念着", "打招呼")])
     met = met.withColumn("hit", F.explode(F.filter(hits, lambda h: h.isNotNull())))
     start = F.expr("instr(said, hit)")
     order = F.struct("ctx", start, start + F.length("hit"), -F.length("name"), F.col("rank"))

@@ -41,7 +41,7 @@ def attribution_pattern(name: Column, verb: str) -> Column:
 def speech_near_name(text: Column, name: Column) -> Column:
     out = F.lit(False)
     for v in VERBS:
-        out = out | F.rlike(text, attribution_pattern(name, v))
+        out = out | (F.contains(text, F.lit(v)) & F.rlike(text, attribution_pattern(name, v)))
     return F.contains(text, name) & out
 
 
