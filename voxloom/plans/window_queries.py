@@ -60,7 +60,23 @@ WINDOWS = f"""a AS (SELECT *, CASE WHEN (row_number() OVER c > 1 AND lag(scene_i
         e AS (SELECT *, first_value(dialogue_id) OVER w AS f, last_value(dialogue_id) OVER w AS l FROM c WINDOW w AS (PARTITION BY volume_id, chapter_id, isl, k // 8 ORDER BY dialogue_index, dialogue_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
         win AS (SELECT *, CASE WHEN f = l THEN f ELSE f || '_to_' || l END AS window_id, CAST(k % 8 AS INTEGER) AS window_pos FROM e)"""
 
+_N = f"n AS (SELECT paragraph_id, count(*) AS n FROM {_D} GROUP BY paragraph_id), p AS (SELECT q.*, coalesce(n.n, 0) AS n FROM {_P} q LEFT JOIN n ON n.paragraph_id = q.paragraph_id)"
+
 SQL = {
+    # one step per paragraph of a scene: a full request is closed before the paragraph that doesn't fit
+    "w_requests": f"""WITH RECURSIVE {_N}, o AS (SELECT scene_id, paragraph_id, n, row_number() OVER (PARTITION BY scene_id ORDER BY paragraph_index, paragraph_id) AS i FROM p WHERE scene_id IS NOT NULL),
+        f(scene_id, i, paragraph_id, job, pos, spoken) AS (SELECT scene_id, i, paragraph_id, 0, 0, n FROM o WHERE i = 1
+          UNION ALL SELECT scene_id, i, paragraph_id, CASE WHEN full_ THEN job + 1 ELSE job END, CASE WHEN full_ THEN 0 ELSE pos + 1 END, CASE WHEN full_ THEN n ELSE spoken + n END
+            FROM (SELECT o.scene_id, o.i, o.paragraph_id, o.n, job, pos, spoken, pos + 1 >= 30 OR (spoken > 0 AND spoken + o.n > 40) AS full_ FROM f JOIN o ON o.scene_id = f.scene_id AND o.i = f.i + 1)),
+        g AS (SELECT *, max(spoken) OVER (PARTITION BY scene_id, job) AS said FROM f)
+        SELECT scene_id, scene_id || '-r' || printf('%03d', dense_rank() OVER (PARTITION BY scene_id ORDER BY job)) AS request_id, paragraph_id, CAST(pos AS INTEGER) AS pos FROM g WHERE said > 0""",
+    "w_chunks": f"""WITH RECURSIVE {_N}, o AS (SELECT *, dense_rank() OVER (ORDER BY volume_id, chapter_id) AS ch, row_number() OVER (PARTITION BY volume_id, chapter_id ORDER BY paragraph_index, paragraph_id) AS i, nullif(scene_id, '') AS sc FROM p),
+        f(ch, i, paragraph_id, chunk, pos, spoken, scene) AS (SELECT ch, i, paragraph_id, 0, 0, n, sc FROM o WHERE i = 1
+          UNION ALL SELECT ch, i, paragraph_id, CASE WHEN full_ THEN chunk + 1 ELSE chunk END, CASE WHEN full_ THEN 0 ELSE pos + 1 END, CASE WHEN full_ THEN n ELSE spoken + n END, CASE WHEN full_ THEN sc ELSE coalesce(scene, sc) END
+            FROM (SELECT o.ch, o.i, o.paragraph_id, o.n, o.sc, chunk, pos, spoken, scene, coalesce(scene <> o.sc, false) OR pos + 2 > 16 OR spoken + o.n > 32 AS full_ FROM f JOIN o ON o.ch = f.ch AND o.i = f.i + 1)),
+        z AS (SELECT volume_id, ch, max(chunk) + 1 AS size, min(paragraph_index) AS first_, any_value(chapter_id) AS chapter FROM f JOIN o USING (ch, i, paragraph_id) GROUP BY volume_id, ch),
+        h AS (SELECT ch, coalesce(sum(size) OVER (PARTITION BY volume_id ORDER BY first_, chapter NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM z)
+        SELECT volume_id, volume_id || '-r' || lpad(CAST(chunk + ahead + 1 AS VARCHAR), 6, '0') AS chunk_id, CAST(chunk + ahead AS INTEGER) AS chunk_index, paragraph_id, paragraph_index, CAST(pos AS INTEGER) AS pos FROM f JOIN o USING (ch, i, paragraph_id) JOIN h USING (ch)""",
     "w_select": f"SELECT dialogue_id, volume_id, dialogue_index FROM {_D} WHERE dialogue_index >= 10 QUALIFY row_number() OVER (PARTITION BY volume_id ORDER BY dialogue_index) <= 40",
     "w_windows": f"WITH {WINDOWS} SELECT dialogue_id, window_id, window_pos FROM win",
     "w_segments": f"""WITH {WINDOWS},
