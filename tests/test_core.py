@@ -324,3 +324,49 @@ def test_merged_cards_keep_summaries_and_evidence(spark):
     m = spark.createDataFrame([("a", "b", 2), ("b", "c", 3), ("d", "c", 1)], "source string, target string, edge_id int")
     got = {r.entity_id: (r.merged, r.summary, r.evidence_refs) for r in E.merge_cards(spark.createDataFrame(rows, schema), resolve_aliases(m), m).collect()}
     assert got == {"c": (4, "丙 甲 丁 " + "乙" * 119 + "…", ["e3", "e2", "e1"]), "x": (1, "", ["e4"])}
+
+
+def test_structured_window(spark):
+    import json
+
+    from voxloom.plans import structured
+
+    text = "第1章\n罗伦走进村落。\n「我们走。」\n门外有人影。\n「你好啊。」\n「再见。」"
+    t = pipeline.preprocess(spark.createDataFrame([("volume_01", text)], "volume_id string, text string"), 1, 20)
+    d = [r.dialogue_id for r in t["dialogues"].orderBy("dialogue_index").collect()]
+    window = f"{d[0]}_to_{d[2]}"
+    card = "entity_id string, volume_id string, display_name string, aliases array<string>, titles array<string>, speech_markers array<string>, first_seen_scene_id string, latest_seen_scene_id string, confidence double"
+    cards = spark.createDataFrame([("c1", "volume_01", "罗伦", [], [], [], None, None, 0.5), ("c2", "volume_01", "赫萝", [], [], [], None, None, 0.5)], card)
+    models = spark.createDataFrame([(r, m, 1.0) for r in ("evidence", "judge", "contradiction") for m in ("m", "n") if r == "judge" or m == "m"], "role string, model string, weight double")
+    vote = lambda i, who, name, c=0.9: {"dialogue_id": d[i], "speaker_entity_id": who, "speaker_display": name, "speaker_status": "known", "confidence": c}
+    answers = {
+        f"evidence--{window}--m": {"evidence": [{"dialogue_id": d[0], "positive_evidence": ["门外"]}, {"dialogue_id": d[0], "positive_evidence": ["人影", "人影"]}]},
+        f"judge--{window}--m": {"annotations": [vote(0, "c1", "罗伦"), vote(1, "c1", "罗伦"), vote(2, "c1", "罗伦")]},
+        f"judge--{window}--n": {"annotations": [vote(0, "c1", "罗伦"), vote(1, "c1", "罗伦"), vote(2, "c1", "罗伦")]},
+        f"contradiction--{window}--m": {"checks": [{"dialogue_id": d[1], "severity": "strong", "reason": "称呼不符", "counter_evidence": ["你好"]}, {"dialogue_id": d[2], "has_contradiction": True}]},
+    }
+    repair = {f"repair--{window}--iter1--m": {"annotations": [vote(1, "c2", "赫萝"), vote(2, "c1", "罗伦")]}}
+    run = lambda a: structured.annotate(t["dialogues"], t["paragraphs"], cards, models, spark.createDataFrame([(k, json.dumps(v), 0) for k, v in a.items()], "request_id string, raw string, pos int"))
+    out = run(answers | repair)
+    said = {r.dialogue_id: (r.speaker_entity_id, r.needs_review, r.review_reason) for r in out["annotations"].collect()}
+    assert said == {d[0]: ("c1", False, ""), d[1]: ("c2", False, ""), d[2]: ("c1", True, "strong_contradiction:")}
+    assert {(r.dialogue_id, r.initial, r.repaired, r.stop_reason) for r in out["repairs"].collect()} == {(d[1], "c1", "c2", "resolved"), (d[2], "c1", "c1", "unchanged")}
+    assert {r.dialogue_id: r.positive_evidence for r in out["evidence"].collect()} == {d[0]: ["人影"], d[1]: [], d[2]: []}
+    asked = {r.request_id: r.prompt for r in out["requests"].collect()}
+    assert set(asked) == set(answers | repair) and "人影" in asked[f"judge--{window}--m"] and "judgements" in asked[f"contradiction--{window}--m"]
+    assert "称呼不符" in asked[f"repair--{window}--iter1--m"] and out["failures"].count() == 0
+    assert {(r.model, r.dialogue_id) for r in out["votes"].collect()} >= {("judge:m", d[0]), ("repair:m", d[1])}
+    out = run({k: v for k, v in answers.items() if not k.startswith("evidence")})
+    assert {r.stop_reason for r in out["repairs"].collect()} == {"repair_cache_missing"} and [r.role for r in out["failures"].collect()] == ["evidence"]
+    assert {r.dialogue_id: r.review_reason for r in out["annotations"].collect()}[d[1]] == "strong_contradiction:称呼不符"
+    out = run(answers | {f"repair--{window}--iter1--m": {"annotations": [{**vote(1, "c2", "赫萝"), "needs_review": True}]}})
+    assert {(r.dialogue_id, r.stop_reason) for r in out["repairs"].collect()} == {(d[1], "needs_review"), (d[2], "missing_response")}
+
+
+def test_a_marker_of_another_contradicts(spark):
+    rows = line(spark, ("d1", 0, "咱饿了", [], ""), ("d2", 1, "走吧", [], ""))
+    opts = option(spark, ("罗伦", [], []), ("赫萝", [], ["咱"]))
+    votes = spark.createDataFrame([(i, m, 1.0, 0.9, "char_0", "罗伦", "known", False, 1, []) for i in ("d1", "d2") for m in ("m", "n")], "dialogue_id string, model string, weight double, confidence double, speaker_entity_id string, speaker_display string, speaker_status string, needs_review boolean, pos int, evidence array<string>")
+    d = rows.select("dialogue_id", "text", F.col("kind").alias("dialogue_kind"), F.col("narration").alias("context"))
+    got = {r.dialogue_id: (r.needs_review, r.review_reason) for r in V.aggregate_votes(d, votes, checked=True, markers=R.marker_owners(rows, opts)).collect()}
+    assert got == {"d1": (True, "speaker_contradiction:speech_marker:赫萝"), "d2": (False, "")}

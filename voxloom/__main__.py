@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.plans import pipeline
+from voxloom.plans import pipeline, structured
 from voxloom.session import DEFAULTS
 from voxloom.sources import files
 
@@ -67,7 +67,13 @@ def main(argv: list[str] | None = None) -> int:
         if args.verb == "prompts":
             out = {"requests": pipeline.requests(tables["dialogues"], cards, models, tables["paragraphs"], memories, mysteries)[0]}
         else:
-            out = pipeline.annotate(tables["dialogues"], tables["paragraphs"], cards, models, spark.read.parquet(args.responses), not args.structured, memories, mysteries)
+            given = (tables["dialogues"], tables["paragraphs"], cards)
+            responses = spark.read.parquet(args.responses)
+            if args.structured:
+                roles = models.withColumn("role", F.explode(F.array(*map(F.lit, structured.ROLES[:3]))))
+                out = structured.annotate(*given, roles, responses, memories, mysteries)
+            else:
+                out = pipeline.annotate(*given, models, responses, True, memories, mysteries)
     for name, df in out.items():
         df.write.mode("overwrite").parquet(f"{args.output}/{name}")
     return 0

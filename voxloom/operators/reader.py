@@ -84,12 +84,17 @@ def memories(windows: DataFrame, stored: DataFrame, radius: int = 0, most: int =
     return met.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= max(1, most)).select("window_id", "memory_id", "chunk")
 
 
+def _dialogue_id(parsed: DataFrame) -> Column:
+    """The id that `responses.by_dialogue` found, else the row's own."""
+    return F.col("dialogue_id") if "dialogue_id" in parsed.columns else X.clean_text(F.try_variant_get("r", "$.dialogue_id", "string"))
+
+
 def evidence(parsed: DataFrame) -> DataFrame:
     """Typed evidence of `request_id, r VARIANT`: markers and references as structs, lists cut and texts truncated."""
     get = lambda k, t="string": F.try_variant_get("r", f"$.{k}", t)
     cut = lambda k, n: F.transform(X.unique_strings(get(k, EMPTY), 8), lambda x: X.truncate(x, n))
     markers = F.slice(F.transform(F.coalesce(get("speech_markers", "array<variant>"), F.array().cast("array<variant>")), lambda v: F.struct(F.coalesce(F.try_variant_get(v, "$.marker", "string"), F.try_variant_get(v, "$", "string")).alias("marker"), F.coalesce(F.try_variant_get(v, "$.owner_display", "string"), F.lit("")).alias("owner_display"))), 1, 8)
-    return parsed.select("request_id", X.clean_text(get("dialogue_id")).alias("dialogue_id"), cut("positive_evidence", 180).alias("positive_evidence"), cut("negative_evidence", 180).alias("negative_evidence"), cut("addressed_to", 120).alias("addressed_to"), markers.alias("speech_markers"),
+    return parsed.select("request_id", _dialogue_id(parsed).alias("dialogue_id"), cut("positive_evidence", 180).alias("positive_evidence"), cut("negative_evidence", 180).alias("negative_evidence"), cut("addressed_to", 120).alias("addressed_to"), markers.alias("speech_markers"),
                          F.coalesce(get("same_speaker_allowed", "boolean"), F.lit(False)).alias("same_speaker_allowed"), X.clean_text(get("turn_relation")).alias("turn_relation"), X.truncate(get("notes"), 180).alias("notes"))
 
 
@@ -99,7 +104,7 @@ def contradictions(parsed: DataFrame) -> DataFrame:
     said = F.coalesce(get("has_contradiction", "boolean"), F.lit(False))
     named = F.lower(X.clean_text(get("severity")))
     severity = F.when(named.isin("none", "weak", "strong"), named).when(said, "strong").otherwise("weak")
-    return parsed.select("request_id", X.clean_text(get("dialogue_id")).alias("dialogue_id"), severity.alias("severity"), severity.isin("weak", "strong").alias("has_contradiction"), X.clean_text(get("reason")).alias("reason"), X.unique_strings(get("counter_evidence", EMPTY), 8).alias("counter"), (severity == "strong").alias("needs_review"))
+    return parsed.select("request_id", _dialogue_id(parsed).alias("dialogue_id"), severity.alias("severity"), severity.isin("weak", "strong").alias("has_contradiction"), X.clean_text(get("reason")).alias("reason"), X.unique_strings(get("counter_evidence", EMPTY), 8).alias("counter"), (severity == "strong").alias("needs_review"))
 
 
 def annotations(parsed: DataFrame, asked: DataFrame) -> DataFrame:

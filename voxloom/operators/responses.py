@@ -42,6 +42,23 @@ def first_list(v: Column, keys: tuple[str, ...] = LISTS) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), *[F.try_variant_get(v, f"$.{k}", "array<variant>") for k in keys], F.array(v))
 
 
+def by_dialogue(parsed: DataFrame, asked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """`request_id, dialogue_id, r VARIANT`: the last row of each asked dialogue, an empty object where the answer has none.
+
+    parsed: `request_id, v VARIANT`; asked: `request_id, dialogue_id`. The rows are the
+    answer's list, or the first of the keys that holds one; an answer without ids belongs
+    to the only dialogue of its request.
+    """
+    each = parsed.select("request_id", F.posexplode(first_list(F.col("v"), keys)).alias("pos", "r"))
+    only = asked.groupBy("request_id").agg(F.count("*").alias("_n"), F.min("dialogue_id").alias("_only"))
+    said = F.nullif(X.clean_text(F.try_variant_get("r", "$.dialogue_id", "string")), F.lit(""))
+    each = each.join(only, "request_id").withColumn("dialogue_id", F.coalesce(said, F.when(F.col("_n") == 1, F.col("_only"))))
+    # a variant has no order, so the position picks the row as text
+    last = each.where("dialogue_id is not null").groupBy("request_id", "dialogue_id").agg(F.max_by(F.to_json("r"), "pos").alias("j"))
+    met = asked.join(parsed.select("request_id").distinct(), "request_id", "left_semi").join(last, ["request_id", "dialogue_id"], "left")
+    return met.select("request_id", "dialogue_id", F.parse_json(F.coalesce("j", F.lit("{}"))).alias("r"))
+
+
 def votes(parsed: DataFrame, windows: DataFrame, weights: DataFrame) -> DataFrame:
     """Votes in normal form: one per dialogue of a request, a review vote where the answer has none.
 

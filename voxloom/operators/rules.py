@@ -58,6 +58,17 @@ def by_marker(rows: DataFrame, options: DataFrame) -> DataFrame:
     return one.select("dialogue_id", _speaker(F.col("o.entity_id"), F.col("o.display"), BY_MARKER, "marker").alias("s"))
 
 
+def marker_owners(rows: DataFrame, options: DataFrame) -> DataFrame:
+    """`dialogue_id, owners, listed`: the options that own, alone in their window, a marker of the line, in order of rank; and all options of the window."""
+    marker = options.select("window_id", "rank", "entity_id", "display", F.explode("markers").alias("marker"))
+    owned = marker.groupBy("window_id", "marker").agg(F.count_distinct("entity_id").alias("n"), F.min(F.struct("rank", "entity_id", "display")).alias("o")).where("n = 1").drop("n")
+    met = rows.where("kind = 'standalone'").join(owned, "window_id").where("contains(text, marker)")
+    met = met.where((F.length("marker") > 1) | F.rlike("text", F.concat(quoted(F.col("marker")), F.lit("(?!们)"))))
+    found = met.groupBy("dialogue_id", "window_id").agg(F.array_sort(F.collect_set("o")).alias("owners"))
+    listed = options.groupBy("window_id").agg(F.collect_set("entity_id").alias("listed"))
+    return found.join(listed, "window_id").select("dialogue_id", "owners", "listed")
+
+
 def by_attribution(rows: DataFrame, options: DataFrame) -> DataFrame:
     """The option that the nearest narration names before a verb of speech; the earliest match in it wins."""
     told = rows.where("kind = 'standalone'").select("dialogue_id", "window_id", F.posexplode("narration").alias("ctx", "said"))

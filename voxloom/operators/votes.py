@@ -83,12 +83,14 @@ def rank_speakers(votes: DataFrame) -> DataFrame:
     return found.withColumn("ranked", F.when(F.col("over").isNotNull(), F.concat(mine, rest)).otherwise(F.col("ranked")))
 
 
-def aggregate_votes(dialogues: DataFrame, votes: DataFrame, anchored: bool = False, limits: Thresholds = Thresholds()) -> DataFrame:
+def aggregate_votes(dialogues: DataFrame, votes: DataFrame, anchored: bool = False, limits: Thresholds = Thresholds(), checked: bool = False, markers: DataFrame | None = None) -> DataFrame:
     """The speaker of every dialogue, or why it needs review.
 
     dialogues: `dialogue_id, text, dialogue_kind, context ARRAY<STRING>`. With `anchored`
-    a single model's known speaker needs an anchor in text, evidence or narration, and a
-    third-person reference contradicts it. A dialogue without votes needs review.
+    a single model's known speaker needs an anchor in text, evidence or narration. With
+    `anchored` or `checked` a third-person reference contradicts a known speaker, and so
+    does a marker that another option of the window owns (markers: `dialogue_id, owners,
+    listed`, see the rules). A dialogue without votes needs review.
     """
     d = dialogues.withColumn("kind", F.coalesce("dialogue_kind", F.lit("standalone"))).join(rank_speakers(votes), "dialogue_id", "left")
     top, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
@@ -98,17 +100,26 @@ def aggregate_votes(dialogues: DataFrame, votes: DataFrame, anchored: bool = Fal
     d = d.withColumn("by_rule", F.col("over").isNotNull()).withColumn("status", top["first"]["status"]).withColumn("display", top["first"]["display"])
     d = d.withColumn("evidence", X.unique_strings(F.flatten(F.transform(F.array_sort(top["evidence"]), lambda x: F.coalesce(x["evidence"], F.array().cast("array<string>")))), 8))
     forced = F.when(F.col("by_rule"), "").when(F.col("kind") != "standalone", "non_standalone_quote").when(F.col("taking_part") > 1, "").when(F.col("status") == "mystery", "single_model_mystery_candidate")
+    if anchored or checked:
+        name = F.col("display")
+        d = d.withColumn("_said", X.clean_text(F.col("text")))
     if anchored:
-        name, said = F.col("display"), X.clean_text(F.col("text"))
         by_evidence = F.exists("evidence", lambda e: speech_near_name(e, name))
         by_context = F.exists(F.coalesce("context", F.array().cast("array<string>")), lambda e: speech_near_name(X.clean_text(e), name))
         intro = F.expr("exists(array(" + ", ".join(f"'{m}'" for m in INTRO) + "), m -> contains(left(_said, instr(_said, display) + length(display) - 1), m))")
-        d = d.withColumn("_said", said)
         anchor = (name != "") & ((F.contains(F.col("_said"), name) & intro) | by_evidence | by_context)
-        against = (F.col("kind") == "standalone") & (F.col("status") == "known") & (name != "") & F.contains(F.col("_said"), name) & refers_to(F.col("_said"), name)
         forced = forced.when((F.col("status") == "known") & ~anchor, "single_model_without_anchor")
-        forced = F.when(against, "speaker_contradiction:third_person_name_reference").otherwise(forced)
-    d = d.withColumn("forced", F.coalesce(forced.otherwise("") if not anchored else forced, F.lit("")))
+    forced = forced.otherwise("")
+    if anchored or checked:
+        known = (F.col("kind") == "standalone") & (F.col("status") == "known") & (name != "") & (F.col("_said") != "")
+        if markers is not None:
+            d = d.join(markers, "dialogue_id", "left")
+            other = F.get(F.filter("owners", lambda o: o["entity_id"] != top["key"]), F.lit(0))
+            marked = known & F.array_contains("listed", top["key"]) & other.isNotNull()
+            forced = F.when(marked, F.concat(F.lit("speaker_contradiction:speech_marker:"), other["display"])).otherwise(forced)
+        told = known & F.contains(F.col("_said"), name) & refers_to(F.col("_said"), name)
+        forced = F.when(told, "speaker_contradiction:third_person_name_reference").otherwise(forced)
+    d = d.withColumn("forced", F.coalesce(forced, F.lit("")))
     final, calm = F.col("status").isin(*FINAL), ~top["review"]
     accepted = (
         F.when(F.col("vote_count").isNull(), False)

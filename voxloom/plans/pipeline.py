@@ -41,10 +41,31 @@ def preprocess(volumes: DataFrame, context: int = 3, cap: int = 80) -> dict[str,
 def requests(dialogues: DataFrame, cards: DataFrame, models: DataFrame, paragraphs: DataFrame | None = None, memories: DataFrame | None = None, mysteries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Requests with their prompts (one per window and model), windows, lines and options.
 
-    models: `model, weight`, the few models of a run. paragraphs give the context of a
-    window. memories: `scene_id, parent_scene_id, chunk_index, chunk_count, scene_summary,
-    active_characters, relationships, notes`. mysteries: `mystery_id, volume_id, name,
-    scene_id, description, evidence, confidence`. What isn't given is left out.
+    models: `model, weight`, the few models of a run. The other tables as for `payloads`.
+    """
+    payload, windows, lines, options = payloads(dialogues, cards, paragraphs, memories, mysteries)
+    return asked_of(payload, models, "window_id", "annotation", INSTRUCTION), windows, lines, options
+
+
+def asked_of(payload: DataFrame, models: DataFrame, unit: str, task: str, instruction: str, first: bool = True) -> DataFrame:
+    """`request_id, unit, model, prompt, tokens`: one request per row of the payload and model; all columns but the unit go into the prompt.
+
+    first: the unit stands before the task in the id.
+    """
+    parts = [c for c in payload.columns if c != unit]
+    body = payload.select(unit, F.concat(F.lit(instruction + "\n"), F.to_json(F.struct(*parts), {"pretty": "true"})).alias("prompt"))
+    every = body.withColumn("model", F.explode(F.array(*[F.lit(r.model) for r in models.orderBy("model").collect()])))  # a row per model of the run
+    name = (unit, F.lit(task)) if first else (F.lit(task), unit)
+    return every.select(F.concat_ws("--", *name, X.safe_model(F.col("model"))).alias("request_id"), unit, "model", "prompt", X.estimate_tokens(F.col("prompt")).alias("tokens"))
+
+
+def payloads(dialogues: DataFrame, cards: DataFrame, paragraphs: DataFrame | None = None, memories: DataFrame | None = None, mysteries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What a prompt shows of every window, one list per column; windows, lines and options.
+
+    paragraphs give the context of a window. memories: `scene_id, parent_scene_id,
+    chunk_index, chunk_count, scene_summary, active_characters, relationships, notes`.
+    mysteries: `mystery_id, volume_id, name, scene_id, description, evidence, confidence`.
+    What isn't given is left out.
     """
     scratch = Scratch(dialogues.sparkSession)
     windows = W.dialogue_windows(dialogues)
@@ -81,10 +102,7 @@ def requests(dialogues: DataFrame, cards: DataFrame, models: DataFrame, paragrap
     payload = parts["dialogues"]
     for name in (given := [x for x in ("paragraphs", "scene_memory", "candidates", "mysteries") if x in parts]):
         payload = payload.join(parts[name], "window_id", "left")
-    payload = payload.select("window_id", F.concat(F.lit(INSTRUCTION + "\n"), F.to_json(F.struct("dialogues", *given), {"pretty": "true"})).alias("prompt"))
-    every = payload.withColumn("m", F.explode(F.array(*[F.struct(F.lit(r.model).alias("model"), F.lit(float(r.weight)).alias("weight")) for r in models.collect()])))  # a row per model of the run
-    every = every.select(F.concat_ws("--", "window_id", F.lit("annotation"), X.safe_model(F.col("m.model"))).alias("request_id"), "window_id", "m.model", "prompt", X.estimate_tokens(F.col("prompt")).alias("tokens"))
-    return every, windows, lines, options
+    return payload.select("window_id", "dialogues", *given), windows, lines, options
 
 
 def _listed(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
