@@ -370,3 +370,51 @@ def test_a_marker_of_another_contradicts(spark):
     d = rows.select("dialogue_id", "text", F.col("kind").alias("dialogue_kind"), F.col("narration").alias("context"))
     got = {r.dialogue_id: (r.needs_review, r.review_reason) for r in V.aggregate_votes(d, votes, checked=True, markers=R.marker_owners(rows, opts)).collect()}
     assert got == {"d1": (True, "speaker_contradiction:speech_marker:赫萝"), "d2": (False, "")}
+
+
+def test_second_reader(spark):
+    import json
+
+    from voxloom.plans import reading
+
+    schema = "volume_id string, chapter_id string, chapter_index int, scene_id string, paragraph_index int, paragraph_id string, text string"
+    p = spark.createDataFrame([("v", "v-c001", 1, f"v-s{i // 2:03d}", i, f"p{i}", f"「第{i}句」" * 3) for i in range(6)], schema)
+    d = spark.createDataFrame([(f"d{i}", i, f"p{i}", f"第{i}句") for i in range(6)], "dialogue_id string, dialogue_index int, paragraph_id string, text string")
+    known = lambda i, e, n: {"dialogue_id": f"d{i}", "speaker_status": "known", "speaker_entity_id": e, "speaker_display": n, "confidence": 0.9}
+    answers = {
+        "v-r000001--annotation--m": {"annotations": [{"dialogue_id": "d0", "speaker_status": "mystery", "speaker_entity_id": "v:mystery_v2_000001", "speaker_display": "黑影", "confidence": 0.8}]},
+        "v-r000001--chunk_summary--m": {"summary": "黑影出现"},
+        "v-r000001--entity_discovery--m": {"entities": [{"entity_type": "mystery", "display_name": "黑影", "importance": "major"}, {"entity_type": "character", "display_name": "赫萝", "importance": "medium"}]},
+        "v-r000001--global_summary--m": {"summary": "开端", "new_facts": ["有黑影"]},
+        "v-r000002--annotation--m": {"annotations": [known(2, "v:char_v2_000001", "赫萝"), {"dialogue_id": "d3", "speaker_status": "unknown"}]},
+        "v-r000002--entity_discovery--m": {"entities": [{"entity_type": "mystery", "display_name": "老者", "importance": "medium"}]},
+        "v-r000002--entity_update--m": {"updates": [{"entity_id": "v:char_v2_000001", "relationship_updates": ["与黑影相识"], "summary": "贤狼"}, {"entity_id": "nobody", "summary": "x"}]},
+        "v-r000003--mystery_resolution--m": {"merges": [{"source_entity_id": "v:mystery_v2_000001", "target_entity_id": "v:char_v2_000001", "confidence": 0.95}], "expire_pending": [{"entity_id": "v:mystery_v2_000002"}]},
+        "v-r000002--repair--m": {"repairs": [{"dialogue_id": "d3", "stop_reason": "resolved", **{k: x for k, x in known(3, "v:char_v2_000001", "赫萝").items() if k != "dialogue_id"}}]},
+    }
+    stored = spark.createDataFrame([(k, json.dumps(x), 0) for k, x in answers.items()], "request_id string, raw string, pos int")
+    out = reading.annotate(p, d, stored, "m")
+    got = {r.dialogue_id: (r.speaker_entity_id, r.speaker_status) for r in out["annotations"].collect()}
+    assert got == {"d0": ("v:char_v2_000001", "known"), "d1": ("unknown", "unknown"), "d2": ("v:char_v2_000001", "known"), "d3": ("v:char_v2_000001", "known"), "d4": ("unknown", "unknown"), "d5": ("unknown", "unknown")}
+    cards = {r.entity_id: r for r in out["entities"].collect()}
+    assert set(cards) == {"v:char_v2_000001", "v:mystery_v2_000002"} and cards["v:char_v2_000001"].importance == "major" and cards["v:char_v2_000001"].relationships == ["与黑影相识"]
+    events = [(r.chunk, r.entity_id, r.event, r.rank) for r in out["pending"].orderBy("chunk", "event", "rank").collect()]
+    assert events == [
+        (0, "v:mystery_v2_000001", "added", None), (0, "v:mystery_v2_000001", "pending", 0), (1, "v:mystery_v2_000002", "added", None), (1, "v:mystery_v2_000001", "pending", 0),
+        (1, "v:mystery_v2_000002", "pending", 1), (2, "v:mystery_v2_000002", "expired", None), (2, "v:mystery_v2_000001", "merged", None),
+    ]
+    prompts = {r.request_id: r.prompt for r in out["prompts"].collect()}
+    assert "黑影出现" in prompts["v-r000002--annotation--m"] and "开端" in prompts["v-r000003--annotation--m"] and "黑影出现" not in prompts["v-r000001--annotation--m"]
+    assert out["failures"].where("error_type = 'CacheMiss'").count() == 21 - len(answers) and out["facts"].count() == 1
+    assert {r.event_type for r in out["events"].collect()} >= {"entity_discovery", "entity_update", "entity_merge", "pending_mystery_added", "pending_mystery_expired"}
+    assert reading.annotate(p, d, stored, "m", 1, 1)["annotations"].count() == 2
+
+
+def test_pending_timeline_evicts_and_expires(spark):
+    from voxloom.plans import reading
+
+    signs = [("v", c, 0, "", "end", 0, None) for c in range(6)] + [("v", 0, 1, "a", "seen", 1, None), ("v", 0, 2, "b", "seen", 2, None), ("v", 0, 3, "c", "seen", 0, None), ("v", 1, 1, "d", "seen", 1, None), ("w", 3, 1, "a", "seen", 1, None), ("v", 4, 1, "b", "seen", 1, None)]
+    rows = spark.createDataFrame(signs, "volume_id string, chunk int, pos int, entity_id string, sign string, level int, reason string")
+    got = {(r.volume_id, r.chunk, r.entity_id, r.event) for r in reading.pending_timeline(rows, 2, 3).collect() if r.event != "pending"}
+    assert got == {("v", 0, "a", "added"), ("v", 0, "b", "added"), ("v", 1, "d", "added"), ("v", 1, "a", "evicted"), ("v", 3, "b", "expired"), ("v", 4, "b", "added"), ("v", 4, "d", "expired"), ("w", 3, "a", "added")}
+    assert reading.pending_timeline(rows.limit(0)).count() == 0

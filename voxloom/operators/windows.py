@@ -107,6 +107,15 @@ def reading_chunks(paragraphs: DataFrame, max_paragraphs: int = 16, max_dialogue
     return met.select("volume_id", F.concat("volume_id", F.lit("-r"), F.lpad((number + 1).cast("string"), 6, "0")).alias("chunk_id"), number.alias("chunk_index"), "paragraph_id", "paragraph_index", "pos")
 
 
+def select_chunks(chunks: DataFrame, start: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows of the first `limit` chunks of every volume from chunk `start` on; no limit takes all, one below 1 none."""
+    kept = chunks.where(F.col("chunk_index") >= start)
+    if limit is None:
+        return kept
+    order = F.dense_rank().over(Window.partitionBy("volume_id").orderBy("chunk_index"))
+    return kept.withColumn("_n", order).where(F.col("_n") <= max(0, limit)).drop("_n")
+
+
 def non_narrative(chunks: DataFrame) -> DataFrame:
     """`chunk_id, non_narrative` for `chunk_id, chapter_index, text, n_dialogues` rows: no quotes, front matter, and little text."""
     n = F.length(X.clean_text(F.col("text")))
