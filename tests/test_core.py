@@ -418,3 +418,50 @@ def test_pending_timeline_evicts_and_expires(spark):
     got = {(r.volume_id, r.chunk, r.entity_id, r.event) for r in reading.pending_timeline(rows, 2, 3).collect() if r.event != "pending"}
     assert got == {("v", 0, "a", "added"), ("v", 0, "b", "added"), ("v", 1, "d", "added"), ("v", 1, "a", "evicted"), ("v", 3, "b", "expired"), ("v", 4, "b", "added"), ("v", 4, "d", "expired"), ("w", 3, "a", "added")}
     assert reading.pending_timeline(rows.limit(0)).count() == 0
+
+
+def test_discovery(spark):
+    import json
+
+    schema = "volume_id string, scene_id string, paragraph_index int, paragraph_id string, text string"
+    p = spark.createDataFrame([("v", f"v-s{i:03d}", i, f"p{i}", f"「第{i}句」") for i in range(3)], schema)
+    d = spark.createDataFrame([(f"d{i}", f"p{i}", f"第{i}句") for i in range(3)], "dialogue_id string, paragraph_id string, text string")
+    said = {"characters": [{"display_name": "罗伦"}], "mysteries": [{"temporary_name": " 黑影 ", "evidence": [{"text": "有人影"}, "有人影", {"dialogue_id": "d0"}]}, {}], "scene_memory": {"scene_summary": "相遇", "active_characters": ["罗伦"]}}
+    stored = spark.createDataFrame([("v-s000-r001--discovery--m", json.dumps(said), 0), ("v-s001-r001--discovery--m", "no", 0)], "request_id string, raw string, pos int")
+    out = pipeline.discovery(p, d, stored, "m")
+    assert {(r.name, tuple(r.evidence), r.confidence) for r in out["mysteries"].collect()} == {("黑影", ("有人影", "d0"), 0.5), ("mystery_unknown", (), 0.5)}
+    assert [r.display_name for r in out["characters"].collect()] == ["罗伦"] and out["scene_memories"].first().scene_summary == "相遇"
+    assert {(r.request_id, r.error_type) for r in out["failures"].collect()} == {("v-s001-r001--discovery--m", "JSONDecodeError"), ("v-s002-r001--discovery--m", "CacheMiss")}
+    prompts = {r.request_id: r.prompt for r in out["requests"].collect()}
+    assert "罗伦" in prompts["v-s001-r001--discovery--m"] and "罗伦" not in prompts["v-s000-r001--discovery--m"]
+
+
+def test_upsert_takes_the_earliest_related_owner(spark):
+    schema = "entity_id string, volume_id string, seq long, display_name string, aliases array<string>, titles array<string>, speech_markers array<string>, confidence double, first_seen_scene_id string"
+    names = ["旅人罗伦斯", "商人罗伦斯", "罗伦斯", "斯", "狼神赫萝", "赫萝", "罗伦"]
+    cards = spark.createDataFrame([(f"c{i}", "v", i, n, [], [], [], 0.5, None) for i, n in enumerate(names)], schema)
+    got = {r.first_record: r.record_ids for r in E.upsert_characters(cards).collect()}
+    assert got == {"c0": ["c0", "c2"], "c1": ["c1"], "c3": ["c3"], "c4": ["c4"], "c5": ["c5"], "c6": ["c6"]}
+
+
+def test_store_state_and_structure(spark, tmp_path):
+    import datetime as dt
+    import json
+
+    from voxloom.operators import store as M
+
+    now = dt.datetime(2024, 5, 1)
+    state = M.update_state(M.init_state(spark), spark.createDataFrame([("check", now), ("warning", now), ("warning", now)], "kind string, at timestamp_ntz"))
+    assert tuple(state.first()) == (now, None, None, 2) and tuple(M.init_state(spark, state).first()) == tuple(state.first()) and M.init_state(spark, state.limit(0)).first().warnings == 0
+    notes = M.init_notes(spark, spark.createDataFrame([("semantic", "README.md", now, "x"), ("inbox", "a.md", now, "see people/b.md#who and see c.md"), ("people", "b.md", dt.datetime(2023, 1, 1), "b")], "type string, name string, mtime timestamp_ntz, content string"), now)
+    assert notes.count() == 5
+    sorted_ = M.sort_inbox(notes, spark.createDataFrame([("a.md", "projects"), ("b.md", "x")], "name string, target string"))
+    assert {(r.type, r.name) for r in sorted_.collect()} >= {("projects", "a.md"), ("people", "b.md")}
+    assert {(r.target, r.anchor, r.found) for r in M.references(notes).collect()} == {("people/b.md", "who", True), ("c.md", None, False)}
+    moved = {r.name: (r.type, r.reason) for r in M.archive(notes, dt.datetime(2024, 1, 1), now).collect() if r.reason}
+    assert moved == {"b.md": ("archive/people", "old")} and M.health(notes).first().bytes == len("x# episodic# procedural")
+    files_ = spark.createDataFrame([(".", "INDEX.md"), ("people", "INDEX.md"), ("people", "b.md"), ("x", "a.md")], "category string, name string")
+    assert {(r.category, r.files, r.has_index) for r in M.structure(files_).collect()} == {(".", 1, False), ("people", 2, True), ("x", 1, False)}
+    assert M.structure(files_.limit(0)).count() == 1 and {r.category: r.too_long for r in M.index_sizes(spark.createDataFrame([(".",)] * 21 + [("x",)] * 21, "category string")).collect()} == {".": True, "x": False}
+    files.write_json(spark, f"{tmp_path}/a/b.json", {"名": ["一"]})
+    assert json.loads((tmp_path / "a" / "b.json").read_text(encoding="utf-8")) == {"名": ["一"]} and "名" in (tmp_path / "a" / "b.json").read_text(encoding="utf-8")

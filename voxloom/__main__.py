@@ -1,4 +1,4 @@
-"""Commands: preprocess, prompts, annotate, discover; every table is read and written as Parquet."""
+"""Commands: preprocess, prompts, discover, annotate, annotate-v2, rebuild-memory, run-volume; every table is read and written as Parquet."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.plans import pipeline, structured
+from voxloom.plans import pipeline, reading, structured
 from voxloom.session import DEFAULTS
 from voxloom.sources import files
 
@@ -45,21 +45,46 @@ def main(argv: list[str] | None = None) -> int:
         if verb == "annotate":
             a.add_argument("--responses", required=True)
             a.add_argument("--structured", action="store_true")
-    a = sub.add_parser("discover", help="stored answers to the character store")
+    for verb, text in (("discover", "stored answers of scenes to characters, mysteries and memories"), ("annotate-v2", "stored answers of the second reader")):
+        a = sub.add_parser(verb, help=text)
+        a.add_argument("--tables", required=True)
+        a.add_argument("--responses", required=True)
+        a.add_argument("--output", required=True)
+        a.add_argument("--model", required=True)
+        if verb == "annotate-v2":
+            a.add_argument("--start-chunk", type=int, default=0)
+            a.add_argument("--chunk-limit", type=int)
+    a = sub.add_parser("rebuild-memory", help="the character store again from stored answers")
     a.add_argument("--responses", required=True)
     a.add_argument("--output", required=True)
+    a = sub.add_parser("run-volume", help="preprocess and discover in one run")
+    a.add_argument("--input", required=True)
+    a.add_argument("--responses", required=True)
+    a.add_argument("--output", required=True)
+    a.add_argument("--model", required=True)
+    a.add_argument("--context", type=int, default=3)
+    a.add_argument("--scene-cap", type=int, default=80)
     args = p.parse_args(argv)
     b = SparkSession.builder.appName("voxloom")
     for k, v in DEFAULTS.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    if args.verb == "preprocess":
+    if args.verb in ("preprocess", "run-volume"):
         v = files.read_volumes(spark, args.input)
         number = F.regexp_extract("path", "([0-9]+)[^/0-9]*$", 1)
         padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)  # lpad also cuts
         out = pipeline.preprocess(v.select(F.concat(F.lit("volume_"), padded).alias("volume_id"), "text"), args.context, args.scene_cap)
-    elif args.verb == "discover":
+        if args.verb == "run-volume":
+            out |= pipeline.discovery(out["paragraphs"], out["dialogues"], spark.read.parquet(args.responses), args.model)
+    elif args.verb == "rebuild-memory":
         out = {"characters": pipeline.discover(spark.read.parquet(args.responses))}
+    elif args.verb in ("discover", "annotate-v2"):
+        paragraphs, dialogues = (spark.read.parquet(f"{args.tables}/{n}") for n in ("paragraphs", "dialogues"))
+        responses = spark.read.parquet(args.responses)
+        if args.verb == "discover":
+            out = pipeline.discovery(paragraphs, dialogues, responses, args.model)
+        else:
+            out = reading.annotate(paragraphs, dialogues, responses, args.model, args.start_chunk, args.chunk_limit)
     else:
         tables = {n: spark.read.parquet(f"{args.tables}/{n}") for n in ("dialogues", "paragraphs")}
         cards, models = spark.read.parquet(args.cards), spark.createDataFrame(weights(args.model), "model string, weight double")

@@ -153,6 +153,17 @@ def character_counts(c: Column) -> dict[str, Column]:
     return {"han": han, "ascii": ascii_, "space": space, "signs": signs, "other": F.length(c) - han - ascii_ - signs}
 
 
+def mystery_id(scene: Column, name: Column) -> Column:
+    return F.left(F.concat(F.lit("mystery_"), slug(scene), F.lit("_"), slug(name)), F.lit(160))
+
+
+def evidence_id(v: Column) -> Column:
+    """What a piece of evidence (VARIANT) points at: an object's text, paragraph or dialogue, else the value itself."""
+    first = F.coalesce(*[F.nullif(clean_text(F.try_variant_get(v, f"$.{k}", "string")), F.lit("")) for k in ("text", "paragraph_id", "dialogue_id")])
+    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    return F.coalesce(F.when(is_object, first).otherwise(clean_text(F.try_variant_get(v, "$", "string"))), F.lit(""))
+
+
 def estimate_tokens(c: Column) -> Column:
     """Tokens by character class: 1.6 an ideograph, 0.4 an ASCII letter or digit, 0.2 a space, 0.6 any other; rounded up."""
     n = character_counts(c)

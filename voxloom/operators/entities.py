@@ -44,12 +44,16 @@ def upsert_characters(cards: DataFrame) -> DataFrame:
     met = groups(keys.select("a", node(F.col("k")).alias("b")).unionByName(related)).where("node like 'c|%'").select(F.substring("node", 3, 1 << 30).alias("entity_id"), "group")
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
-        store, owner = [], {}
+        # ends: every end, of three characters or more, of a key that may be related, with its earliest owner
+        store, owner, ends = [], {}, {}
         for r in g.sort_values(["seq", "entity_id"], na_position="first").itertuples():
             mine = [r.name, *r.al]
             hit = min((owner[k] for k in mine if k in owner), default=None)
             if hit is None:
-                hit = min((i for k in mine for o, i in owner.items() if _related(k, o)), default=None)
+                usable = [k for k in mine if _may_relate(k)]
+                longer = [ends[k] for k in usable if k in ends]
+                shorter = [owner[k[-n:]] for k in usable for n in range(3, len(k)) if k[-n:] in owner and _may_relate(k[-n:])]
+                hit = min([*longer, *shorter], default=None)
             if hit is None:
                 hit = len(store)
                 store.append([r.volume_id, r.entity_id, [], r.name, [], [], [], r.conf, r.scene, r.scene])
@@ -61,14 +65,15 @@ def upsert_characters(cards: DataFrame) -> DataFrame:
             s[7], s[9] = max(s[7], r.conf), r.scene
             for k in (r.name, *s[4]):
                 owner[k] = hit
+                for n in range(3, len(k) + 1) if _may_relate(k) else ():
+                    ends[k[-n:]] = min(hit, ends.get(k[-n:], hit))
         return pd.DataFrame(store, columns=[x.strip().split()[0] for x in STORED.split(", ")])
 
     return c.join(met, "entity_id").groupBy("group").applyInPandas(fold, STORED)
 
 
-def _related(a: str, b: str) -> bool:
-    plain = len(a) > 1 and len(b) > 1 and a not in X.GENERIC_NAMES and b not in X.GENERIC_NAMES
-    return plain and (a == b or len(a) > 2 and len(b) > 2 and (a.endswith(b) or b.endswith(a)))
+def _may_relate(k: str) -> bool:
+    return len(k) > 2 and k not in X.GENERIC_NAMES
 
 
 def merges(edges: DataFrame, floor: float = MERGE_FLOOR) -> DataFrame:

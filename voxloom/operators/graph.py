@@ -20,6 +20,8 @@ def groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = label.select(F.col("node").alias("low"), F.col("group").alias("far"))
         now = scratch.save(step.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("now"), "group"), f"step-{i}")
         moved = not now.where("now <> group").isEmpty()
+        if i > 1:
+            scratch.drop(f"step-{i - 1}")
         label = now.select("node", F.col("now").alias("group"))
         if not moved:
             return label

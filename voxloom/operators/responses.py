@@ -85,3 +85,14 @@ def votes(parsed: DataFrame, windows: DataFrame, weights: DataFrame) -> DataFram
         "dialogue_id", "model", F.coalesce("weight", F.lit(1.0)).alias("weight"), entity.alias("speaker_entity_id"), display.alias("speaker_display"), status.alias("speaker_status"),
         F.coalesce("x.confidence", F.lit(0.0)).alias("confidence"), (F.coalesce("x.review", F.lit(False)) | status.isin("ambiguous", "review")).alias("needs_review"), F.coalesce("x.evidence", F.array().cast("array<string>")).alias("evidence"),
     )
+
+
+def discovered_mysteries(rows: DataFrame) -> DataFrame:
+    """`mystery_id, name, description, evidence, source_scene_id, confidence` of `scene_id, r VARIANT`; appended as they come, none is merged."""
+    get = lambda k, t="string": F.try_variant_get("r", f"$.{k}", t)
+    name = F.coalesce(F.nullif(X.clean_name(get("temporary_name")), F.lit("")), F.lit("mystery_unknown"))
+    proof = F.coalesce(get("evidence", "array<variant>"), F.when(get("evidence").isNotNull(), F.array(F.try_variant_get("r", "$.evidence", "variant"))), F.array().cast("array<variant>"))
+    return rows.select(
+        X.mystery_id(F.col("scene_id"), name).alias("mystery_id"), name.alias("name"), X.clean_text(get("description")).alias("description"),
+        X.unique_strings(F.transform(proof, X.evidence_id)).alias("evidence"), F.col("scene_id").alias("source_scene_id"), X.safe_double(get("confidence", "double"), 0.5).alias("confidence"),
+    )

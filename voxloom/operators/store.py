@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TYPES = ("episodic", "semantic", "procedural")
@@ -121,3 +121,82 @@ def similar(vectors: DataFrame, queries: DataFrame, floor: float = 0.3, most: in
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+STATE = ("last_check", "last_snapshot", "last_organize")
+FOLDERS = (*TYPES, "snapshots", "legacy")
+ROOT_LINES, CATEGORY_LINES = 20, 100
+
+
+def init_state(spark: SparkSession, state: DataFrame | None = None) -> DataFrame:
+    """The one-row state of a store, `last_check, last_snapshot, last_organize, warnings`; an existing one stays as it is."""
+    fresh = spark.createDataFrame([(None, None, None, 0)], "last_check timestamp_ntz, last_snapshot timestamp_ntz, last_organize timestamp_ntz, warnings long")
+    if state is None:
+        return fresh
+    return state.unionByName(fresh.join(state.limit(1).select(F.lit(1).alias("_")), F.lit(True), "left").where("_ is null").drop("_"))
+
+
+def init_notes(spark: SparkSession, notes: DataFrame, now) -> DataFrame:
+    """Notes with a README for each type that has none; it counts as a note from then on."""
+    heads = spark.createDataFrame([(t, "README.md", now, f"# {t}") for t in TYPES], "type string, name string, mtime timestamp_ntz, content string")
+    return notes.select("type", "name", "mtime", "content").unionByName(heads.join(notes.select("type", "name"), ["type", "name"], "left_anti").select("type", "name", "mtime", "content"))
+
+
+def update_state(state: DataFrame, events: DataFrame) -> DataFrame:
+    """The state after `kind, at` events: the latest check, snapshot and organisation, and one warning more for each `warning`."""
+    latest = [F.max(F.when(F.col("kind") == c.removeprefix("last_"), F.col("at"))).alias(f"_{c}") for c in STATE]
+    seen = events.agg(*latest, F.count_if(F.col("kind") == "warning").alias("_w"))
+    met = state.join(seen, F.lit(True), "left")  # one row each
+    return met.select(*[F.greatest(c, f"_{c}").alias(c) for c in STATE], (F.col("warnings") + F.coalesce("_w", F.lit(0))).alias("warnings"))
+
+
+def health(notes: DataFrame, budget: int = BUDGET_CHARS) -> DataFrame:
+    """One row: `bytes, percent, status` of the three types alone; flat and legacy files don't count here."""
+    kept = notes.where(F.col("type").isin(*TYPES))
+    return usage(kept, budget).select("bytes", "percent", "status")
+
+
+def archive(notes: DataFrame, before, now, reason: str = "old") -> DataFrame:
+    """Notes with those last changed before a date moved: `type, name, mtime, content, archived, reason`; the type becomes `archive/type`."""
+    old = (F.col("mtime") < F.lit(before)) & ~F.col("type").startswith("archive/")
+    moved = notes.withColumn("_old", F.coalesce(old, F.lit(False)))
+    return moved.select(
+        F.when(F.col("_old"), F.concat(F.lit("archive/"), "type")).otherwise(F.col("type")).alias("type"), "name", "mtime", "content",
+        F.when(F.col("_old"), F.lit(now)).alias("archived"), F.when(F.col("_old"), F.lit(reason)).alias("reason"),
+    )
+
+
+def sort_inbox(notes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Notes of type `inbox` with a target (`name, target`) move there; the rest of the inbox stays."""
+    met = notes.join(targets.groupBy("name").agg(F.min("target").alias("_t")), "name", "left")
+    return met.withColumn("type", F.when((F.col("type") == "inbox") & F.col("_t").isNotNull(), F.col("_t")).otherwise(F.col("type"))).drop("_t").select(*notes.columns)
+
+
+def references(notes: DataFrame) -> DataFrame:
+    """`type, name, target, anchor, found`: cross-references (see folder/file.md#anchor) of every note, and whether the file is there."""
+    link = F.explode(F.regexp_extract_all("content", F.lit(r"see ([\w/.-]+\.md(?:#[\w-]+)?)"), F.lit(1)))
+    links = notes.select("type", "name", link.alias("_l")).select("type", "name", F.substring_index("_l", "#", 1).alias("target"), F.when(F.contains("_l", F.lit("#")), F.substring_index("_l", "#", -1)).alias("anchor"))
+    files = notes.select(F.concat_ws("/", "type", "name").alias("target")).distinct().withColumn("found", F.lit(True))
+    return links.join(files, "target", "left").select("type", "name", "target", "anchor", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def rebuild_index(files: DataFrame) -> DataFrame:
+    """`category, name, line`: an index line for every file, by name; the index files have none."""
+    kept = files.where(F.col("name") != "INDEX.md")
+    bare = F.regexp_replace("name", r"\.md$", "")
+    return kept.select("category", "name", F.concat(F.lit("| "), bare, F.lit(" | ? | "), F.date_format("mtime", "yyyy-MM-dd"), F.lit(" | "), bare, F.lit(".md |")).alias("line"))
+
+
+def index_sizes(lines: DataFrame) -> DataFrame:
+    """`category, lines, too_long` of `category`, a row per index line; the root (`.`) may have ROOT_LINES, a category CATEGORY_LINES."""
+    n = lines.groupBy("category").agg(F.count("*").alias("lines"))
+    return n.withColumn("too_long", F.col("lines") > F.when(F.col("category") == ".", ROOT_LINES).otherwise(CATEGORY_LINES))
+
+
+def structure(files: DataFrame) -> DataFrame:
+    """`category, files, has_index` of `category, name`; the root (`.`) is there even without files, and needs a config.md too."""
+    root = files.sparkSession.createDataFrame([(".",)], "category string")
+    n = files.groupBy("category").agg(F.count("*").alias("files"), F.bool_or(F.col("name") == "INDEX.md").alias("i"), F.bool_or(F.col("name") == "config.md").alias("c"))
+    met = files.select("category").unionByName(root).distinct().join(n, "category", "left")
+    whole = F.coalesce("i", F.lit(False)) & (F.coalesce("c", F.lit(False)) | (F.col("category") != "."))
+    return met.select("category", F.coalesce("files", F.lit(0)).alias("files"), whole.alias("has_index"))

@@ -135,6 +135,49 @@ def annotate(dialogues: DataFrame, paragraphs: DataFrame, cards: DataFrame, mode
     return {"requests": asked, "votes": votes, "annotations": found, "review_queue": found.where("needs_review"), "labeled": O.labeled_text(paragraphs, labels), "failures": missing.unionByName(unread), "summary": O.run_summary(found)}
 
 
+DISCOVERY = "列出这一场景里新出现的人物（characters）、身份成谜者（mysteries）和场景概要（scene_memory），回答 JSON。"
+KNOWN_NAMES = 30
+
+
+def discovery(paragraphs: DataFrame, dialogues: DataFrame, responses: DataFrame, model: str) -> dict[str, DataFrame]:
+    """Discovery over stored answers: requests with the names known before, the character store, mysteries, scene memories and failures.
+
+    Scenes are packed into jobs in order; responses: `request_id, raw, pos` with ids
+    `job--discovery--model`. A missing or unreadable answer is a failure, the rest goes on.
+    """
+    spark = paragraphs.sparkSession
+    scratch = Scratch(spark)
+    spoken = dialogues.groupBy("paragraph_id").agg(F.count("*").cast("int").alias("n_dialogues"))
+    jobs = W.pack_requests(paragraphs.join(spoken, "paragraph_id", "left").fillna(0, ["n_dialogues"]))
+    jobs = scratch.save(jobs.join(paragraphs.select("paragraph_id", "volume_id", "paragraph_index", "text"), "paragraph_id"), "jobs")
+    one = jobs.groupBy(F.col("request_id").alias("job"), "scene_id", "volume_id").agg(
+        F.min("paragraph_index").alias("seq"), F.array_sort(F.collect_list(F.struct("pos", "paragraph_id", "text"))).alias("paragraphs")
+    )
+    lines = jobs.select(F.col("request_id").alias("job"), "paragraph_id").join(dialogues.select("dialogue_id", "paragraph_id", F.col("text").alias("line")), "paragraph_id")
+    lines = lines.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("dialogue_id", "paragraph_id", F.col("line").alias("text")))).alias("dialogues"))
+    one = scratch.save(one.join(lines, "job", "left").withColumn("request_id", F.concat_ws("--", "job", F.lit("discovery"), X.safe_model(F.lit(model)))), "one")
+    hit, missing = J.replay(one.select("request_id", "job", "scene_id", "volume_id", "seq"), responses)
+    parsed = scratch.save(hit.withColumn("v", J.parse_json(F.col("raw"))), "parsed")
+    unread = parsed.where("v is null").select("request_id", F.lit("JSONDecodeError").alias("error_type"), F.lit("the answer holds no JSON").alias("error"))
+    read = parsed.where("v is not null")
+
+    listed = lambda k: F.coalesce(F.try_variant_get("v", f"$.{k}", "array<variant>"), F.array().cast("array<variant>"))
+    names = X.unique_strings(F.transform(listed("characters"), lambda c: F.coalesce(F.try_variant_get(c, "$.display_name", "string"), F.try_variant_get(c, "$.name", "string"))))
+    before = Window.partitionBy("volume_id").orderBy("seq", "job").rowsBetween(-KNOWN_NAMES, -1)
+    found = one.select("request_id", "job", "volume_id", "seq").join(read.select("request_id", names.alias("n")), "request_id", "left")
+    known = found.select("request_id", F.array_distinct(F.flatten(F.collect_list("n").over(before))).alias("known_characters"))
+    payload = one.select("request_id", "job", "scene_id", "paragraphs", "dialogues").join(known, "request_id").drop("request_id")
+    asked = asked_of(payload, spark.createDataFrame([(model,)], "model string"), "job", "discovery", DISCOVERY)
+    mysteries = J.discovered_mysteries(read.select("scene_id", F.explode(listed("mysteries")).alias("r")))
+    memories = read.select(
+        F.col("job").alias("scene_id"), F.col("scene_id").alias("parent_scene_id"), X.truncate(F.try_variant_get("v", "$.scene_memory.scene_summary", "string"), 900).alias("scene_summary"),
+        X.unique_strings(F.try_variant_get("v", "$.scene_memory.active_characters", "array<string>")).alias("active_characters"),
+        X.unique_strings(F.try_variant_get("v", "$.scene_memory.relationships", "array<string>")).alias("relationships"), X.clean_text(F.try_variant_get("v", "$.scene_memory.notes", "string")).alias("notes"),
+    )
+    store = discover(hit.select(F.col("job").alias("request_id"), "volume_id", "seq", "raw"))
+    return {"requests": asked, "characters": store, "mysteries": mysteries, "scene_memories": memories, "failures": missing.unionByName(unread)}
+
+
 def discover(answers: DataFrame) -> DataFrame:
     """The character store after the answers of all requests: `request_id, volume_id, seq, raw`."""
     parsed = answers.select("request_id", "volume_id", "seq", J.parse_json(F.col("raw")).alias("v")).where("v is not null")

@@ -52,6 +52,39 @@ def x_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return M.reconcile(once(table(spark, d, "entity_cards"), ["entity_id"], CARD[:1]).select(F.col("entity_id").alias("name")), index)
 
 
+def m_health(spark: SparkSession, d: str) -> DataFrame:
+    return M.health(_notes(spark, d).withColumn("type", F.when(F.col("name").startswith("README"), "legacy").otherwise(F.col("type"))))
+
+
+def m_state(spark: SparkSession, d: str) -> DataFrame:
+    """Notes as events of the store: a scene is a check, a memory a snapshot, a note an organisation, all else a warning."""
+    kind = F.when(F.col("doc_kind") == "scene", "check").when(F.col("doc_kind") == "memory", "snapshot").when(F.col("doc_kind") == "note", "organize").otherwise("warning")
+    return M.update_state(M.init_state(spark), table(spark, d, "documents").select(kind.alias("kind"), F.col("added_at").alias("at")))
+
+
+def x_archive(spark: SparkSession, d: str) -> DataFrame:
+    moved = M.archive(_notes(spark, d), NOW - datetime.timedelta(days=30), NOW)
+    return moved.select("type", "name", "archived", "reason")
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of categories; one whose title holds 1 is the index of its category."""
+    n = table(spark, d, "documents").select(F.coalesce("doc_kind", F.lit(".")).alias("category"), F.col("doc_id"), "title", F.col("added_at").alias("mtime"))
+    return n.select("category", F.when(F.col("title").contains("1"), "INDEX.md").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("name"), "mtime")
+
+
+def x_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    return M.rebuild_index(_files(spark, d))
+
+
+def x_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return M.index_sizes(M.rebuild_index(_files(spark, d)))
+
+
+def x_structure(spark: SparkSession, d: str) -> DataFrame:
+    return M.structure(_files(spark, d))
+
+
 def x_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     return M.similar(v, v.where("vec_id % 20 = 0"))
@@ -70,7 +103,16 @@ def t_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NOTES = """nt AS (SELECT CASE doc_kind WHEN 'memory' THEN 'episodic' WHEN 'note' THEN 'semantic' ELSE 'procedural' END AS type, coalesce(title, 'untitled') || '#' || doc_id AS name, added_at AS mtime, text AS content FROM documents)"""
+_FILES = """fs AS (SELECT coalesce(doc_kind, '.') AS category, CASE WHEN contains(title, '1') THEN 'INDEX.md' ELSE doc_id || '.md' END AS name, added_at AS mtime FROM documents)"""
 SQL = {
+    "m_health": f"""WITH {_NOTES}, u AS (SELECT CAST(coalesce(sum(strlen(content)), 0) AS BIGINT) AS bytes FROM nt WHERE NOT starts_with(name, 'README'))
+        SELECT bytes, bytes * 100 // 800000 AS percent, CASE WHEN bytes * 100 // 800000 >= 85 THEN 'critical' WHEN bytes * 100 // 800000 >= 70 THEN 'warning' ELSE 'safe' END AS status FROM u""",
+    "m_state": """SELECT max(added_at) FILTER (doc_kind = 'scene') AS last_check, max(added_at) FILTER (doc_kind = 'memory') AS last_snapshot, max(added_at) FILTER (doc_kind = 'note') AS last_organize, count(*) FILTER (coalesce(doc_kind NOT IN ('scene', 'memory', 'note'), true)) AS warnings FROM documents""",
+    "x_archive": f"""WITH {_NOTES}, o AS (SELECT *, coalesce(mtime < TIMESTAMP '{NOW:%Y-%m-%d %H:%M:%S}' - INTERVAL 30 DAY, false) AS old FROM nt)
+        SELECT CASE WHEN old THEN 'archive/' || type ELSE type END AS type, name, CASE WHEN old THEN TIMESTAMP '{NOW:%Y-%m-%d %H:%M:%S}' END AS archived, CASE WHEN old THEN 'old' END AS reason FROM o""",
+    "x_rebuild": f"""WITH {_FILES} SELECT category, name, '| ' || regexp_replace(name, '\\.md$', '') || ' | ? | ' || strftime(mtime, '%Y-%m-%d') || ' | ' || regexp_replace(name, '\\.md$', '') || '.md |' AS line FROM fs WHERE name <> 'INDEX.md'""",
+    "x_sizes": f"""WITH {_FILES} SELECT category, count(*) AS lines, count(*) > CASE WHEN category = '.' THEN 20 ELSE 100 END AS too_long FROM fs WHERE name <> 'INDEX.md' GROUP BY category""",
+    "x_structure": f"""WITH {_FILES}, c AS (SELECT DISTINCT category FROM fs UNION SELECT '.') SELECT c.category, count(fs.name) AS files, coalesce(bool_or(name = 'INDEX.md'), false) AND (coalesce(bool_or(name = 'config.md'), false) OR c.category <> '.') AS has_index FROM c LEFT JOIN fs USING (category) GROUP BY c.category""",
     "m_usage": f"""WITH {_NOTES}, u AS (SELECT CAST(sum(coalesce(strlen(content), 0)) AS BIGINT) AS b, CAST(sum(CASE WHEN type = 'episodic' THEN coalesce(strlen(content), 0) ELSE 0 END) AS BIGINT) AS e, CAST(sum(CASE WHEN type = 'semantic' THEN coalesce(strlen(content), 0) ELSE 0 END) AS BIGINT) AS s,
           CAST(sum(CASE WHEN type = 'procedural' THEN coalesce(strlen(content), 0) ELSE 0 END) AS BIGINT) AS p FROM nt)
         SELECT b AS bytes, b * 100 // 800000 AS percent, e * 100 // greatest(b, 1) AS episodic, s * 100 // greatest(b, 1) AS semantic, p * 100 // greatest(b, 1) AS procedural,
@@ -91,7 +133,8 @@ SQL = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM s WHERE score >= 0.3 QUALIFY rank <= 20""",
     "t_windows": """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""",
     "t_sessions": """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS nw FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
-        b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, s""",
+        b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, s
+        HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events WHERE user_id IS NOT NULL) - INTERVAL 1 HOUR""",
     "t_entities": f"""SELECT volume_id, entity_type, count(*) AS entities, CAST(sum(coalesce(dialogue_count, 0)) AS BIGINT) AS dialogues, max(coalesce(try_cast(nullif(regexp_extract(latest_seen_chunk_id, '-r([0-9]+)$', 1), '') AS INTEGER), 0)) AS latest_chunk
         FROM {ONCE("entity_cards", "entity_id, " + ", ".join(CARD))} GROUP BY ALL""",
 }

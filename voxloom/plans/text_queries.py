@@ -57,7 +57,7 @@ def n_ids(spark: SparkSession, d: str) -> DataFrame:
         X.merge_importance(F.col("importance"), F.lit("medium")).alias("importance"),
         X.parent_scene(F.col("latest_seen_chunk_id")).alias("parent"),
         F.concat_ws("--", "latest_seen_chunk_id", F.lit("annotation"), X.safe_model(F.lit("qwen3:32b"))).alias("request_id"),
-        F.left(F.concat(F.lit("mystery_"), X.slug(F.col("latest_seen_chunk_id")), F.lit("_"), X.slug(F.col("entity_type"))), F.lit(160)).alias("mystery_id"),
+        X.mystery_id(F.col("latest_seen_chunk_id"), F.col("entity_type")).alias("mystery_id"),
     )
 
 
@@ -67,7 +67,8 @@ def n_related(spark: SparkSession, d: str) -> DataFrame:
     every = F.explode(F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>"))))
     names = t.select("volume_id", every.alias("n")).select("volume_id", X.clean_name(F.col("n")).alias("name")).where(X.is_safe_key(F.col("name")) & (F.length("name") >= 3)).distinct()
     ends = names.select("volume_id", F.col("name").alias("longer"), F.explode(F.expr("transform(sequence(3, length(name) - 1), n -> right(name, n))")).alias("shorter")).where("length(longer) > 3")
-    return ends.join(names.withColumnRenamed("name", "shorter"), ["volume_id", "shorter"]).select("volume_id", "longer", "shorter")
+    met = ends.join(names.withColumnRenamed("name", "shorter"), ["volume_id", "shorter"]).select("volume_id", "longer", "shorter")
+    return met.where(X.is_related(F.col("longer"), F.col("shorter")))
 
 
 _STATUS = f"CASE WHEN {clean('speaker_status')} IN {in_list(X.STATUSES)} THEN {clean('speaker_status')} ELSE 'review' END"

@@ -52,6 +52,17 @@ def write_jsonl(df: DataFrame, path: str, order: list[str], single: bool = False
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_json(spark: SparkSession, path: str, document: dict) -> None:
+    """One small document as a single file, two blanks of indent, written as it is spelt; folders are made and an old file is replaced."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray((json.dumps(document, ensure_ascii=False, indent=2) + "\n").encode()))
+    finally:
+        out.close()
+
+
 def read_volumes(spark: SparkSession, path: str) -> DataFrame:
     """`path, text` of whole UTF-8 files, without a byte order mark."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("text"))
@@ -77,6 +88,14 @@ def log_path(path: Column, base: str = "") -> Column:
 ANSWER = "request_id string, model string, raw string, error string"
 
 
+def probe(host: str, model: str, prompt: str, timeout: int = 60) -> str:
+    """One answer in one piece, to see that the endpoint is there; errors are raised."""
+    body = {"model": model, "prompt": prompt, "stream": False}
+    request = urllib.request.Request(f"{host.rstrip('/')}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return json.loads(answer.read())["response"]
+
+
 def generate(requests: DataFrame, host: str, timeout: int = 1800, temperature: float = 0.0, num_predict: int = 2048) -> DataFrame:
     """Answers of a model endpoint to `request_id, model, prompt`, one connection per request.
 
