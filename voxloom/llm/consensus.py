@@ -130,7 +130,10 @@ def reliability(votes: DataFrame, scratch: Scratch) -> tuple[float, DataFrame, D
     levels = met.join(others, ["a", "b"]).groupBy(F.col("a").alias("model"), "level").agg(
         ((F.sum(x * F.col("rb")) + PRIOR * F.first("ra")) / (F.sum(F.col("n") * F.col("rb") * F.col("rb")) + PRIOR)).alias("r")
     )
-    return chance, v, scratch.save(levels, "levels"), scratch.save(copied, "copied")
+    levels, copied = scratch.save(levels, "levels"), scratch.save(copied, "copied")
+    for name in ("met", "pairs", "first-rest", "second-rest"):
+        scratch.drop(name)
+    return chance, v, levels, copied
 
 
 def _scores(votes: DataFrame, weights: DataFrame, copied: DataFrame) -> DataFrame:

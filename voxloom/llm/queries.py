@@ -137,7 +137,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_parts(_spans(spark, d), table(spark, d, "documents").select("doc_id", "text"))
+    parts = spans.shared_parts(_spans(spark, d), table(spark, d, "documents").select("doc_id", "text"))
+    text = F.array_join(F.transform("passages", lambda p: F.concat_ws("+", p["start"].cast("string"), p["length"].cast("string"))), "|")
+    return parts.withColumn("passages", text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -157,4 +159,10 @@ def oracle_sql() -> dict[str, str]:
         "p9_found": """WITH w AS (SELECT DISTINCT doc_id, substring(text, i, 64) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 62)) AS i FROM documents WHERE length(text) >= 64)),
             k AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1), h AS (SELECT doc_id, s FROM w SEMI JOIN k USING (s))
             SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id""",
+        # passages: the shared windows of a document, overlapping and adjoining ones merged
+        "p9_shared": """WITH w AS (SELECT doc_id, i - 1 AS p, substring(text, i, 64) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 62)) AS i FROM documents WHERE length(text) >= 64)),
+            k AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1), h AS (SELECT DISTINCT doc_id, p FROM w SEMI JOIN k USING (s)),
+            n AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 64 THEN 0 ELSE 1 END AS nw FROM h), g AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY p) AS part FROM n),
+            q AS (SELECT doc_id, min(p) AS start, max(p) + 64 - min(p) AS len FROM g GROUP BY doc_id, part), r AS (SELECT doc_id, sum(len) AS shared, string_agg(start || '+' || len, '|' ORDER BY start) AS passages FROM q GROUP BY doc_id)
+            SELECT doc_id, length(text) AS n_chars, CASE WHEN text IS NOT NULL THEN CAST(coalesce(shared, 0) AS BIGINT) END AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(shared, 0) / length(text) END AS shared_share, coalesce(passages, '') AS passages FROM documents LEFT JOIN r USING (doc_id)""",
     }
