@@ -74,14 +74,15 @@ def c_options(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c_mysteries(spark: SparkSession, d: str) -> DataFrame:
-    e = once(table(spark, d, "entity_cards"), ["entity_id"], ["volume_id", "entity_type", "display_name", "importance"])
-    m = e.where("entity_type = 'mystery'").select(F.col("entity_id").alias("mystery_id"), "volume_id", F.col("display_name").alias("name"), F.lit(None).cast("string").alias("scene_id"), F.array("display_name").alias("evidence"), F.lit(0.5).alias("confidence"))
+    """Names that the lines of a volume call, taken as its mysteries: the lines that call one are its evidence, the first one's scene is its own."""
     w = _windows(spark, d)
-    rows = R.lines(w).join(w.select("dialogue_id", "scene_id"), "dialogue_id").select("window_id", "volume_id", "scene_id", F.col("context").alias("text"), F.array("dialogue_id").alias("ids"))
-    # a mystery's evidence is the lines that name it
-    said = C.mentions(rows.select(F.col("ids")[0].alias("key"), "volume_id", "text"), m.select("volume_id", "name", "mystery_id")).groupBy("mystery_id").agg(F.array_sort(F.collect_set("key")).alias("e"))
-    m = m.join(said, "mystery_id", "left").select("mystery_id", "volume_id", "name", "scene_id", F.coalesce("e", "evidence").alias("evidence"), "confidence")
-    return C.score_mysteries(rows, m)
+    rows = Scratch(spark).save(R.lines(w).join(w.select("dialogue_id", "scene_id"), "dialogue_id"), "rows")
+    parts = rows.select("volume_id", "dialogue_id", "scene_id", F.split("text", "，").alias("p")).where("size(p) > 2")
+    each = parts.select("volume_id", "dialogue_id", "scene_id", F.explode(F.expr("slice(p, 2, size(p) - 2)")).alias("name")).where(_BARE.format("name"))
+    m = each.groupBy("volume_id", "name").agg(F.min(F.struct("dialogue_id", "scene_id"))["scene_id"].alias("scene_id"), F.collect_set("dialogue_id").alias("evidence"))
+    m = m.select(F.concat_ws(":", F.lit("m"), "volume_id", "name").alias("mystery_id"), "volume_id", "name", "scene_id", "evidence", F.lit(0.5).alias("confidence"))
+    m = Scratch(spark).save(m, "mysteries")
+    return C.score_mysteries(rows.select("window_id", "volume_id", "scene_id", F.col("context").alias("text"), F.array("dialogue_id").alias("ids")), m)
 
 
 def r_self_intro(spark: SparkSession, d: str) -> DataFrame:
@@ -198,6 +199,13 @@ SQL = {
     "c_mentions": f"WITH {WINDOWS}, {_LINES}, {_NAMES} SELECT dialogue_id, entity_id, what, name FROM ln JOIN nu USING (volume_id) WHERE contains(said, name)",
     "c_candidates": f"WITH {WINDOWS}, {_LINES}, {_NAMES}, {_SCORED} SELECT window_id, rank, entity_id, score FROM rk",
     "c_options": f"WITH {_NAMES}, {_OPTIONS} SELECT entity_id, display, array_to_string(names, '|') AS names, array_to_string(markers, '|') AS markers FROM os",
+    "c_mysteries": f"""WITH {WINDOWS}, {_LINES}, md AS (SELECT volume_id, dialogue_id, scene_id, sg[i] AS name FROM (SELECT volume_id, dialogue_id, scene_id, sg, unnest(range(2, len(sg))) AS i FROM (SELECT *, string_split(said, '，') AS sg FROM ln))),
+        ok AS (SELECT * FROM md WHERE {_OK("name")} AND name NOT IN {in_list(X.LOW_SIGNAL_TITLES)}),
+        my AS (SELECT volume_id, name, 'm:' || volume_id || ':' || name AS mystery_id, regexp_replace(first(scene_id ORDER BY dialogue_id), '-r[0-9]+$', '') AS at_ FROM ok GROUP BY volume_id, name),
+        hits AS (SELECT window_id, mystery_id, 'name' AS what FROM ln JOIN my USING (volume_id) WHERE contains(context, name) AND name NOT IN {in_list(X.LOW_SIGNAL_NAMES)} UNION SELECT window_id, 'm:' || ok.volume_id || ':' || name, 'evidence' FROM ok JOIN ln USING (dialogue_id)),
+        h AS (SELECT window_id, mystery_id, bool_or(what = 'name') AS n, bool_or(what = 'evidence') AS e FROM hits GROUP BY ALL), z AS (SELECT window_id, min(scene_id) AS here FROM ln GROUP BY 1),
+        sc AS (SELECT window_id, mystery_id, e, coalesce(here = at_, false) AS same, round(0.05 + CASE WHEN coalesce(here = at_, false) THEN 2.0 ELSE 0.0 END + CASE WHEN e THEN 8.0 ELSE 0.0 END + CASE WHEN n THEN 4.0 ELSE 0.0 END, 9) AS score FROM h JOIN z USING (window_id) JOIN my USING (mystery_id))
+        SELECT window_id, CAST(row_number() OVER (PARTITION BY window_id ORDER BY score DESC, mystery_id) - 1 AS INTEGER) AS rank, mystery_id, CAST(score AS DOUBLE) AS score FROM sc WHERE e OR same QUALIFY rank < 8""",
     "r_self_intro": f"{_ALL} " + _INTRODUCED("(CASE WHEN contains(said, '，') THEN left(said, instr(said, '，') - 1) || '，我是' || substring(said, instr(said, '，') + 1) ELSE '' END)"),
     "r_marker": f"{_ALL}, {_MARKED} {_MARKER}",
     "r_addressed": f"{_ALL}, {_CALLED} SELECT * FROM ad",
