@@ -12,6 +12,7 @@ from voxloom.operators import windows as W
 from voxloom.operators.votes import INDIRECT, VERBS
 from voxloom.plans.sql import ONCE, any_of, clean, in_list, quoted
 from voxloom.plans.window_queries import DIALOGUE, WINDOWS
+from voxloom.plans.window_queries import SQL as WINDOW_SQL
 from voxloom.sources.scratch import Scratch
 from voxloom.sources.tables import once, table
 
@@ -216,3 +217,14 @@ SQL = {
           UNION ALL SELECT *, 3, 'listener' FROM ({_opposite(_asked("after"))}) UNION ALL SELECT *, 4, 'addressed' FROM ({_ADDRESSED}))
         SELECT dialogue_id, entity_id, display, status, confidence, rule FROM wy QUALIFY row_number() OVER (PARTITION BY dialogue_id ORDER BY way) = 1""",
 }
+_TURNS = f"""sg AS ({WINDOW_SQL["w_segments"]}),
+        se AS (SELECT sg.*, sg.window_id || '#' || segment AS id, context, a.entity_id AS ae, a.display AS ad_, a.status AS ast FROM sg JOIN ln USING (dialogue_id) LEFT JOIN ({SQL["r_anchors"]}) a USING (dialogue_id)),
+        pr AS (SELECT id, window_id, count(*) AS size, count(ae) AS n, first(struct_pack(e := ae, d := ad_, s := ast) ORDER BY segment_pos) FILTER (ae IS NOT NULL) AS ref, min(segment_pos) FILTER (ae IS NOT NULL) AS ref_pos, count(DISTINCT ae) AS who, string_agg(context, chr(10) ORDER BY segment_pos) AS all_text FROM se GROUP BY ALL),
+        pk AS (SELECT * FROM pr WHERE n > 0 AND who <= 2 AND (size <= 6 OR n >= 2)),
+        nr AS (SELECT id, any_value(entity_id) AS e, any_value(display) AS d FROM (SELECT DISTINCT id, entity_id, display FROM pk JOIN wn USING (window_id) WHERE entity_id <> ref.e AND contains(all_text, name) AND length(name) > 1) GROUP BY id HAVING count(*) = 1),
+        s2 AS (SELECT id, first(struct_pack(e := ae, d := ad_, s := ast) ORDER BY segment_pos) AS x FROM se JOIN pk USING (id) WHERE ae IS NOT NULL AND ae <> ref.e GROUP BY id),
+        ot AS (SELECT pk.*, CASE WHEN x IS NOT NULL THEN x WHEN nr.e IS NOT NULL THEN struct_pack(e := nr.e, d := nr.d, s := 'known') WHEN {any_of("all_text", R.VILLAGE)} AND ref.e <> 'npc:{R.VILLAGER}' THEN struct_pack(e := 'npc:{R.VILLAGER}', d := '{R.VILLAGER}', s := 'npc') END AS other FROM pk LEFT JOIN nr USING (id) LEFT JOIN s2 USING (id)),
+        du AS (SELECT se.*, CASE WHEN (segment_pos - ref_pos) % 2 = 0 THEN ref ELSE other END AS due FROM se JOIN ot USING (id) WHERE other IS NOT NULL),
+        tu AS (SELECT * FROM (SELECT *, bool_and(coalesce(ae = due.e, true)) OVER (PARTITION BY id) AS steady FROM du) WHERE steady AND ae IS NULL)"""
+SQL["r_votes"] = f"""{_ALL}, {_TURNS} SELECT dialogue_id, 'rule:context' AS model, CAST(1.0 AS DOUBLE) AS weight, e AS speaker_entity_id, d AS speaker_display, s AS speaker_status, confidence, rule
+        FROM (SELECT dialogue_id, entity_id AS e, display AS d, status AS s, confidence, rule FROM ({SQL["r_anchors"]}) UNION ALL SELECT dialogue_id, due.e, due.d, due.s, CAST({R.BY_TURN} AS DOUBLE), 'turns' FROM tu)"""
