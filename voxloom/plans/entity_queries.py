@@ -31,7 +31,8 @@ def e_aliases(spark: SparkSession, d: str) -> DataFrame:
 
 def e_upsert(spark: SparkSession, d: str) -> DataFrame:
     cards = once(table(spark, d, "character_cards"), ["entity_id"], ["volume_id", "display_name", "aliases", "titles", "speech_markers", "confidence", "first_seen_scene_id"])
-    return E.upsert_characters(cards.withColumn("seq", F.regexp_extract("entity_id", "([0-9]+)$", 1).try_cast("long")))
+    store = E.upsert_characters(cards.withColumn("seq", F.regexp_extract("entity_id", "([0-9]+)$", 1).try_cast("long")))
+    return store.withColumns({c: F.array_join(c, "|") for c in ("record_ids", "aliases", "titles", "speech_markers")})
 
 
 def e_merges(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +97,25 @@ _RESOLVE = f"""{_STEPS}, rs AS (SELECT node, root AS resolved, said FROM st WHER
 _STATUS = f"CASE WHEN {clean('speaker_status')} IN {in_list(X.STATUSES)} THEN {clean('speaker_status')} ELSE 'review' END"
 _SLUG = lambda c: f"coalesce(nullif(trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_]+', '_', 'g'), '_'), ''), 'unknown')"
 
+_NAMES_OF = lambda c: f"list_filter(list_transform(coalesce({c}, []), lambda x: {_NAME('x')}), lambda x: x <> '')"
+_SAFE = lambda x: f"(length({x}) > 1 AND {x} NOT IN {in_list(X.GENERIC_NAMES)})"
+#: One step per card of a volume: the owner of each key, and the aliases of every entity, after it.
+_UPSERT = f"""cd AS (SELECT entity_id, volume_id, {_NAME("display_name")} AS name, list_sort(list_distinct({_NAMES_OF("aliases")})) AS raw, {_NAMES_OF("titles")} AS tl, list_filter(list_transform(coalesce(speech_markers, []), lambda x: {clean("x")}), lambda x: x <> '') AS sm,
+          coalesce(confidence, 0.5) AS conf, first_seen_scene_id AS scene FROM (SELECT DISTINCT entity_id, volume_id, display_name, aliases, titles, speech_markers, confidence, first_seen_scene_id FROM character_cards) WHERE {_NAME("display_name")} <> ''),
+        ca AS (SELECT *, list_filter(raw, lambda x: {_SAFE("x")}) AS al, row_number() OVER (PARTITION BY coalesce(volume_id, '') ORDER BY try_cast(regexp_extract(entity_id, '([0-9]+)$', 1) AS BIGINT) NULLS FIRST, entity_id) AS i, coalesce(volume_id, '') AS vol FROM cd),
+        st(vol, i, entity_id, hit, owner, ents) AS (SELECT DISTINCT vol, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST([] AS STRUCT(k VARCHAR, o BIGINT)[]), CAST([] AS VARCHAR[][]) FROM ca
+          UNION ALL SELECT vol, i, entity_id, hit, list_concat(list_filter(owner, lambda w: NOT list_contains(list_concat([name], ents2[hit + 1]), w.k)), list_transform(list_distinct(list_concat([name], ents2[hit + 1])), lambda x: {{'k': x, 'o': hit}})), ents2 FROM (
+            SELECT *, CASE WHEN hit = len(ents) THEN list_append(ents, al[1:20]) ELSE list_transform(ents, lambda e, j: CASE WHEN j = hit + 1 THEN list_sort(list_distinct(list_concat(e, al)))[1:20] ELSE e END) END AS ents2 FROM (
+              SELECT *, coalesce(list_min(list_transform(list_filter(owner, lambda w: list_contains(mine, w.k)), lambda w: w.o)),
+                list_min(list_transform(list_filter(owner, lambda w: {_SAFE("w.k")} AND length(w.k) > 2 AND len(list_filter(mine, lambda m: {_SAFE("m")} AND length(m) > 2 AND (suffix(m, w.k) OR suffix(w.k, m)))) > 0), lambda w: w.o)), CAST(len(ents) AS BIGINT)) AS hit
+              FROM (SELECT ca.vol, ca.i, ca.entity_id, ca.name, ca.al, list_concat([ca.name], ca.al) AS mine, owner, ents FROM st JOIN ca ON ca.vol = st.vol AND ca.i = st.i + 1))))"""
+_USEFUL = f"(x IN {in_list(X.SELF_PRONOUNS)} OR (length(x) <= 8 AND NOT regexp_matches(x, '[。！？!?；;：:“”\"「」『』]') AND x NOT IN {in_list(X.GENERIC_NAMES)} AND NOT (regexp_matches(x, '[你您我他她它]') AND length(x) > 4)))"
+
 SQL = {
+    "e_upsert": f"""WITH RECURSIVE {_UPSERT}, j AS (SELECT st.vol, st.i, st.hit, ca.* EXCLUDE (vol, i) FROM st JOIN ca ON ca.vol = st.vol AND ca.i = st.i),
+        g AS (SELECT vol, hit, first(volume_id ORDER BY i) AS volume_id, first(entity_id ORDER BY i) AS first_record, string_agg(entity_id, '|' ORDER BY i) AS record_ids, first(name ORDER BY i) AS display_name, list_sort(list_distinct(flatten(list(al))))[1:20] AS al,
+          list_sort(list_distinct(flatten(list(list_concat(tl, list_filter(raw, lambda x: NOT {_SAFE("x")}))))))[1:20] AS ti, flatten(list(list_filter(list_filter(sm, lambda x, k: list_position(sm, x) = k), lambda x: {_USEFUL})[1:20] ORDER BY i)) AS mk, max(conf) AS confidence, first(scene ORDER BY i) AS first_seen_scene_id, last(scene ORDER BY i) AS latest_seen_scene_id FROM j GROUP BY vol, hit)
+        SELECT volume_id, first_record, record_ids, display_name, array_to_string(al, '|') AS aliases, array_to_string(ti, '|') AS titles, array_to_string(list_filter(mk, lambda x, k: list_position(mk, x) = k)[1:20], '|') AS speech_markers, confidence, first_seen_scene_id, latest_seen_scene_id FROM g""",
     "e_aliases": f"SELECT entity_id, alias, CAST(min(pos) AS INTEGER) AS pos FROM (SELECT entity_id, {_NAME('a')} AS alias, pos FROM (SELECT entity_id, unnest(aliases) AS a, generate_subscripts(aliases, 1) - 1 AS pos FROM {_C})) WHERE alias <> '' GROUP BY ALL",
     "e_merges": f"WITH RECURSIVE {_RESOLVE} SELECT * FROM mg",
     "e_resolve": f"WITH RECURSIVE {_RESOLVE} SELECT node, resolved FROM rs",
