@@ -19,9 +19,16 @@ def texts(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.array().cast(EMPTY))
 
 
-def ordered_union(values: Column, order: Column, limit: int) -> Column:
-    """An aggregate: cleaned distinct strings of many lists, in order, the first `limit`."""
-    return X.unique_strings(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), values.alias("v")))), lambda x: x["v"])), limit)
+def first_values(rows: DataFrame, keys: list[str], values: str, order: list[str], limit: int) -> DataFrame:
+    """keys and `values`: the first `limit` distinct cleaned strings of many lists, in order.
+
+    A value is reduced to its first place before the lists of a key meet, and only `limit`
+    of them are collected, so an entity in a third of all rows is gathered nowhere.
+    """
+    each = rows.select(*keys, *order, F.posexplode(texts(values)).alias("_i", "_v")).withColumn("_v", X.clean_text(F.col("_v"))).where("_v <> ''")
+    first = each.groupBy(*keys, "_v").agg(F.min(F.struct(*order, "_i")).alias("_o"))
+    kept = first.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_o", "_v"))).where(F.col("_n") <= limit)
+    return kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_v"))), lambda x: x["_v"]).alias(values))
 
 
 def entity_type(c: Column) -> Column:
@@ -43,10 +50,15 @@ def entity_cards(found: DataFrame) -> DataFrame:
     at = F.struct("chunk", "pos")
     seen = f.groupBy("volume_id", "entity_id").agg(
         F.min_by("t", at).alias("entity_type"), F.min_by(X.clean_text(F.col("display_name")), F.when(X.clean_text(F.col("display_name")) != "", at)).alias("display_name"),
-        ordered_union(texts("aliases"), at, 12).alias("aliases"), ordered_union(texts("evidence"), at, 24).alias("evidence_refs"), F.max(X.importance_level(F.col("importance"))).alias("_l"),
+        F.max(X.importance_level(F.col("importance"))).alias("_l"),
         F.max_by(X.clean_text(F.col("summary")), F.when(X.clean_text(F.col("summary")) != "", at)).alias("_s"), F.sum(F.greatest(F.lit(0), F.coalesce("delta", F.lit(0)))).alias("dialogue_count"),
         F.min("chunk").alias("first_seen_chunk"), F.max("chunk").alias("latest_seen_chunk"),
     )
+    keys = ["volume_id", "entity_id"]
+    for column, most in (("aliases", 12), ("evidence", 24)):
+        listed = first_values(f, keys, column, ["chunk", "pos"], most).select(F.col("volume_id").alias("_volume"), F.col("entity_id").alias("_entity"), F.col(column).alias(f"_{column}"))
+        seen = seen.join(listed, F.col("volume_id").eqNullSafe(F.col("_volume")) & (F.col("entity_id") == F.col("_entity")), "left").drop("_volume", "_entity")
+    seen = seen.withColumn("aliases", texts("_aliases")).withColumn("evidence_refs", texts("_evidence")).drop("_aliases", "_evidence")
     most = F.when(F.col("entity_type") == "npc_group", X.truncate(F.col("_s"), 120)).otherwise(X.truncate(F.col("_s"), 180))
     return seen.withColumn("importance", F.element_at(F.array(*map(F.lit, X.IMPORTANCE)), F.col("_l") + 1)).withColumn("summary", most).drop("_l", "_s")
 

@@ -197,7 +197,8 @@ def annotate(paragraphs: DataFrame, dialogues: DataFrame, responses: DataFrame,
     sightings = scratch.save(found.select(changed.columns).unionByName(changed).unionByName(named), "sightings")
     cards = N.entity_cards(sightings)
     cards = scratch.save(cards.withColumn("latest_seen_chunk_id", F.concat("volume_id", F.lit("-r"), F.col("latest_seen_chunk").cast("string"))), "cards-0")
-    relations = new.groupBy("volume_id", "entity_id").agg(N.ordered_union(N.texts(get("relationship_updates", N.EMPTY)), F.struct("chunk", "pos"), 20).alias("relationships"))
+    said_of = new.select("volume_id", "entity_id", "chunk", "pos", get("relationship_updates", N.EMPTY).alias("relationships"))
+    relations = N.first_values(said_of, ["volume_id", "entity_id"], "relationships", ["chunk", "pos"], 20)
 
     steps = rows_of("entity_discovery", ROWS["merges"]).withColumn("step", F.lit(0)).unionByName(rows_of("mystery_resolution", ROWS["merges"]).withColumn("step", F.lit(1)))
     both = cards.select("entity_id")
