@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as X
+from voxloom.sources.scratch import Scratch
+
+
+#: Largest written table of names, in bytes of Parquet, that is broadcast; beyond it grams and names meet by key.
+BROADCAST_BYTES = 8 << 20
 
 
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -18,7 +23,13 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     is then given once for each that has it.
     """
     asked = names.where((F.length("name") > 1) & ~F.col("name").isin(*X.LOW_SIGNAL_NAMES)).withColumn("gram", F.left("name", F.lit(3)))
-    grams = F.expr("array_distinct(concat(transform(sequence(1, greatest(length(text) - 2, 1)), i -> substring(text, i, 3)), transform(sequence(1, greatest(length(text) - 1, 1)), i -> substring(text, i, 2))))")
+    scratch = Scratch(names.sparkSession)
+    asked = scratch.save(asked, "names")
+    if scratch.bytes("names") <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)  # the grams then stay where they are
+    # one pass over the text for each length; substring would count characters from the start every time
+    every = lambda n: F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    grams = F.array_distinct(F.concat(every(3), every(2)))
     # a text is cut to its grams once; they travel without it, and only names of over three characters need it again
     kept = texts.where("length(text) > 1").select("key", "volume_id", "text")
     looked = kept.select("key", "volume_id", F.explode(grams).alias("gram"))
@@ -29,9 +40,14 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def context_lines(windows: DataFrame) -> DataFrame:
-    """`key, volume_id, text` for `window_id, volume_id, text`: every line of a window's contexts once, as they overlap."""
+    """`key, volume_id, text` for `window_id, volume_id, text`: every line of a window's contexts once, as they overlap.
+
+    The shuffle is spread over all its partitions, however few bytes they hold: cutting
+    texts to grams is much work a byte.
+    """
+    n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     split = windows.select(F.col("window_id").alias("key"), "volume_id", F.explode(F.split("text", "\n")).alias("text"))
-    return split.where("text <> ''").distinct()
+    return split.where("text <> ''").repartition(n, "key").distinct()
 
 
 def character_names(cards: DataFrame) -> DataFrame:
