@@ -73,11 +73,9 @@ def j_evidence(spark: SparkSession, d: str) -> DataFrame:
     return e.select("request_id", "dialogue_id", F.array_join("positive_evidence", "|").alias("positive_evidence"), F.array_join("addressed_to", "|").alias("addressed_to"), "turn_relation", "same_speaker_allowed")
 
 
-_SEVERITY = F.when(F.col("confidence") < 0.3, "strong").when(F.col("confidence") < 0.6, "weak").when(F.col("confidence") <= 1, "none")
-
-
 def _checks(spark: SparkSession, d: str) -> DataFrame:
-    item = F.struct("dialogue_id", F.col("needs_review").alias("has_contradiction"), _SEVERITY.alias("severity"), F.col("speaker_display").alias("reason"), F.col("evidence").alias("counter_evidence"))
+    severity = F.when(F.col("confidence") < 0.3, "strong").when(F.col("confidence") < 0.6, "weak").when(F.col("confidence") <= 1, "none")
+    item = F.struct("dialogue_id", F.col("needs_review").alias("has_contradiction"), severity.alias("severity"), F.col("speaker_display").alias("reason"), F.col("evidence").alias("counter_evidence"))
     return R.contradictions(J.by_dialogue(*_answers(spark, d, item, "checks"), ("checks",)))
 
 
