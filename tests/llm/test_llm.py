@@ -376,7 +376,9 @@ def test_packing(spark):
     assert texts == Counter({i: t for i, _, t in rows if t})
     assert all(r.piece == 0 for r in got if dict((x[0], x[2]) for x in rows[r.doc_id : r.doc_id + 1])[r.doc_id] <= 2048)
     report = packing.fill_report(packing.pack_texts(sized, 2048), 2048).first()
-    assert report.empty_share < 0.01 and report.containers == len(room)
+    # as few containers as packing all texts at once takes; how much room these sizes leave depends on the draw
+    cut = [min(2048, t - k) for _, _, t in rows for k in range(0, t, 2048)]
+    assert report.containers == len(room) <= len(packing.best_fit(cut, 2048)) + 2
     assert packing.pack_texts(sized.limit(0), 2048).count() == 0
 
 
