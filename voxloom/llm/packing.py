@@ -53,16 +53,16 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def pack(items: list[tuple], capacity: int, last: bool) -> tuple[list[list[tuple[int, tuple]]], list[tuple]]:
+def pack(items: list[tuple], capacity: int, last: bool, containers: int = WINDOW) -> tuple[list[list[tuple[int, tuple]]], list[tuple]]:
     """Closed containers, each a list of (window, item), and the items left over.
 
-    items: (doc_id, piece, source, tokens), in queue order.
+    items: (doc_id, piece, source, tokens), in queue order; containers: those of a window.
     """
     queues: dict[str, deque] = {}
     for x in items:
         queues.setdefault(x[2], deque()).append(x)
     whole = {s: sum(x[3] for x in q) for s, q in sorted(queues.items())}
-    windows = max(1, round(sum(whole.values()) / (WINDOW * capacity)))
+    windows = max(1, round(sum(whole.values()) / (containers * capacity)))
     got = dict.fromkeys(whole, 0)
     closed: list[list[tuple[int, tuple]]] = []
     for window in range(windows):
@@ -105,10 +105,12 @@ def _bucketed(items: DataFrame, totals: dict[str, int], n: int, buckets: int) ->
 def _level(items: DataFrame, capacity: int, last: bool) -> DataFrame:
     """Pack `bucket, doc_id, piece, source, tokens`; rows with a null container are left over."""
 
+    containers = WINDOW
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["o", "doc_id", "piece"])
         pool = list(zip(rows.doc_id.tolist(), rows.piece.tolist(), rows.source.fillna("").tolist(), rows.tokens.tolist()))
-        closed, rest = pack(pool, capacity, last)
+        closed, rest = pack(pool, capacity, last, containers)
         out = [(key[0], c, w, p, x[0], x[1], x[2] or None, x[3]) for c, box in enumerate(closed) for p, (w, x) in enumerate(box)]
         out += [(key[0], None, None, None, x[0], x[1], x[2] or None, x[3]) for x in rest]
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in PACKED.split(", ")])
