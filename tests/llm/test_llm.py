@@ -395,10 +395,11 @@ def test_windows_keep_the_mixture():
 
 
 def test_every_window_of_many_buckets_keeps_the_mixture(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BUCKET_TOKENS", 400_000)
-    monkeypatch.setattr(packing, "WINDOW", 24)
+    monkeypatch.setattr(packing, "BUCKET_TOKENS", 800_000)
+    monkeypatch.setattr(packing, "WINDOW", 48)
     monkeypatch.setattr(packing, "BLOCK_TEXTS", 700)
-    rows = [(i, random.choice("aaaab") if i % 9 else random.choice(["c", None]), random.choice([20, 90, 260, 400])) for i in range(30_000)]
+    draw = random.Random(5)
+    rows = [(i, draw.choice("aaaab") if i % 9 else draw.choice(["c", None]), draw.choice([20, 90, 260, 400])) for i in range(30_000)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
     packed = packing.pack_texts(sized, 2048)
     report = packing.window_report(packed).collect()
