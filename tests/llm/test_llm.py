@@ -411,7 +411,8 @@ def test_every_window_of_many_buckets_keeps_the_mixture(spark, monkeypatch):
         texts[r.doc_id] += r.tokens
         room[r.container_id] += r.tokens
     assert texts == Counter({i: t for i, _, t in rows}) and max(room.values()) <= 2048
-    assert packing.fill_report(packed, 2048).first().empty_share < 0.002
+    # the sizes are tens, so 2,040 is a full container and 0.4 % of the room can't be filled
+    assert packing.fill_report(packed, 2048).first().empty_share < 0.005
 
 
 # ---------------------------------------------------------------- 8: mixture
